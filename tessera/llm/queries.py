@@ -36,6 +36,18 @@ def op5_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint_log import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op7_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate, digest
+
+    return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_tagpath_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tagpath import extract_main_text
 
