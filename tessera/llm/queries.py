@@ -18,6 +18,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_knn import held_out, knn_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out())
+    return knn_quality(docs, labels).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition_quality
 
@@ -60,6 +67,12 @@ def op9_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, N1, R1, Words, as_bytes, col, cover, mix, per_doc, repeated, slices
+from .common import N1, R1, Words, as_bytes, col, cover, in_doc, per_doc, repeated, slices
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -37,11 +37,6 @@ class Rules:
     window_percent: int = 30
 
 
-def in_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Keys made distinct between documents."""
-    return mix(keys + doc.astype(np.uint64) * np.uint64(GOLD))
-
-
 def measure(raw: np.ndarray, at: np.ndarray, rules: Rules) -> dict[str, np.ndarray]:
     """All measures of a run of documents."""
     n = len(at) - 1
