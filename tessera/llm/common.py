@@ -8,6 +8,7 @@ is bounded by the slice or by the longest single document, never by a group of d
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
@@ -157,11 +158,15 @@ class Rolling:
     """
 
     def __init__(self, seed: int):
+        self.seed = seed
         self.base = int(seeded(seed, 1)[0]) | 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self.byte = seeded(seed + 7, 256)
         self.powers = self.inverses = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return rolling, (self.seed,)  # tasks use their process's own tables, and these aren't shipped
+
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
             size = 1 << max(12, (n - 1).bit_length())
@@ -179,6 +184,7 @@ class Rolling:
         return out
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._grow(len(sums))
         return mix((sums[end] - sums[start]) * self.inverses[start] + (end - start).astype(np.uint64) * np.uint64(GOLD))
 
     def windows(self, sums: np.ndarray, size: int) -> np.ndarray:
@@ -186,13 +192,19 @@ class Rolling:
         n = len(sums) - size
         if n <= 0:
             return np.zeros(0, np.uint64)
+        self._grow(n)
         out = sums[size:] - sums[:n]
         out *= self.inverses[:n]
         return mix(out)
 
 
-R1, R2 = Rolling(1), Rolling(2)
-N1, N2 = Rolling(3), Rolling(4)
+@functools.cache
+def rolling(seed: int) -> Rolling:
+    return Rolling(seed)
+
+
+#: Two hashes over bytes, and two over words.
+R1, R2, N1, N2 = map(rolling, (1, 2, 3, 4))
 
 # --- words -------------------------------------------------------------------------------
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answer, bucket_count, joined, messages, send, tidy, to_blocks
-from .common import N1, N2, Words, cover, cut, member, per_doc, release, winnow
+from .common import N1, N2, Words, cover, cut, member, mix, per_doc, release, winnow
 
 WINDOW, GRAM = 35, 12
 RUN = "bucket long, keys binary, twice binary"
@@ -42,7 +42,7 @@ def fingerprints(words: Words, sums: np.ndarray, window: int, gram: int) -> tupl
     grams = N1.windows(sums, gram)
     at = winnow(grams, window - gram + 1)
     at = at[words.fits(gram)[at]] if len(at) else at
-    return at, grams[at]
+    return at, mix(grams[at])  # minima are small numbers: mixed anew, they spread evenly over buckets
 
 
 def merge_run(keys: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
