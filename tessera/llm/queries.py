@@ -25,6 +25,12 @@ def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality(docs, labels).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_repetition_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repetition import repetition_quality
 
