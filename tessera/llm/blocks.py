@@ -40,14 +40,17 @@ def unpack_text(data: bytes, size: int) -> np.ndarray:
 class Block:
     """block id, ids of its documents, their bytes end to end, n + 1 offsets."""
 
-    def __init__(self, number: int, ids: bytes, offsets: bytes, text: bytes):
-        self.number = number
+    def __init__(self, number: int, ids: bytes, offsets: bytes, text: bytes, rest: bytes | None = None):
+        self.number, self.rest = number, rest
         self.ids, self.at = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64)
         self.raw = unpack_text(text, int(self.at[-1]))
 
 
-def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = LEAST_BLOCK, name: str = "blocks") -> DataFrame:
-    """block, n_bytes, ids, offsets, text; written, so that a block is the same in every later stage."""
+def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = LEAST_BLOCK, name: str = "blocks") -> DataFrame:
+    """block, n_bytes, ids, offsets, text, rest (the columns of `carry`, as an Arrow stream).
+
+    Written, so that a block is the same in every later stage.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -56,11 +59,22 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         for part in slices(batches, "_text", block_bytes):
             raw, at = as_bytes(col(part, "_text"))
             ids = col(part, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([len(raw)], pa.int64()), pa.array([ids.tobytes()]), pa.array([at.tobytes()]), pa.array([pack_text(raw)])], ["block", "n_bytes", "ids", "offsets", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([len(raw)], pa.int64()), pa.array([ids.tobytes()]), pa.array([at.tobytes()]), pa.array([pack_text(raw)]), pa.array([stream(part.select([f"_{x}_" for x in carry])) if carry else None], pa.binary())], ["block", "n_bytes", "ids", "offsets", "text", "rest"])
             made += 1
 
-    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return cut(picked.mapInArrow(work, "block long, n_bytes long, ids binary, offsets binary, text binary"), name)
+    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *(F.col(x).alias(f"_{x}_") for x in carry))
+    return cut(picked.mapInArrow(work, "block long, n_bytes long, ids binary, offsets binary, text binary, rest binary"), name)
+
+
+def stream(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def rest_of(data: bytes) -> list[pa.Array]:
+    return [c.combine_chunks() for c in pa.ipc.open_stream(data).read_all().columns]
 
 
 def bucket_count(blocks: DataFrame) -> int:
@@ -75,7 +89,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
 
 
 def block_of(t: pa.Table) -> Block:
-    return Block(*(t.column(x)[0].as_py() for x in ("block", "ids", "offsets", "text")))
+    return Block(*(t.column(x)[0].as_py() for x in ("block", "ids", "offsets", "text", "rest") if x in t.column_names))
 
 
 def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,7 +133,7 @@ def tidy(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch | pa.Table], schema: str, rest: bool = False) -> DataFrame:
     """Each block with the replies to it (a block without any gets an empty table)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,4 +146,4 @@ def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Tabl
     from pyspark.sql.types import _parse_datatype_string
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    return blocks.select("block", "ids", "offsets", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    return blocks.select("block", "ids", "offsets", "text", *["rest"] * rest).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)

@@ -93,8 +93,11 @@ class TestPart:
         return np.cumsum(step[:-1]) > 0, np.concatenate([nothing, *docs]), np.concatenate([nothing, *items])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, part_bytes: int = 1 << 22, hold_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, item_ids (sorted as strings), contaminated."""
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, part_bytes: int = 1 << 22, hold_bytes: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep_clean: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_words, n_hit, item_ids (sorted as strings), contaminated.
+
+    With keep_clean: the rows of docs that aren't contaminated, all columns.
+    """
     sc = docs.sparkSession.sparkContext
     parts, ids, texts, size = [], [], [], 0
 
@@ -111,12 +114,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         ids.append(row.i), texts.append(row.t)
         size += len(row.t.encode())
     close()
-    many = len(parts) > 1
+    many, text = len(parts) > 1, text_col if keep_clean else "_text"
 
     def judge(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = []
         for part in held:
-            raw, at = as_bytes(col(part, "_text"))
+            raw, at = as_bytes(col(part, text))
             words = Words(LOWER[raw], at, ITEM_WORD)
             work.append((part, words, np.zeros(len(words), bool), [set() for _ in range(part.num_rows)]))
         for shared in parts:
@@ -127,15 +130,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                 for d, i in zip(doc.tolist(), item.tolist(), strict=True):
                     names[d].add(test.ids[i])
             if many:
-                shared._value = None  # the next part takes its place in memory
-                del shared._value
+                del shared._value  # the next part takes its place in memory
         for part, words, hit, names in work:
             n = per_doc(hit, words.first)
+            if keep_clean:
+                yield part.filter(pa.array(n == 0))
+                continue
             yield pa.RecordBatch.from_arrays([col(part, "_id"), pa.array(np.diff(words.first)), pa.array(n), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(n > 0)], [id_col, "n_words", "n_hit", "item_ids", "contaminated"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for part in slices(batches, "_text"):
+        for part in slices(batches, text):
             held.append(part)
             size += part.nbytes
             if not many or size >= hold_bytes:
@@ -144,6 +149,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         if held:
             yield from judge(held)
 
+    if keep_clean:
+        return docs.mapInArrow(run, docs.schema)
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = picked.schema["_id"].dataType.simpleString()
     return picked.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, item_ids array<string>, contaminated boolean")

@@ -141,6 +141,17 @@ def knn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return picked.mapInArrow(work, f"`{id_col}` {picked.schema['_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least 0.5."""
+    space = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, **fitting))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_col, 1 << 20):
+            yield part.filter(pa.array(space.value.score(features(*as_bytes(col(part, text_col)))) >= 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Documents whose labels are kept from learning: crc32 of the id as text has remainder 1 by 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, bucket_count, each_block, joined, messages, pack_text, send, tidy, to_blocks
+from .blocks import Block, answer, bucket_count, each_block, joined, messages, pack_text, rest_of, send, tidy, to_blocks
 from .common import R1, R2, as_bytes, col, cut, member, mix, per_doc, release, runs, slices, winnow
 
 WINDOW, GRAM = 50, 16
@@ -334,10 +334,11 @@ def flagged(fragments: DataFrame, buckets: int) -> DataFrame:
 # --- the operator --------------------------------------------------------------------------
 
 
-def suffix_dedup(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the kept bytes."""
+def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, the columns of `carry` and,
+    with_text, the kept bytes."""
     spark = docs.sparkSession
-    blocks = to_blocks(docs, id_col, text_col)
+    blocks = to_blocks(docs, id_col, text_col, carry)
     buckets = bucket_count(blocks)
 
     def marks(block: Block) -> pa.RecordBatch | None:
@@ -449,6 +450,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, id_col: str = "doc_id"
         columns = [pa.array(block.ids), pa.array(np.diff(block.at)), pa.array(per_doc(gone, block.at)), pa.array(per_doc(start, block.at)), pa.array([hashlib.sha256(kept[at[i] : at[i + 1]]).hexdigest() for i in rows], pa.string())]
         if with_text:
             columns.append(pa.array([kept[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()))
-        return pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
+        if carry:
+            columns += rest_of(block.rest)
+        return pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *carry])
 
-    return answer(blocks, told, clean, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    kinds = "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in carry)
+    return answer(blocks, told, clean, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + kinds, bool(carry))
