@@ -14,7 +14,7 @@ def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
-def op2(docs, size=50):
+def op2(docs, size=50, with_kept=False):
     first = {}
     for d, t in docs:
         b = (t or "").encode()
@@ -30,8 +30,8 @@ def op2(docs, size=50):
             if first[b[i : i + size]] < d:
                 gone[i : i + size] = b"\1" * size
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept)))
-    return out
+        out.append((d, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(kept), kept))
+    return out if with_kept else [x[:5] for x in out]
 
 
 def op3(docs):
@@ -123,6 +123,10 @@ def op10(docs):
         for j, n in c.items():
             if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
                 parent[root(i)] = root(j)
+    first = {}
+    for i, (d, _) in enumerate(docs):  # rows with one id are one document
+        if sets[i]:
+            parent[root(i)] = root(first.setdefault(d, i))
     low = {}
     for i, (d, _) in enumerate(docs):
         low[root(i)] = min(d, low.get(root(i), d))
