@@ -10,9 +10,12 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
+import regex
 
 SAMPLES = (
     "", " ", "Hello, world!", "it's  they'll\n\n we've 'stop  3rd 2048 x2\t y", "Äöü ñandú ciónrr, élève œuvre ßtraße", "a b   c​",
@@ -74,15 +77,37 @@ class Encoder:
     def _by_word(self, vocab: dict[str, int], letters: dict[str, int]):
         """BPE with word ends that drops white space: ids of a text are those of its units between spaces.
 
-        A bounded cache keeps the ids of units; a miss goes to the library.
+        A bounded cache keeps the ids of units.  A miss is split as the library splits it, and each word,
+        with a byte that UTF-8 never has for its end, goes to tiktoken, as ids are the order of merges.
         """
-        library, most = self.library, 250_000
+        import tiktoken
+
+        end = b"\xff"
+        ranks = {bytes(letters[c] for c in k.removesuffix("</w>")) + end * k.endswith("</w>"): v for k, v in vocab.items()}
+        piece = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # Fixed value: the splitting pattern of the tokenizer.
+        words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        slow, most = self.slow, 250_000
+
+        def miss(unit: str) -> bytes:
+            if unit.isascii():
+                unit = unit.lower()
+                if unit.isalpha():
+                    return array("I", piece(unit.encode() + end)).tobytes()
+            elif "Σ" in unit or "İ" in unit:  # lower case that depends on the place in the word
+                return slow(unit).tobytes()
+            else:
+                unit = unicodedata.normalize("NFC", unit).lower()
+            ids: list[int] = []
+            for word in words(unit):
+                ids += piece(word.encode() + end)
+            return array("I", ids).tobytes()
 
         class Units(dict):
             def __missing__(self, unit: str) -> bytes:
                 if len(self) >= most:
                     self.clear()
-                ids = np.array(library.encode(unit, add_special_tokens=False).ids, np.uint32).tobytes()
+                ids = miss(unit)
                 if len(unit) <= 64:
                     self[unit] = ids
                 return ids
@@ -92,7 +117,7 @@ class Encoder:
 
         def encode(text: str) -> np.ndarray:
             if odd.search(text):
-                return self.slow(text)
+                return slow(text)
             return np.frombuffer(b"".join(map(units.__getitem__, text.split())), np.uint32)
 
         return encode
