@@ -7,8 +7,9 @@ sequences; gaps of long windows are filled from the shorter tiers, and where not
 document is cut at the gap.  Closed sequences of a tier are dealt into step groups of equally many
 tokens.
 
-Each task packs its own documents (no shuffle, no global state), so at most one sequence per tier and
-task is padded: cost and memory don't depend on how many documents share a source.
+Each task packs its own documents (no shuffle, no global state), and closes its last pieces in sequences
+of ever smaller powers of two, so nothing is padded: cost and memory don't depend on how many
+documents share a source.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as
 they come; the tables' other columns don't matter.
@@ -86,16 +87,16 @@ class Packer:
         return out
 
     def rest(self) -> Iterator[tuple[int, list]]:
-        """The last pieces: full windows, then full shorter tiers, the final one padded."""
+        """The last pieces: full windows, then full sequences of ever smaller powers of two."""
         while (left := sum(self.tokens.values())) > 0:
-            size = max((t for t in self.tiers if t <= left), default=self.tiers[0])
-            yield size, self.fill(min(size, left))
+            size = min(self.longest, 1 << (left.bit_length() - 1))
+            yield size, self.fill(size)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, tiers: tuple[int, ...] = (16, 64, 256, 512, 1024, 2048), pool: int = 64, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids.
 
-    A sequence's length is a power of two (its tier), or it is the task's last and is padded.
+    A sequence's length is a power of two: the longest window, or, at a task's end, a shorter one (its tier).
     `step_group` numbers groups of sequences of one tier with `step_tokens` tokens in all.
     """
     assert longest == tiers[-1] and list(tiers) == sorted(set(tiers)) and all(t & (t - 1) == 0 for t in tiers)
@@ -104,20 +105,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048,
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << LOCAL_BITS
-        encode, packer, made, groups = encoder(tokenizer), Packer(longest, tiers, pool), 0, dict.fromkeys(tiers, 0)
+        encode, packer, made, groups = encoder(tokenizer), Packer(longest, tiers, pool), 0, {}
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
         rows: list[tuple] = []
 
         def emit(closed: Iterator[tuple[int, list]]) -> None:
             nonlocal made
             for tier, pieces in closed:
-                offset, group = 0, base + groups[tier] // max(1, step_tokens // tier)
+                offset, group = 0, base + groups.get(tier, 0) // max(1, step_tokens // tier)
                 for (doc, ids), start, length in pieces:
                     part = ids[start : start + length]
                     rows.append((doc, start, length, crc(part), len(ids), base + made, offset, tier, group, part.astype("<u4").tobytes()))
                     offset += length
                 made += 1
-                groups[tier] += 1
+                groups[tier] = groups.get(tier, 0) + 1
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
