@@ -42,9 +42,10 @@ MAGIC = b"TS8B\x01\0\0\0"
 def encode_block(ids: np.ndarray) -> np.ndarray:
     """The words of one block."""
     n = len(ids)
+    ids = np.asarray(ids, np.uint64)
     bits = np.zeros(n, np.int64)
     for w in WIDTH[2:]:
-        bits += ids >= (1 << int(w)) if w < 60 else ids >= (1 << 60)
+        bits += ids >= np.uint64(1 << int(w))
     # bits: index from 2 of the narrowest selector that holds each id
     need = bits + 2
     best = np.zeros(n, np.int64)  # selector chosen if a word began at each id
@@ -52,7 +53,6 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
         size = int(COUNT[s])
         if size > n:
             continue
-        ok = np.ones(n - size + 1, bool)
         over = np.zeros(n + 1, np.int64)
         np.cumsum(need > s, out=over[1:])
         ok = over[size:] == over[: n - size + 1]
@@ -105,7 +105,7 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
         for j in range(int(COUNT[s])):
             out[start[mine] + j] = (word >> np.uint64(j * int(WIDTH[s]))) & mask
     assert len(out) == n, "a block's words and its id count differ"
-    return out.astype(np.uint32)
+    return out
 
 
 def file_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -126,7 +126,7 @@ def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = np.frombuffer(data, "<u8", blocks + 1, at + 12 * docs).astype(np.int64)
     words = np.frombuffer(data, "<u8", int(offsets[-1]), at + 12 * docs + 8 * (blocks + 1))
     parts = [decode_block(words[offsets[i] : offsets[i + 1]], min(BLOCK, total - i * BLOCK)) for i in range(blocks)]
-    return doc_ids, counts.astype(np.int64), np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    return doc_ids, counts.astype(np.int64), np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
 
 
 def filesystem(uri: str):

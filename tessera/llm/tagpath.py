@@ -32,6 +32,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
 DROP = frozenset("head script style title noscript template iframe noframes svg math canvas object audio video nav header footer aside form button select option textarea dialog menu fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+CONTAINERS = frozenset("html body main article section div center".split())
 #: Block elements that the next of their kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that end an open paragraph.
@@ -176,14 +177,21 @@ def main_text(page: str | None, window: int = 2, threshold: float = 0.5) -> str:
     containers: dict[tuple[str, ...], float] = {}
     for path, score in fused.items():
         for depth in range(len(path) + 1):
-            containers[path[:depth]] = containers.get(path[:depth], 0.0) + score
-    whole = containers[()]
-    marked_up = [p for p in containers if p and p[-1] in ("article", "main")]
-    inside = [p for p in marked_up if containers[p] >= threshold * whole] or [p for p in containers if containers[p] >= threshold * whole and not (p and p[-1] in SELF_CLOSING)]
-    best = max(inside, key=len, default=())
-    if best and best[-1] in ("h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"):
-        best = best[:-1]
-    keep = {p for p in fused if p[: len(best)] == best and sums[p][3] < 0.5 * sums[p][1] or p[: len(best)] == best and p[-1:] not in (("li",), ("td",), ("dd",))}
+            if not depth or path[depth - 1] in CONTAINERS:
+                containers[path[:depth]] = containers.get(path[:depth], 0.0) + score
+    most = threshold * containers[()]
+    named = [p for p in containers if p and p[-1] in ("article", "main") and containers[p] >= most]
+    best = max(named or [p for p in containers if containers[p] >= most], key=len, default=())
+    inside = [p for p in fused if p[: len(best)] == best]
+    mean = sum(fused[p] for p in inside) / max(1, sum(sums[p][0] for p in inside))
+
+    def content(path: tuple[str, ...]) -> bool:
+        linked = sums[path][3] >= 0.5 * sums[path][1]
+        if path[: len(best)] == best:  # here only lists and cells that are mostly links are left out
+            return not (linked and path[-1:] in (("li",), ("td",), ("dd",)))
+        return not named and not linked and fused[path] / sums[path][0] >= threshold * mean
+
+    keep = {p for p in fused if content(p)}
     return " ".join(text for path, text, _ in blocks if path in keep)
 
 
