@@ -313,9 +313,9 @@ def slide_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(out[:n], out[size - have : size - have + n]) if have < size else out
 
 
-def winnow(grams: np.ndarray, size: int) -> np.ndarray:
+def winnow(grams: np.ndarray, size: int, low: np.ndarray | None = None) -> np.ndarray:
     """Positions of grams that are the minimum of some `size` consecutive ones (all equal minima)."""
-    low = slide_min(grams, size)
+    low = slide_min(grams, size) if low is None else low
     if not len(low):
         return np.zeros(0, np.int64)
     # grams[i] is kept if it equals the largest of the window minima over windows that hold it

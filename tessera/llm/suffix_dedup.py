@@ -2,12 +2,15 @@
 
 A byte goes if it lies in a `WINDOW`-byte string that also starts in a document with a smaller id.
 
-1. Pruning, without loss.  Of the 16-byte grams in every 50 bytes, those of least hash are anchors; equal
+1. Pruning, without loss.  Of the 26-byte grams in every 50 bytes, those of least hash are anchors; equal
    strings have equal anchors, so only windows near an anchor that two documents share can count.
    They are cut at anchors into pieces whose borders depend on content alone; equal pieces become one,
    owned by the least document that holds it.  Every later document that holds a piece loses all of its
    windows, so only the owner's windows are left to judge, and of those only the ones near anchors
-   that pieces of different owners share.  What is left is the text of the suffix array.
+   that pieces of different owners share.  What is left is the text of the suffix array.  Pieces are
+   brought together by their least anchor, so that variants of one piece meet in one block.  A block
+   judges its own windows by a suffix array of the block; what it finds no smaller owner for, near
+   anchors that other blocks hold, goes to the distributed one.
 2. Difference cover modulo 3, over super-characters of 8 bytes at each of the 8 alignments: suffixes in
    classes 1 and 2 are sampled.  Their triples (24 bytes) are sorted over all tasks by ranges and
    named in order; the recursion sorts triples of names (72 bytes), which is deeper than a
@@ -18,7 +21,8 @@ A byte goes if it lies in a `WINDOW`-byte string that also starts in a document
    of equal prefixes is one string, and its least owner judges it.
 5. Verdicts go back to pieces, and from pieces to every document.
 
-Ranges come from a bounded sample of suffixes (`SAMPLED` blocks).  Every exchange sends one message per
+Ranges are sorted in `ROUNDS` rounds and messages are compressed, so that a round's shuffle is small next to
+the texts; the ranges come from a bounded sample of suffixes (`SAMPLED` blocks).  Every exchange sends one message per
 block and range with distinct entries, so what a third of all documents hold is one entry a block.
 
 Defined results: null counts as empty; texts under 50 bytes lose nothing; rows with one id don't remove
@@ -37,43 +41,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, answer, bucket_count, each_block, joined, messages, pack_text, rest_of, send, tidy, to_blocks
-from .common import R1, R2, as_bytes, col, cut, member, mix, per_doc, release, runs, slices, winnow
+from .common import R1, R2, U64, as_bytes, col, cut, member, mix, per_doc, release, runs, slices, slide_min, winnow
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 26
 #: One shared anchor in so many ends a piece; pieces are at least so many windows long.
-EVERY, LEAST_PIECE = 16, 64
+EVERY, LEAST_PIECE = 4, 64
+#: The ranges are sorted in so many rounds, which bounds what is on disk at a time.
+ROUNDS = 1
 #: Zero bytes after each fragment, so that ranks near its end exist.
 PAD = 104
 SAMPLED = 1000
 RANK_BITS = np.uint64(36)
 
 
-def anchors(raw: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors that lie in one document."""
+def anchors(raw: np.ndarray, at: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors that lie in one document, and the least gram of each window."""
     grams = R1.windows(sums, GRAM)
-    where = winnow(grams, WINDOW - GRAM + 1)
+    low = slide_min(grams, WINDOW - GRAM + 1)
+    where = winnow(grams, WINDOW - GRAM + 1, low)
     if len(where):
         where = where[where + GRAM <= at[np.searchsorted(at, where, "right")]]
-    return where, mix(grams[where])  # minima are small numbers: mixed anew, they spread evenly over buckets
+    return where, mix(grams[where]), low  # minima are small numbers: mixed anew, they spread evenly over buckets
 
 
-def near(where: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Starts of windows that hold one of the anchors and lie in one document, as a mask."""
-    step = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(step, np.maximum(where - (WINDOW - GRAM), 0), 1)
-    np.subtract.at(step, where + 1, 1)
-    mask = np.cumsum(step[:-1]) > 0
-    end = np.repeat(at[1:], np.diff(at))
-    return mask & (np.arange(len(raw)) + WINDOW <= end)
+def near(raw: np.ndarray, at: np.ndarray, low: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Starts of the windows of one document whose anchor is in `held` (sorted), as a mask."""
+    out = np.zeros(len(raw), bool)
+    if not len(low) or not len(held):
+        return out
+    fresh = np.ones(len(low), bool)
+    fresh[1:] = low[1:] != low[:-1]
+    first = np.flatnonzero(fresh)
+    out[: len(low)] = np.repeat(member(mix(low[first]), held), np.diff(np.append(first, len(low))))
+    return out & (np.arange(len(raw)) + WINDOW <= np.repeat(at[1:], np.diff(at)))
 
 
-def pieces_of(raw: np.ndarray, at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces as starts and ends of their windows' starts, and both hashes of their bytes."""
+def pieces_of(raw: np.ndarray, at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pieces as starts and ends of their windows' starts, both hashes of their bytes, and their least anchor."""
     sums = R1.sums(raw)
-    where, keys = anchors(raw, at, sums)
+    where, keys, low = anchors(raw, at, sums)
     ok = member(keys, held)
     where, keys = where[ok], keys[ok]
-    start, end = runs(near(where, raw, at))  # never across documents: a document's last starts don't fit
+    start, end = runs(near(raw, at, low, held))  # never across documents: a document's last starts don't fit
     marks = where[keys % np.uint64(EVERY) == 0]
     lo, hi = np.searchsorted(marks, start, "right"), np.searchsorted(marks, end, "left")
     starts, ends = [], []
@@ -84,7 +93,11 @@ def pieces_of(raw: np.ndarray, at: np.ndarray, held: np.ndarray) -> tuple[np.nda
                 a = c
         starts.append(a), ends.append(b)
     s, e = np.array(starts, np.int64), np.array(ends, np.int64)
-    return s, e, R1.spans(sums, s, e + WINDOW - 1), R2.spans(R2.sums(raw), s, e + WINDOW - 1)
+    least = np.zeros(len(s), np.uint64)
+    if len(s):  # over anchors in the piece; every window has one in it
+        lo, hi = np.searchsorted(where, s), np.searchsorted(where, e + WINDOW - GRAM)
+        least = np.minimum.reduceat(np.append(keys, np.uint64(U64)), np.stack([lo, hi], 1).ravel())[::2]
+    return s, e, R1.spans(sums, s, e + WINDOW - 1), R2.spans(R2.sums(raw), s, e + WINDOW - 1), least
 
 
 def doc_of(at: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -105,25 +118,30 @@ def owners(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def shared(sent: DataFrame, with_ids: bool) -> DataFrame:
-    """Replies (block, keys): each block's keys that documents with different ids hold.
+    """Replies (block, keys, far): each block's keys that documents with different ids hold; far: so do other blocks.
 
     Without ids, a key that two blocks hold counts as shared: that may keep some that aren't.
     """
 
     def work(t: pa.Table) -> pa.Table:
         keys, at = joined(t, "keys", np.uint64)
+        s = np.sort(keys)
+        twice = np.unique(s[1:][s[1:] == s[:-1]])
         if with_ids:
             k, lo, _ = owners(keys, joined(t, "more0", np.int64)[0])
             _, _, hi = owners(keys, joined(t, "more1", np.int64)[0])
             held = k[lo < hi]
         else:
-            s = np.sort(keys)
-            held = np.unique(np.concatenate([s[1:][s[1:] == s[:-1]], keys[joined(t, "more0", np.uint8)[0] > 0]]))
-        ok = member(keys, held)
+            held = np.unique(np.concatenate([twice, keys[joined(t, "more0", np.uint8)[0] > 0]]))
+        ok, far = member(keys, held), member(keys, twice).astype(np.uint8)
         rows = [i for i in range(t.num_rows) if ok[at[i] : at[i + 1]].any()]
-        return pa.table({"block": t.column("block").take(pa.array(rows, pa.int64())), "keys": pa.array([keys[at[i] : at[i + 1]][ok[at[i] : at[i + 1]]].tobytes() for i in rows], pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(work, "block long, keys binary")
+        def told(x: np.ndarray) -> pa.Array:
+            return pa.array([x[at[i] : at[i + 1]][ok[at[i] : at[i + 1]]].tobytes() for i in rows], pa.binary())
+
+        return pa.table({"block": t.column("block").take(pa.array(rows, pa.int64())), "keys": told(keys), "far": told(far)})
+
+    return sent.groupBy("bucket").applyInArrow(work, "block long, keys binary, far binary")
 
 
 # --- the suffix array ----------------------------------------------------------------------
@@ -163,6 +181,17 @@ class Fragments(Block):
         return np.stack([at[self.ranked], at[self.ranked + 24], at[self.ranked + 48]])
 
 
+def fragments_in(block: Block, mask: np.ndarray) -> tuple[Block, tuple[np.ndarray, np.ndarray]]:
+    """The text of the runs of windows in mask as a block of their own; which document and place each comes from."""
+    start, end = runs(mask)
+    which = doc_of(block.at, start)
+    size = end - start + WINDOW - 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    take = np.arange(at[-1]) + np.repeat(start - at[:-1], size)
+    out = Block(block.number, block.ids[which].tobytes(), at.astype(np.int64).tobytes(), None, raw=block.raw[take])
+    return out, (which.astype(np.int64), (start - block.at[which]).astype(np.int64))
+
+
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns of [k, n] in order of the first row, and where each column went."""
     n = rows.shape[1]
@@ -176,13 +205,37 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[:, fresh], back
 
 
-def ranged(block: int, key: np.ndarray, edges: np.ndarray, *arrays: np.ndarray) -> pa.Table:
-    """Messages by ranges of the sorted key."""
+def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit numbers by byte planes, compressed; rising ones by their differences."""
+    import zstandard
+
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+
+def loosen(data: bytes, kind=np.uint64, rising: bool = False) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
+def gathered(t: pa.Table, name: str, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' arrays end to end, and offsets."""
+    parts = [loosen(x.as_py(), kind) for x in t.column(name)]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def ranged(block: int, key: np.ndarray, edges: np.ndarray, turn: int, *arrays: np.ndarray) -> pa.Table:
+    """Messages of one round, by ranges of the sorted key."""
     bounds = np.concatenate([[0], np.searchsorted(key, edges), [len(key)]])
     full = np.flatnonzero(np.diff(bounds))
+    full = full[full % ROUNDS == turn]
     out = {"bucket": pa.array(full.astype(np.int64)), "block": pa.array(np.full(len(full), block, np.int64))}
     for i, x in enumerate(arrays):
-        out[f"m{i}"] = pa.array([x[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary())
+        out[f"m{i}"] = pa.array([squeeze(x[bounds[b] : bounds[b + 1]]) for b in full], pa.binary())
     return pa.table(out)
 
 
@@ -190,73 +243,92 @@ def named(sent: DataFrame, kind: int) -> DataFrame:
     """Sorts the triples of each range and names them in order; replies (block, kind, bucket, names)."""
 
     def work(t: pa.Table) -> pa.Table:
-        parts = [joined(t, f"m{i}", np.uint64) for i in range(3)]
+        parts = [gathered(t, f"m{i}") for i in range(3)]
         at = parts[0][1]
         _, rank = distinct_rows(np.stack([p[0] for p in parts]))
         names = (np.uint64(t.column("bucket")[0].as_py() + 1) << RANK_BITS) | rank.astype(np.uint64)
-        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, kind, np.int64)), "bucket": t.column("bucket"), "names": pa.array([names[at[i] : at[i + 1]].tobytes() for i in range(t.num_rows)], pa.binary())})
+        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, kind, np.int64)), "bucket": t.column("bucket"), "names": pa.array([squeeze(names[at[i] : at[i + 1]], True) for i in range(t.num_rows)], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(work, "block long, kind long, bucket long, names binary")
 
 
 def names_in(replies: pa.Table, kind: int) -> np.ndarray:
+    """The answers to a block's distinct entries, in their order; of kind 3 they are flags."""
     rows = sorted((b.as_py(), n.as_py()) for k, b, n in zip(replies.column("kind"), replies.column("bucket"), replies.column("names"), strict=True) if k.as_py() == kind)
-    return np.frombuffer(b"".join(n for _, n in rows), np.uint64)
+    form = np.uint8 if kind == 3 else np.uint64
+    return np.concatenate([np.zeros(0, form), *(loosen(n, form, kind < 3) for _, n in rows)])
+
+
+def judge(c, d, r, r8, r16, h, kind, owner) -> np.ndarray:
+    """The least owner of each suffix's window: merges suffixes of class 0 with the sampled ones, then compares
+    adjacent prefixes."""
+    n = len(c)
+    s0, s1, s2 = (np.flatnonzero(kind == k) for k in range(3))
+    sampled = np.concatenate([s1, s2])
+    sampled = sampled[np.argsort(r[sampled], kind="stable")]
+    s0 = s0[np.lexsort((r8[s0], c[s0]))]
+
+    def less(others: np.ndarray, *key: np.ndarray) -> np.ndarray:
+        """How many of others are less than each of s0, by key (most significant first)."""
+        both = np.concatenate([s0, others])
+        mine = np.concatenate([np.zeros(len(s0), np.uint8), np.ones(len(others), np.uint8)])
+        order = np.lexsort((mine, *(k[both] for k in reversed(key))))
+        out = np.empty(len(both), np.int64)
+        out[order] = np.cumsum(mine[order])
+        return out[: len(s0)]
+
+    place = np.arange(len(s0)) + np.maximum.accumulate(less(s1, c, r8)) + np.maximum.accumulate(less(s2, c, d, r16)) if len(s0) else np.zeros(0, np.int64)
+    order = np.empty(n, np.int64)
+    free = np.ones(n, bool)
+    free[place] = False
+    order[place], order[free] = s0, sampled
+    prefix, least = h[order], np.empty(n, np.int64)
+    if n:
+        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        least[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, n)))
+    return least
 
 
 def least_owner(sent: DataFrame) -> DataFrame:
-    """Merges each range's suffixes, compares adjacent prefixes; replies with the least owner of each."""
+    """Judges each range's suffixes; replies whether a smaller owner has each."""
 
     def work(t: pa.Table) -> pa.Table:
-        (c, at), (d, _), (r, _), (r8, _), (r16, _), (h, _) = (joined(t, f"m{i}", np.uint64) for i in range(6))
-        kind, owner = joined(t, "m6", np.uint8)[0], joined(t, "m7", np.int64)[0]
-        n = len(c)
-        s0, s1, s2 = (np.flatnonzero(kind == k) for k in range(3))
-        sampled = np.concatenate([s1, s2])
-        sampled = sampled[np.argsort(r[sampled], kind="stable")]
-        s0 = s0[np.lexsort((r8[s0], c[s0]))]
-
-        def less(others: np.ndarray, *key: np.ndarray) -> np.ndarray:
-            """How many of others are less than each of s0, by key (most significant first)."""
-            both = np.concatenate([s0, others])
-            mine = np.concatenate([np.zeros(len(s0), np.uint8), np.ones(len(others), np.uint8)])
-            order = np.lexsort((mine, *(k[both] for k in reversed(key))))
-            out = np.empty(len(both), np.int64)
-            out[order] = np.cumsum(mine[order])
-            return out[: len(s0)]
-
-        place = np.arange(len(s0)) + np.maximum.accumulate(less(s1, c, r8)) + np.maximum.accumulate(less(s2, c, d, r16)) if len(s0) else np.zeros(0, np.int64)
-        order = np.empty(n, np.int64)
-        free = np.ones(n, bool)
-        free[place] = False
-        order[place], order[free] = s0, sampled
-        prefix = h[order]
-        first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-        least = np.empty(n, np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(owner[order], first), np.diff(np.append(first, n)))
-        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, 3, np.int64)), "bucket": t.column("bucket"), "names": pa.array([least[at[i] : at[i + 1]].tobytes() for i in range(t.num_rows)], pa.binary())})
+        *words, (kind, _), (owner, _) = [*(gathered(t, f"m{i}") for i in range(6)), gathered(t, "m6", np.uint8), gathered(t, "m7", np.int64)]
+        at = words[0][1]
+        flags = (judge(*(w for w, _ in words), kind, owner) < owner).astype(np.uint8)
+        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, 3, np.int64)), "bucket": t.column("bucket"), "names": pa.array([squeeze(flags[at[i] : at[i + 1]]) for i in range(t.num_rows)], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(work, "block long, kind long, bucket long, names binary")
 
 
-def window_rows(f: Fragments, ranks: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Distinct windows of a block in order of their first character, and where each window went."""
-    w = f.windows
+def keys_of(f: Fragments, p: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What suffixes at p are merged by: two characters, their own rank, those 8 and 16 bytes on; window hash; class; owner."""
     at = np.zeros(len(f.char) + 32, np.uint64)
     at[f.ranked] = ranks
-    sums = R1.sums(f.text)
-    h = R1.spans(sums, w, w + WINDOW)
-    owner = f.ids[f.owner[w]]
+    kind, nothing, last = f.kind[p], np.uint64(0), len(f.char) - 1
+    second = np.where(kind == 1, nothing, f.char[np.minimum(p + 8, last)])
+    own, r8, r16 = np.where(kind == 0, nothing, at[p]), np.where(kind == 2, nothing, at[p + 8]), np.where(kind == 1, nothing, at[p + 16])
+    return f.char[p], second, own, r8, r16, R1.spans(R1.sums(f.text), p, p + WINDOW), kind.astype(np.uint8), f.ids[f.owner[p]]
+
+
+def judged_here(f: Fragments) -> np.ndarray:
+    """The least owner in the block of each of its windows, by a suffix array of the block."""
+    _, names = distinct_rows(f.triples())
+    _, ranks = distinct_rows(f.name_triples(names.astype(np.uint64) + np.uint64(1)))
+    return judge(*keys_of(f, f.windows, ranks.astype(np.uint64) + np.uint64(1)))
+
+
+def window_rows(f: Fragments, ranks: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct windows of a block in order of their first character, and where each window went."""
+    rows = keys_of(f, f.windows, ranks)
+    h, owner = rows[5], rows[7]
     keys, back = np.unique(h, return_inverse=True)
     order = np.lexsort((owner, back))
     first = order[np.searchsorted(back[order], np.arange(len(keys)))]  # least owner of each
-    by_char = np.argsort(f.char[w[first]], kind="stable")
-    first = first[by_char]
+    by_char = np.argsort(rows[0][first], kind="stable")
     went = np.empty(len(keys), np.int64)
     went[by_char] = np.arange(len(keys))
-    p = w[first]
-    last = len(f.char) - 1
-    return (f.char[p], f.char[np.minimum(p + 8, last)], at[p], at[p + 8], at[p + 16], h[first], f.kind[p].astype(np.uint8), owner[first]), went[back]
+    return tuple(x[first[by_char]] for x in rows), went[back]
 
 
 def flagged(fragments: DataFrame, buckets: int) -> DataFrame:
@@ -278,56 +350,71 @@ def flagged(fragments: DataFrame, buckets: int) -> DataFrame:
     message = "bucket long, block long, "
     triple = message + ", ".join(f"m{i} binary" for i in range(3))
 
-    def first(block: Block) -> pa.RecordBatch:
-        rows, _ = distinct_rows(Fragments(block).triples())
-        return ranged(block.number, rows[0], edges, *rows).to_batches()[0]
+    def rounds(work, name: str) -> DataFrame:
+        """work(turn), written round by round."""
+        out = None
+        for turn in range(ROUNDS):
+            part = cut(work(turn), name)
+            out = part if out is None else out.unionByName(part)
+            tidy(spark)
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in each_block(batches):
-            if len(block.ids):
-                yield first(block)
+    def first(turn: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in each_block(batches):
+                rows, _ = distinct_rows(Fragments(block).triples())
+                yield from ranged(block.number, rows[0], edges, turn, *rows).to_batches()
+
+        return named(fragments.select("block", "ids", "offsets", "text").mapInArrow(run, triple), 1)
 
-    names = cut(named(fragments.select("block", "ids", "offsets", "text").mapInArrow(run, triple), 1), "names")
+    names = rounds(first, "names")
 
     def ranks_of(f: Fragments, replies: pa.Table) -> np.ndarray:
         _, back = distinct_rows(f.triples())
         return f.name_triples(names_in(replies, 1)[back])
 
-    def second(block: Block, replies: pa.Table) -> pa.Table:
-        rows, _ = distinct_rows(ranks_of(Fragments(block), replies))
-        return ranged(block.number, rows[0], name_edges, *rows)
+    def second(turn: int) -> DataFrame:
+        def run(block: Block, replies: pa.Table) -> pa.Table:
+            rows, _ = distinct_rows(ranks_of(Fragments(block), replies))
+            return ranged(block.number, rows[0], name_edges, turn, *rows)
 
-    ranks = cut(named(answer(fragments, names, second, triple), 2), "names")
-    known = names.unionByName(ranks)
-    tidy(spark)
+        return named(answer(fragments, names, run, triple), 2)
 
-    def third(block: Block, replies: pa.Table) -> pa.Table:
-        f = Fragments(block)
+    known = names.unionByName(rounds(second, "names"))
+
+    def windows(f: Fragments, replies: pa.Table) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
         _, back = distinct_rows(ranks_of(f, replies))
-        rows, _ = window_rows(f, names_in(replies, 2)[back])
-        return ranged(block.number, rows[0], edges, *rows)
+        return window_rows(f, names_in(replies, 2)[back])
 
-    judged = cut(least_owner(answer(fragments, known, third, message + ", ".join(f"m{i} binary" for i in range(8)))), "owners")
-    tidy(spark)
+    def third(turn: int) -> DataFrame:
+        def run(block: Block, replies: pa.Table) -> pa.Table:
+            rows, _ = windows(Fragments(block), replies)
+            return ranged(block.number, rows[0], edges, turn, *rows)
+
+        return least_owner(answer(fragments, known, run, message + ", ".join(f"m{i} binary" for i in range(8))))
+
+    judged = rounds(third, "owners")
 
     def last(block: Block, replies: pa.Table) -> pa.Table:
         f = Fragments(block)
-        _, back = distinct_rows(ranks_of(f, replies))
-        _, went = window_rows(f, names_in(replies, 2)[back])
-        least = names_in(replies, 3).view(np.int64)[went]
+        rows, went = windows(f, replies)
         mask = np.zeros(len(f.char), bool)
-        mask[f.windows] = least < f.ids[f.owner[f.windows]]
+        mask[f.windows] = (names_in(replies, 3)[went] > 0) | (rows[7][went] < f.ids[f.owner[f.windows]])
         start, end = runs(mask)
         which = f.owner[start]
         start, end = start - f.first[which], end - f.first[which]
         cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else which
-        stops = np.append(cuts[1:], len(which))
+        stops = np.append(cuts[1:], len(which)) if len(which) else which
         return pa.table({"block": pa.array(np.full(len(cuts), block.number, np.int64)), "index": pa.array(which[cuts].astype(np.int64)), "spans": pa.array([np.stack([start[i:j], end[i:j]]).tobytes() for i, j in zip(cuts, stops, strict=True)], pa.binary())})
 
-    out = cut(answer(fragments, known.unionByName(judged), last, "block long, index long, spans binary"), "flagged")
-    for x in (names, ranks, judged):
-        release(x)
-    tidy(spark)
+    return cut(answer(fragments, known.unionByName(judged), last, "block long, index long, spans binary"), "flagged")
+
+
+def swap(table: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a written table, written anew; the table goes."""
+    out = cut(table.select(*columns), "columns")
+    release(table)
+    tidy(table.sparkSession)
     return out
 
 
@@ -342,27 +429,27 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
     buckets = bucket_count(blocks)
 
     def marks(block: Block) -> pa.RecordBatch | None:
-        where, keys = anchors(block.raw, block.at, R1.sums(block.raw))
+        where, keys, _ = anchors(block.raw, block.at, R1.sums(block.raw))
         k, lo, hi = owners(keys, block.ids[doc_of(block.at, where)])
         return messages(block.number, k, buckets, (lo < hi).astype(np.uint8))
 
-    held = cut(shared(send(blocks, marks, 1), False), "anchors")
+    held = cut(shared(send(blocks, marks, 1), False).drop("far"), "anchors")
     tidy(spark)
 
     def cut_up(block: Block, replies: pa.Table) -> pa.Table:
-        s, e, a, b = pieces_of(block.raw, block.at, np.sort(joined(replies, "keys", np.uint64)[0]))
+        s, e, a, b, least = pieces_of(block.raw, block.at, np.sort(joined(replies, "keys", np.uint64)[0]))
         ids = block.ids[doc_of(block.at, s)]
         order = np.lexsort((ids, b, a))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         one = order[fresh]
         data = [block.raw[i : j + WINDOW - 1].tobytes() for i, j in zip(s[one].tolist(), e[one].tolist(), strict=True)]
-        return pa.table({"a": pa.array(a[one].view(np.int64)), "b": pa.array(b[one].view(np.int64)), "doc": pa.array(ids[one]), "block": pa.array(np.full(len(one), block.number, np.int64)), "data": pa.array(data, pa.binary())})
+        return pa.table({"a": pa.array(a[one].view(np.int64)), "b": pa.array(b[one].view(np.int64)), "doc": pa.array(ids[one]), "block": pa.array(np.full(len(one), block.number, np.int64)), "least": pa.array(least[one].view(np.int64)), "data": pa.array(data, pa.binary())})
 
-    pieces = cut(answer(blocks, held, cut_up, "a long, b long, doc long, block long, data binary"), "pieces")
-    tidy(spark)
-    distinct = cut(pieces.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.first("data").alias("data")), "distinct")
+    pieces = cut(answer(blocks, held, cut_up, "a long, b long, doc long, block long, least long, data binary"), "pieces")
     tidy(spark)
+    distinct = cut(pieces.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.first("least").alias("least"), F.first("data").alias("data")), "distinct")
+    held_by = swap(pieces, "a", "b", "block")
 
     # the owners' pieces in blocks of their own, with the hashes that name them
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,54 +462,68 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([col(part, "owner").to_numpy().tobytes()]), pa.array([at.tobytes()]), pa.array([pack_text(raw)]), pa.array([names.tobytes()])], ["block", "ids", "offsets", "text", "names"])
             made += 1
 
-    owned = cut(distinct.mapInArrow(gather, "block long, ids binary, offsets binary, text binary, names binary"), "owned")
+    # variants of one piece mostly have the same least anchor: sorted by it, they meet in one block
+    alike = distinct.repartitionByRange(bucket_count(blocks) // 2, "least").sortWithinPartitions("least")
+    owned = cut(alike.mapInArrow(gather, "block long, ids binary, offsets binary, text binary, names binary"), "owned")
+    owner = swap(distinct, "a", "b", "owner")
 
     def piece_marks(block: Block) -> pa.RecordBatch | None:
-        where, keys = anchors(block.raw, block.at, R1.sums(block.raw))
+        where, keys, _ = anchors(block.raw, block.at, R1.sums(block.raw))
         k, lo, hi = owners(keys, block.ids[doc_of(block.at, where)])
         return messages(block.number, k, buckets, lo, hi)
 
     def fragment(block: Block, replies: pa.Table) -> pa.Table:
-        where, keys = anchors(block.raw, block.at, R1.sums(block.raw))
-        start, end = runs(near(where[member(keys, np.sort(joined(replies, "keys", np.uint64)[0]))], block.raw, block.at))
+        keys, far = joined(replies, "keys", np.uint64)[0], joined(replies, "far", np.uint8)[0]
+        low = slide_min(R1.windows(R1.sums(block.raw), GRAM), WINDOW - GRAM + 1)
+        here, origin = fragments_in(block, near(block.raw, block.at, low, np.sort(keys)))
+        mask = np.zeros(len(block.raw), bool)
+        again = np.zeros(len(block.raw), bool)
+        if len(here.ids):
+            f = Fragments(here)
+            place = f.windows - f.first[f.owner[f.windows]] + origin[1][f.owner[f.windows]] + block.at[origin[0][f.owner[f.windows]]]
+            own = judged_here(f) < f.ids[f.owner[f.windows]]
+            mask[place] = own
+            again[place] = ~own
+        there, origin = fragments_in(block, again & near(block.raw, block.at, low, np.sort(keys[far > 0])))
+        start, end = runs(mask)
         which = doc_of(block.at, start)
-        stop = end + WINDOW - 1
-        at = np.concatenate([[0], np.cumsum(stop - start)])
-        take = np.arange(at[-1]) + np.repeat(start - at[:-1], stop - start)
-        columns = ([block.number], [block.ids[which].tobytes()], [at.tobytes()], [pack_text(block.raw[take])], [np.stack([which, start - block.at[which]]).tobytes()])
-        return pa.table(dict(zip(("block", "ids", "offsets", "text", "origin"), columns, strict=True))) if len(start) else none
-
-    none = pa.schema([("block", pa.int64()), *((x, pa.binary()) for x in ("ids", "offsets", "text", "origin"))]).empty_table()
-    fragments = cut(answer(owned, shared(send(owned, piece_marks, 2), True), fragment, "block long, ids binary, offsets binary, text binary, origin binary"), "fragments")
-    tidy(spark)
+        local = np.stack([which, start - block.at[which], end - block.at[which]])
+        columns = ([block.number], [there.ids.tobytes()], [there.at.tobytes()], [pack_text(there.raw)], [np.stack(origin).tobytes()], [local.astype(np.int64).tobytes()])
+        return pa.table(dict(zip(("block", "ids", "offsets", "text", "origin", "local"), columns, strict=True)))
+
+    fragments = cut(answer(owned, shared(send(owned, piece_marks, 2), True), fragment, "block long, ids binary, offsets binary, text binary, origin binary, local binary"), "fragments")
+    names = swap(owned, "block", "names")
     found = flagged(fragments, buckets)
 
     # verdicts by piece: a, b and the windows' starts in it
     def to_pieces(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        if not left.num_rows:
             return nothing
         origin = np.frombuffer(left.column("origin")[0].as_py(), np.int64).reshape(2, -1)
+        local = np.frombuffer(left.column("local")[0].as_py(), np.int64).reshape(3, -1)
         names = np.frombuffer(left.column("names")[0].as_py(), np.int64).reshape(2, -1)
         rows: dict[int, list[np.ndarray]] = {}
+        for piece, lo, hi in local.T.tolist():
+            rows.setdefault(piece, []).append(np.array([[lo], [hi]]))
         for i, data in zip(right.column("index").to_pylist(), right.column("spans").to_pylist(), strict=True):
             rows.setdefault(int(origin[0, i]), []).append(np.frombuffer(data, np.int64).reshape(2, -1) + origin[1, i])
         keys = list(rows)
         return pa.table({"a": pa.array(names[0, keys]), "b": pa.array(names[1, keys]), "spans": pa.array([np.concatenate(rows[k], axis=1).tobytes() for k in keys], pa.binary())})
 
     nothing = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("spans", pa.binary())]).empty_table()
-    origin = fragments.select("block", "origin").join(owned.select("block", "names"), "block")
+    origin = fragments.select("block", "origin", "local").join(names, "block")
     verdicts = cut(origin.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(to_pieces, "a long, b long, spans binary"), "verdicts")
-    told = pieces.select("a", "b", "block").join(distinct.select("a", "b", "owner"), ["a", "b"]).join(verdicts, ["a", "b"], "left")
+    told = held_by.join(owner, ["a", "b"]).join(verdicts, ["a", "b"], "left")
     told = told.select("block", F.lit(None).cast("binary").alias("keys"), "a", "b", "owner", "spans")
     told = cut(told.unionByName(held, allowMissingColumns=True), "told")
-    for x in (pieces, distinct, owned, fragments, found, verdicts):
+    for x in (held, held_by, owner, names, fragments, found, verdicts):
         release(x)
     tidy(spark)
 
     def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
         keyed = pc.is_valid(replies.column("keys"))
         mine, known = replies.filter(keyed), replies.filter(pc.invert(keyed))
-        s, e, a, b = pieces_of(block.raw, block.at, np.sort(joined(mine, "keys", np.uint64)[0]))
+        s, e, a, b, _ = pieces_of(block.raw, block.at, np.sort(joined(mine, "keys", np.uint64)[0]))
         gone = np.zeros(len(block.raw) + 1, np.int32)
         if len(s):
             ka, kb = (known.column(x).to_numpy() for x in ("a", "b"))
