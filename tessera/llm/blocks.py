@@ -28,7 +28,7 @@ BUCKET_TEXT = 1 << 25
 def pack_text(raw: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(raw.tobytes())
 
 
 def unpack_text(data: bytes, size: int) -> np.ndarray:
@@ -40,10 +40,10 @@ def unpack_text(data: bytes, size: int) -> np.ndarray:
 class Block:
     """block id, ids of its documents, their bytes end to end, n + 1 offsets."""
 
-    def __init__(self, number: int, ids: bytes, offsets: bytes, text: bytes, rest: bytes | None = None):
+    def __init__(self, number: int, ids: bytes, offsets: bytes, text: bytes | None, rest: bytes | None = None, raw: np.ndarray | None = None):
         self.number, self.rest = number, rest
         self.ids, self.at = np.frombuffer(ids, np.int64), np.frombuffer(offsets, np.int64)
-        self.raw = unpack_text(text, int(self.at[-1]))
+        self.raw = unpack_text(text, int(self.at[-1])) if raw is None else raw
 
 
 def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = LEAST_BLOCK, name: str = "blocks") -> DataFrame:

@@ -10,7 +10,7 @@ batch is looked up by merge-joining its own sorted fingerprints with the runs of
 `fan_out` runs have gathered they are compacted into one.
 
 Verification.  Windows whose fingerprint the index holds at least twice are compared by two
-independent 64-bit hashes over all of their words, in a second exchange; only windows that are found
+independent hashes (64 and 32 bits) over all of their words, in a second exchange; only windows that are found
 twice there are removed, wherever they start.
 
 Costs: the index has one entry per distinct fingerprint and batch; a fingerprint that a third of all
@@ -112,7 +112,7 @@ def digests_twice(sent: DataFrame) -> DataFrame:
 
     def work(t: pa.Table) -> pa.Table:
         a, at = joined(t, "keys", np.uint64)
-        b, _ = joined(t, "more0", np.uint64)
+        b, _ = joined(t, "more0", np.uint32)
         own, _ = joined(t, "more1", np.uint8)
         order = np.lexsort((b, a))
         x, y = a[order], b[order]
@@ -173,7 +173,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
         np.subtract.at(step, hit + 1, 1)
         where = np.flatnonzero((np.cumsum(step[:-1]) > 0)[: len(fits)] & fits) if len(fits) else np.zeros(0, np.int64)
         a = N1.windows(sums, window)[where]
-        b = N2.windows(N2.sums(hashes), window)[where]
+        b = (N2.windows(N2.sums(hashes), window)[where] >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
@@ -182,9 +182,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
         return none if out is None else pa.Table.from_batches([out])
 
     none = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("more0", pa.binary()), ("more1", pa.binary())]).empty_table()
-    second = answer(blocks, log.hits(sent), digests, "bucket long, block long, keys binary, more0 binary, more1 binary")
+    hits = cut(log.hits(sent), "hits")
+    for x in (sent, *log.runs):
+        release(x)
+    tidy(spark)
+    second = answer(blocks, hits, digests, "bucket long, block long, keys binary, more0 binary, more1 binary")
     found = cut(digests_twice(second), "windows")
-    release(sent)
+    release(hits)
     tidy(spark)
 
     def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
