@@ -9,11 +9,13 @@
    rarest postings of either, in an order that is the same for all.  So a class is posted only there; values
    that nobody shares fill its prefix first, and the postings of frequent values are never merged.
 4. Within a posting list every class is compared with the list's hub (its least class, then, for what is
-   still in other components, a pseudo-random one); what no hub has linked meets in full, across
-   components only.  Classes that are linked already are skipped, so a large group of copies costs
-   about one comparison for each of its members and never all pairs; no list is cut short.
+   still in other components, a pseudo-random one).  What no hub has linked meets in full, across
+   components only: along each shingle that few of these classes share, and within the lists
+   where enough frequent shingles are left for the similarity.  Classes that are linked already are skipped, so a large
+   group of copies costs about one comparison for each of its members; no list is cut short.
 5. Collisions are counted on the full signatures, then every candidate is confirmed on the full sets.
-6. Components by alternating large-star and small-star steps, in tables; nothing of this is collected.
+6. Components: tasks join a bounded number of links each, and alternating large-star and small-star steps
+   join their results, in tables; nothing of this is collected.
 
 Defined results: null and empty texts, and those without words, have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; rows with one id are one document with several
@@ -143,11 +145,61 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return both.mapInArrow(work, "x long, y long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, comp (the least node reachable) for the nodes of edges (x, y), by large-star and small-star steps."""
-    now = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
+#: A shingle that so many classes or fewer share is followed to each of its pairs.
+RARE = 8
+
+
+def shingle_rows(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """shingle, rep, n, comp, freq for the shingles that several of reps (rep, n, comp) share."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, size, data in zip(*(col(batch, c).to_pylist() for c in ("id", "size", "data")), strict=True):
+                keys = shingle_sets(unpack_text(data, size), np.array([0, size]))[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), key, np.int64))], ["shingle", "rep"])
+
+    flat = cut(texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(work, "shingle long, rep long"), "shingles")
+    shared = flat.groupBy("shingle").agg(F.count("*").alias("freq")).where("freq > 1")
+    return flat.join(shared, "shingle").join(reps, "rep")
+
+
+#: Edges that one task joins by itself; more edges are first joined in so many parts.
+LOCAL_EDGES = 1_000_000
+
+
+def joined_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of one task -> (node, least node that it is joined with there)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(*(col(batch, c).to_pylist() for c in ("u", "v")), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    for lo in range(0, len(nodes), 50_000):
+        part = nodes[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["u", "v"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES, rounds: int = 60) -> DataFrame:
+    """node, comp (the least node reachable) for the nodes of edges (x, y) that aren't their component's least.
+
+    Tasks join up to `local` edges each; where there was more than one task, their results are joined by large-star
+    and small-star steps.
+    """
+    now = cut(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")), "edges")
+    tasks = -(-now.count() // local)
+    old, now = now, cut(now.coalesce(max(1, tasks)).mapInArrow(joined_here, "u long, v long"), "forest")
+    release(old)
     mark = None
-    for _ in range(rounds):
+    for _ in range(rounds if tasks > 1 else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -160,8 +212,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         mark = seen
     else:
-        raise RuntimeError("components didn't settle")
-    return now.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
+        if tasks > 1:
+            raise RuntimeError("components didn't settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,8 +263,19 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 2, id_col: str = "doc_id"
         hub = now.groupBy("token").agg(F.min(F.struct(*([F.xxhash64("rep", F.lit(i)).alias("h")] * bool(i)), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("hub_comp"))).alias("hub")).select("token", "hub.y", "hub.m", "hub.hub_comp")
         settle(now.join(hub, "token").where("comp <> hub_comp").select(F.col("rep").alias("x"), "y", "n", "m"))
         now = placed()
-    other = now.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    settle(now.join(other, "token").where(f"rep < y and comp <> other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("rep").alias("x"), "y", "n", "m"))
+    # a pair of what is left shares a rare shingle, or as many frequent ones as the similarity takes
+    rows = cut(shingle_rows(texts, now.select("rep", "n", "comp").distinct()), "shared")
+    few = rows.where(f"freq <= {RARE}").select("shingle", "rep", "n", "comp")
+    again = few.select("shingle", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    rare = few.join(again, "shingle").where(f"rep < y and comp <> other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("rep").alias("x"), "y", "n", "m")
+    sizes = rows.where(f"freq > {RARE}").groupBy("rep").agg(F.count("*").alias("s"))
+    # a class none of whose partners can reach the similarity that way: they all have at least PERCENT of its size
+    able = now.join(sizes, "rep").where(f"10000 * s >= {PERCENT} * (100 * n + {PERCENT} * n - 100 * s)")
+    able = cut(able, "able")
+    other = able.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("s").alias("r"))
+    enough = f"100 * least(s, r) >= {PERCENT} * (n + m - least(s, r))"
+    often = able.join(other, "token").where(f"rep < y and comp <> other and {enough}").select(F.col("rep").alias("x"), "y", "n", "m")
+    settle(rare.unionByName(often))
     found = components(links)
     reps = classes.join(found, classes.rep == found.node, "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     own = signed.select("id", "n", "a", "b").join(reps, ["a", "b", "n"], "left")

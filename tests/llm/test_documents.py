@@ -216,8 +216,9 @@ def test_op10_links_a_family_without_a_common_centre(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (200, 201)]
-    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "x long, y long")).collect()}
-    assert got[30] == 0 and got[15] == 0 and got[100] == got[95] == 90 and got[201] == 200
+    for local in (1_000_000, 5):  # in one task, and in several
+        got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "x long, y long"), local).collect()}
+        assert got == {**{i: 0 for i in range(1, 31)}, 100: 90, 95: 90, 201: 200}
 
 
 @pytest.mark.parametrize("name", ["op3", "op7"])
