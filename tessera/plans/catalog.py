@@ -592,13 +592,14 @@ def code_chunks(spark, d):
 
 
 def _frames(spark, d):
-    """Events as frames of 100 streams, each ended by [DONE]."""
+    """Events as frames of 100 streams, each ended by one more frame, [DONE]."""
     e = read(spark, d, "events").select((F.col("event_id") % 100).alias("stream"), "event_id", "event_type", "user_id", "props")
     call = F.struct((F.col("user_id") % 2).cast("int").alias("index"), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("id"), F.struct(F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("name"), F.col("props").alias("arguments")).alias("function"))
     delta = F.struct(F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit(" "))).alias("content"), F.array(call).alias("tool_calls"))
     body = F.to_json(F.struct(F.array(F.struct(delta.alias("delta"), F.when(F.col("event_id") % 50 == 49, F.lit("stop")).alias("finish_reason"))).alias("choices")))
-    line = F.when(F.col("event_id") % 11 == 0, F.lit(": comment")).when(F.col("event_id") % 13 == 0, F.lit("data: {broken")).when(F.col("event_id") >= 9000, F.lit("data: [DONE]")).otherwise(F.concat(F.lit("data: "), body))
-    return e.select("stream", F.col("event_id").alias("seq"), line.alias("line"))
+    line = F.when(F.col("event_id") % 11 == 0, F.lit(": comment")).when(F.col("event_id") % 13 == 0, F.lit("data: {broken")).otherwise(F.concat(F.lit("data: "), body))
+    done = e.groupBy("stream").agg((F.max("event_id") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
+    return e.select("stream", F.col("event_id").alias("seq"), line.alias("line")).unionByName(done)
 
 
 LIVE = "live as (select event_id % 100 as stream, event_id as seq, * from events e where event_id % 11 <> 0 and event_id % 13 <> 0 and event_id < coalesce((select min(x.event_id) from events x where x.event_id >= 9000 and x.event_id % 100 = e.event_id % 100 and x.event_id % 11 <> 0 and x.event_id % 13 <> 0), 1000000000000))"
