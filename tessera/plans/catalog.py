@@ -212,8 +212,10 @@ TRIES = ['{"arguments": 1}', 'use grep_files here', '{"name": "read_file"}', '<r
 
 @query(f"select conv_id, turn, (conv_id + turn) % 5 in (0, 2, 3) as attempt, concat(({quoted(TRIES)})[(conv_id + turn) % 5 + 1], ' ', left(text, 20)) as text from conversations")
 def tool_attempt_flag(spark, d):
-    t = F.concat_ws(" ", F.get(F.array(*map(F.lit, TRIES)), ((F.col("conv_id") + F.col("turn")) % 5).cast("int")), F.left("text", F.lit(20)))
-    return read(spark, d, "conversations").select("conv_id", "turn", X.looks_like_tool_attempt(t).alias("attempt"), t.alias("text"))
+    """Whole messages behind a planted line are judged; shown is the beginning."""
+    line = F.get(F.array(*map(F.lit, TRIES)), ((F.col("conv_id") + F.col("turn")) % 5).cast("int"))
+    whole, shown = F.concat_ws(" ", line, "text"), F.concat_ws(" ", line, F.left("text", F.lit(20)))
+    return read(spark, d, "conversations").select("conv_id", "turn", X.looks_like_tool_attempt(whole).alias("attempt"), shown.alias("text"))
 
 
 @query("""with l as (select doc_id, list_filter(string_split(concat(chr(10), '[stderr]', chr(10), text), chr(10)), lambda x: trim(x) <> '' and trim(x) <> '[stderr]') as l from documents)
@@ -568,7 +570,7 @@ IMPORT_LINES = ["from os import x", "import sys", "use crate::mod_a;", "nothing"
 @query(f"select doc_id, ({quoted(['os', 'sys', '', ''])})[doc_id % 4 + 1] as module from documents")
 def imports_extract(spark, d):
     line = F.get(F.array(*map(F.lit, IMPORT_LINES)), (F.col("doc_id") % 4).cast("int"))
-    found = F.regexp_extract(F.concat_ws("\n", line, F.lit("x")), r"(?m)^(?:from\s+(\w+)|import\s+(\w+))", 0)
+    found = F.regexp_extract(F.concat_ws("\n", line, "text"), r"(?m)^(?:from\s+(\w+)|import\s+(\w+))", 0)
     return read(spark, d, "documents").select("doc_id", F.regexp_extract(found, r"^\w+\s+(\w+)", 1).alias("module"))
 
 
