@@ -2,14 +2,15 @@
 
 Documents are routed, by their token counts, to tiers of context sizes (each a power of two up to the
 longest window).  A document longer than the longest window gives whole windows and a rest; what is
-left goes to the tier that just holds it.  Each tier is packed best-fit over a bounded set of open
-sequences; gaps of long windows are filled from the shorter tiers, and where nothing whole fits, a
-document is cut at the gap.  Closed sequences of a tier are dealt into step groups of equally many
-tokens.
+left goes to the tier that just holds it.  Each tier closes sequences of its own size over a bounded
+pool: its oldest piece, then whatever fits the gap best, from its own tier down to the shortest; where
+nothing whole fits, a document is cut at the gap.  Closed sequences of a tier are dealt into step groups
+of equally many tokens (they differ by one sequence at most) over all tasks.
 
-Each task packs its own documents (no shuffle, no global state), and closes its last pieces in sequences
-of ever smaller powers of two, so nothing is padded: cost and memory don't depend on how many
-documents share a source.
+Each task packs its own documents (no shuffle of texts), and closes its last pieces, less than a sequence
+of their tier, in sequences of ever smaller powers of two, so nothing is padded: cost and memory don't
+depend on how many documents share a source.  Packed pieces are written once; the sequences counted there
+by task and tier number the groups.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as
 they come; the tables' other columns don't matter.
@@ -17,7 +18,7 @@ they come; the tables' other columns don't matter.
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import col, cut, slices
 from .tokens import crc, encoder
 
 LOCAL_BITS = 36
@@ -36,21 +37,23 @@ class Packer:
 
     def __init__(self, longest: int, tiers: tuple[int, ...], pool: int):
         self.longest, self.tiers, self.pool = longest, tiers, pool
-        self.waiting: dict[int, deque] = {t: deque() for t in tiers}  # (row, start, length)
+        self.waiting: dict[int, list] = {t: [] for t in tiers}  # sorted (length, -order of arrival, row, start)
         self.tokens = dict.fromkeys(tiers, 0)
+        self.arrived = 0
 
     def tier(self, n: int) -> int:
         return next(t for t in self.tiers if n <= t)
 
     def put(self, row, start: int, length: int) -> None:
         t = self.tier(length)
-        self.waiting[t].append((row, start, length))
+        self.arrived += 1
+        insort(self.waiting[t], (length, -self.arrived, row, start))
         self.tokens[t] += length
 
-    def take(self, t: int):
-        piece = self.waiting[t].popleft()
-        self.tokens[t] -= piece[2]
-        return piece
+    def take(self, t: int, i: int):
+        length, _, row, start = self.waiting[t].pop(i)
+        self.tokens[t] -= length
+        return row, start, length
 
     def add(self, row, n: int) -> Iterator[tuple[int, list]]:
         whole = n // self.longest * self.longest
@@ -58,27 +61,23 @@ class Packer:
             yield self.longest, [(row, start, self.longest)]
         if n > whole:
             self.put(row, whole, n - whole)
-        while sum(self.tokens.values()) >= self.pool * self.longest:
-            yield self.longest, self.fill(self.longest)
+            t = self.tier(n - whole)
+            while self.tokens[t] >= self.pool * t:
+                yield t, self.fill(t)
 
     def fill(self, size: int) -> list:
-        """One full sequence: from the longest tier down, whole pieces that fit, then a cut one."""
+        """One full sequence: the oldest piece of its tier, from there down the longest whole pieces that fit, then cut ones."""
         out, room = [], size
+        if own := self.waiting.get(size):
+            out.append(self.take(size, max(range(len(own)), key=lambda i: own[i][1])))
+            room -= out[0][2]
         for t in reversed(self.tiers):
-            tries = 0
-            while self.waiting[t] and room and tries < 64:
-                piece = self.take(t)
-                if piece[2] <= room:
-                    out.append(piece)
-                    room -= piece[2]
-                    tries = 0
-                else:
-                    self.waiting[t].append(piece)
-                    self.tokens[t] += piece[2]
-                    tries += 1
+            while room and (i := bisect_right(self.waiting[t], (room, 1))):
+                out.append(self.take(t, i - 1))
+                room -= out[-1][2]
         for t in self.tiers:
             while room and self.waiting[t]:
-                row, start, length = self.take(t)
+                row, start, length = self.take(t, 0)
                 cut = min(room, length)
                 out.append((row, start, cut))
                 room -= cut
@@ -87,7 +86,10 @@ class Packer:
         return out
 
     def rest(self) -> Iterator[tuple[int, list]]:
-        """The last pieces: full windows, then full sequences of ever smaller powers of two."""
+        """The last pieces: full sequences of every tier, then of ever smaller powers of two."""
+        for t in reversed(self.tiers):
+            while self.waiting[t] and sum(self.tokens[x] for x in self.tiers if x <= t) >= t:
+                yield t, self.fill(t)
         while (left := sum(self.tokens.values())) > 0:
             size = min(self.longest, 1 << (left.bit_length() - 1))
             yield size, self.fill(size)
@@ -96,8 +98,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, tiers: tuple[int, ...] = (16, 64, 256, 512, 1024, 2048), pool: int = 64, step_tokens: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, ids.
 
-    A sequence's length is a power of two: the longest window, or, at a task's end, a shorter one (its tier).
-    `step_group` numbers groups of sequences of one tier with `step_tokens` tokens in all.
+    A sequence's length is a power of two: its tier, or, at a task's end, what is left for it.
+    `step_group` numbers groups of sequences of one tier, as near to `step_tokens` tokens as the tier's total divides
+    evenly; no two tiers share a number.
     """
     assert longest == tiers[-1] and list(tiers) == sorted(set(tiers)) and all(t & (t - 1) == 0 for t in tiers)
 
@@ -105,20 +108,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048,
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << LOCAL_BITS
-        encode, packer, made, groups = encoder(tokenizer), Packer(longest, tiers, pool), 0, {}
-        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "ids"]
+        encode, packer, made, closed_of = encoder(tokenizer), Packer(longest, tiers, pool), 0, {}
+        names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "nth", "ids"]
         rows: list[tuple] = []
 
         def emit(closed: Iterator[tuple[int, list]]) -> None:
             nonlocal made
             for tier, pieces in closed:
-                offset, group = 0, base + groups.get(tier, 0) // max(1, step_tokens // tier)
+                offset, nth = 0, closed_of.get(tier, 0)
                 for (doc, ids), start, length in pieces:
                     part = ids[start : start + length]
-                    rows.append((doc, start, length, crc(part), len(ids), base + made, offset, tier, group, part.astype("<u4").tobytes()))
+                    rows.append((doc, start, length, crc(part), len(ids), base + made, offset, tier, nth, part.astype("<u4").tobytes()))
                     offset += length
                 made += 1
-                groups[tier] = groups.get(tier, 0) + 1
+                closed_of[tier] = nth + 1
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -139,4 +142,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048,
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind_sql = picked.schema["_id"].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_sql]
-    return picked.mapInArrow(work, f"`{id_col}` {kind_sql}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary")
+    packed = picked.mapInArrow(work, f"`{id_col}` {kind_sql}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long, ids binary")
+    return in_groups(cut(packed, "packed"), step_tokens)
+
+
+def in_groups(packed: DataFrame, step_tokens: int) -> DataFrame:
+    """packed with step_group for nth (of a task's sequences of a tier): each tier's sequences, over all tasks, in runs
+    that differ by one sequence at most."""
+    task = F.shiftright("sequence_id", LOCAL_BITS)
+    counts = packed.where("offset = 0").groupBy(task.alias("task"), "tier").agg(F.count("*").alias("n")).collect()
+    totals: dict[int, int] = {}
+    before = []
+    for r in sorted(counts, key=lambda r: (r["tier"], r["task"])):
+        before.append((r["task"], r["tier"], totals.get(r["tier"], 0)))
+        totals[r["tier"]] = totals.get(r["tier"], 0) + r["n"]
+    rows = [(t, tier, n, totals[tier], max(1, round(totals[tier] * tier / step_tokens))) for t, tier, n in before]
+    starts = packed.sparkSession.createDataFrame(rows, "task long, tier long, before long, total long, groups long")
+    number = F.expr(f"(cast(log2(tier) as long) << {LOCAL_BITS}) + (before + nth) * groups div total")
+    both = packed.withColumn("task", task).join(F.broadcast(starts), ["task", "tier"])
+    return both.select(*(number.alias("step_group") if c == "nth" else c for c in packed.columns))
