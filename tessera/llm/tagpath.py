@@ -5,9 +5,12 @@ path the length of text, the punctuation and the part of the text in links are s
 text per block (text-to-path ratio) and punctuation per block are smoothed over the page's order of
 blocks, fused with the share of text that is not in links, and gathered for the containers above.
 The container with the best fused score that still holds most of the page's score is the article;
-its paths whose blocks aren't mostly links are content.  What is boilerplate by its element (nav,
-header, footer, aside, form, script, style, ...) or by class, id or role (ad, menu, sidebar, comments,
-cookie, ...) never enters a path.
+its paths are content; lists that are mostly bare links go where no article or main element names it.
+What is boilerplate by its element (nav, header, footer, aside, form, script, style, ...) or hidden never
+enters a path.  A class, id or role that is a word for boilerplate (ad, menu, sidebar, comments, ...) as a
+whole marks the element: its text counts less, and stays only if it is much richer than the rest of the
+article.  The mark is void on what holds an article or main element, or, where there is none elsewhere,
+most of the page's score.
 
 One pass over the pages, a page at a time, no shuffle; memory is bounded by the longest page.
 
@@ -37,6 +40,8 @@ CONTAINERS = frozenset("html body main article section div center".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: What text in a marked element counts.
+MARKED = 0.25
 # Words in class, id and role that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs"
@@ -45,26 +50,26 @@ MARKS = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-WORDS = re.compile(r"[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？«»\"“”]")
 SPACE = re.compile(r"\s+")
 
 
-def marked(attributes: str) -> bool:
+def mark(attributes: str) -> str:
+    """"hidden", or the word for boilerplate that is a whole class, id or role, or ""."""
+    found = ""
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        for token in value.split():
-            if token in MARKS or any(x in MARKS for x in WORDS.findall(token)):
-                return True
-    return False
+            return "hidden"
+        if name in ("class", "id", "role"):
+            found = found or next((x for x in value.split() if x in MARKS), "")
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters in links) of each block of text outside boilerplate, in page order."""
     found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []  # (tag, label); label "" marks boilerplate
+    stack: list[tuple[str, str]] = []  # (tag, label); label "" is boilerplate, tag!word a marked element
     bad = 0  # boilerplate elements open
     links = 0
     text: list[str] = []
@@ -103,7 +108,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and marked(m[3]) and not m[3].rstrip().endswith("/") and tag == "span":
+            if not closing and mark(m[3]) and not m[3].rstrip().endswith("/") and tag == "span":
                 end = re.compile(r"</span\s*>", re.I).search(page, at)
                 at = end.end() if end and "<span" not in page[at : end.start()].lower() else at
             continue
@@ -140,18 +145,37 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             while bad and stack:
                 pop()
         if tag not in ("html",) or not stack:
-            boiler = tag in DROP or tag not in ("body", "html", "main", "article") and marked(m[3])
-            stack.append((tag, "" if boiler else tag))
+            word = "" if tag in ("body", "html", "main", "article") else mark(m[3])
+            boiler = tag in DROP or word == "hidden"
+            stack.append((tag, "" if boiler else f"{tag}!{word}" if word else tag))
             bad += boiler
     flush()
     return found
 
 
+def unmarked(blocks: list[tuple[tuple[str, ...], str, int]], threshold: float) -> list[tuple[tuple[str, ...], str, int]]:
+    """The blocks, without the marks of elements that hold the article."""
+    if not any("!" in x for path, _, _ in blocks for x in path):
+        return blocks
+    held: dict[tuple[str, ...], list[float]] = {}  # by marked element: score, punctuation, blocks in article or main
+    total, named = 0.0, 0
+    for path, text, linked in blocks:
+        points, inside = len(PUNCTUATION.findall(text)), [i for i, x in enumerate(path) if x in ("article", "main")]
+        score = len(text) * (1 + points) * (1 - min(linked, len(text)) / len(text)) ** 2
+        total, named = total + score, named + bool(inside)
+        for i, x in enumerate(path):
+            if "!" in x:
+                h = held.setdefault(path[: i + 1], [0.0, 0, 0])
+                h[0], h[1], h[2] = h[0] + score, h[1] + points, h[2] + any(j > i for j in inside)
+    void = {p for p, (score, points, inside) in held.items() if inside or not named and points and score >= threshold * total}
+    return [(tuple(x.split("!")[0] if path[: i + 1] in void else x for i, x in enumerate(path)), text, linked) for path, text, linked in blocks]
+
+
 def main_text(page: str | None, window: int = 2, threshold: float = 0.5) -> str:
     """The article's blocks, joined by one space."""
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks = unmarked(blocks_of(page), threshold)
     if not blocks:
         return ""
     # sums over each root-to-leaf path
@@ -163,7 +187,8 @@ def main_text(page: str | None, window: int = 2, threshold: float = 0.5) -> str:
         s[2] += len(PUNCTUATION.findall(text))
         s[3] += min(linked, len(text))
     # text and punctuation per block of a path, smoothed over the order of blocks
-    length = [sums[p][1] / sums[p][0] for p, _, _ in blocks]
+    low = {p for p in sums if any("!" in x for x in p)}
+    length = [sums[p][1] / sums[p][0] * (MARKED if p in low else 1) for p, _, _ in blocks]
     points = [sums[p][2] / sums[p][0] for p, _, _ in blocks]
 
     def smooth(x: list[float]) -> list[float]:
@@ -180,15 +205,27 @@ def main_text(page: str | None, window: int = 2, threshold: float = 0.5) -> str:
             if not depth or path[depth - 1] in CONTAINERS:
                 containers[path[:depth]] = containers.get(path[:depth], 0.0) + score
     most = threshold * containers[()]
-    named = [p for p in containers if p and p[-1] in ("article", "main") and containers[p] >= most]
+    def own(path: tuple[str, ...]) -> float:
+        n, size, points, linked = sums[path]
+        return size * (1 + points / n) * (1 - linked / max(1, size)) ** 2
+
+    # an article or main element needs most of the score, or most of what no mark speaks against before smoothing
+    clear = {p: own(p) for p in sums if p not in low}
+    named = [p for p in containers if p and p[-1] in ("article", "main") and (containers[p] >= most or sum(x for q, x in clear.items() if q[: len(p)] == p) >= threshold * sum(clear.values()) > 0)]
     best = max(named or [p for p in containers if containers[p] >= most], key=len, default=())
     inside = [p for p in fused if p[: len(best)] == best]
     mean = sum(fused[p] for p in inside) / max(1, sum(sums[p][0] for p in inside))
 
+    plain = [p for p in inside if p not in low]
+    rich = sum(map(own, plain)) / sum(sums[p][0] for p in plain) if plain else None
+
     def content(path: tuple[str, ...]) -> bool:
+        if path in low and (rich is None or MARKED * own(path) / sums[path][0] < threshold * rich):
+            return False
         linked = sums[path][3] >= 0.5 * sums[path][1]
-        if path[: len(best)] == best:  # here only lists and cells that are mostly links are left out
-            return not (linked and path[-1:] in (("li",), ("td",), ("dd",)))
+        if path[: len(best)] == best:  # without a named article, lists and cells that are mostly bare links are left out
+            bare = linked and sums[path][2] < sums[path][0]
+            return bool(named) or not (bare and path[-1:] in (("li",), ("td",), ("dd",)))
         return not named and not linked and fused[path] / sums[path][0] >= threshold * mean
 
     keep = {p for p in fused if content(p)}
