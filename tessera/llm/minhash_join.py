@@ -4,22 +4,25 @@
    shingles) form one class, represented by its least id, so exact copies cost one row each.
 2. A class's signature has `COORDINATES` minima.  It is posted under (coordinate, value).  Two sets with
    Jaccard similarity s agree in each coordinate with probability s; pairs with fewer than `MATCHES`
-   collisions aren't candidates (at s = 0.75 a pair is missed with probability 3e-7).
+   collisions aren't candidates (at s = 0.75 a pair is missed with probability 6e-7, the binomial tail).
 3. Prefix and skip merging: pairs with `MATCHES` collisions must meet in the COORDINATES - MATCHES + 1
    rarest postings of either, in an order that is the same for all.  So a class is posted only there; values
    that nobody shares fill its prefix first, and the postings of frequent values are never merged.
-4. Within a posting list every class is compared with the list's hub (its least class, then, for what is
-   still in other components, a pseudo-random one).  What no hub has linked meets in full, across
-   components only: along each shingle that few of these classes share, and within the lists
-   where enough frequent shingles are left for the similarity.  Classes that are linked already are skipped, so a large
-   group of copies costs about one comparison for each of its members; no list is cut short.
-5. Collisions are counted on the full signatures, then every candidate is confirmed on the full sets.
-6. Components: tasks join a bounded number of links each, and alternating large-star and small-star steps
+4. Within a posting list every class is compared with the list's hub, the class that shares most of its
+   signature with others (the centre of a group of edited copies, rather than one of its edges).  A hub has then met
+   the whole list and leaves it; what it has linked is one component; lists with one component are done.  So a large
+   group of copies costs about one comparison for each member and round, and nothing is cut short.
+5. What two rounds leave apart is posted under its shingles, in the same manner: the rarest shared ones first, only
+   so many as a pair at the similarity must meet in, and a pair counts only if enough shared shingles remain from
+   there on (prefix and position bounds on full sets, both exact).  Hubs go over these lists too; then the members of
+   a list's lesser components meet the whole list, as far as the bounds leave them.
+6. Candidates' collisions are counted over the full signatures, then every one is confirmed on the full sets.
+7. Components: tasks join a bounded number of links each, and alternating large-star and small-star steps
    join their results, in tables; nothing of this is collected.
 
 Defined results: null and empty texts, and those without words, have an empty set and are linked with
 nothing; fewer words than a shingle are one shingle; rows with one id are one document with several
-texts; rows with a null id are left out.
+texts; rows with a null id are kept, linked with nothing, and have no component.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blocks import pack_text, tidy, unpack_text
 from .common import LOWER, N1, Words, as_bytes, col, cut, in_doc, mix, release, seeded, slices
@@ -83,12 +87,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = [col(part, "_id"), np.diff(at), wrapped_sums(mix(keys), at), wrapped_sums(mix(~keys), at)]
             yield pa.RecordBatch.from_arrays([columns[0], *map(pa.array, columns[1:]), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "n", "a", "b", "sig"])
 
-    picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return picked.mapInArrow(work, "id long, n long, a long, b long, sig binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, rep, n: each class under the shared ones of its PREFIX rarest (coordinate, value) pairs."""
+    """token, rep, n, w: each class under the shared ones of its PREFIX rarest (coordinate, value) pairs; w: all that it shares."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +106,7 @@ def postings(classes: DataFrame) -> DataFrame:
     # a list has COORDINATES entries at most (more only where texts share an id)
     mine = tokens.join(shared, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("l"))
     prefix = F.expr(f"slice(l, 1, greatest(size(l) - {COORDINATES - PREFIX}, 0))")
-    return mine.select("rep", "n", F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "rep", "n")
+    return mine.select("rep", "n", F.size("l").alias("w"), F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "rep", "n", "w")
 
 
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -145,12 +149,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return both.mapInArrow(work, "x long, y long").distinct()
 
 
-#: A shingle that so many classes or fewer share is followed to each of its pairs.
-RARE = 8
-
-
 def shingle_rows(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """shingle, rep, n, comp, freq for the shingles that several of reps (rep, n, comp) share."""
+    """token, rep, n, w, comp: each of reps (rep, n, comp) under those of the shingles it shares that a pair must meet in;
+    w: how many it shares from there on, the rarest first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,16 @@ def shingle_rows(texts: DataFrame, reps: DataFrame) -> DataFrame:
 
     flat = cut(texts.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(work, "shingle long, rep long"), "shingles")
     shared = flat.groupBy("shingle").agg(F.count("*").alias("freq")).where("freq > 1")
-    return flat.join(shared, "shingle").join(reps, "rep")
+    from_here = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("freq"), F.desc("shingle")))
+    ranked = flat.join(shared, "shingle").join(reps, "rep").select(F.col("shingle").alias("token"), "rep", "n", from_here.alias("w"), "comp")
+    return ranked.where(f"100 * w >= {PERCENT} * n")
+
+
+def viable(lists: DataFrame) -> DataFrame:
+    """The entries that the least other set of their list could make a pair with."""
+    least = lists.groupBy("token").agg(F.min("n").alias("lo"))
+    m = f"greatest(lo, {PERCENT} * n / 100)"
+    return lists.join(least, "token").where(f"100 * w >= {PERCENT} * (n + {m} - w)").drop("lo")
 
 
 #: Edges that one task joins by itself; more edges are first joined in so many parts.
@@ -217,14 +227,20 @@ def components(edges: DataFrame, local: int = LOCAL_EDGES, rounds: int = 60) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame, hub_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Rounds of hubs over the lists of signature coordinates, and over those of shingles.
+HUB_ROUNDS, MORE_ROUNDS = 2, 3
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (least id reachable), kept (it is its component's least)."""
+    spark = docs.sparkSession
     signed = cut(signatures(docs, id_col, text_col), "signatures")
-    classes = cut(signed.where("n > 0").groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    full = signed.where("n > 0 and id is not null")
+    classes = cut(full.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
     lists = cut(postings(classes), "postings")
     lists = lists.join(lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token")
     lists = cut(lists, "lists")
-    tidy(docs.sparkSession)
+    tidy(spark)
 
     # the texts of classes that meet another, compressed
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,16 +251,16 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 2, id_col: str = "doc_id"
     picked = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
     meet = lists.select(F.col("rep").alias("id")).distinct()
     texts = cut(picked.mapInArrow(compress, "id long, size long, data binary").join(meet, "id", "left_semi"), "texts")
-    tidy(docs.sparkSession)
+    tidy(spark)
 
     # rows that share an id link the classes of their texts
-    member = signed.where("n > 0").join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("id", "rep")
+    member = full.join(classes.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("id", "rep")
     links = cut(member.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("x", "y").distinct(), "links")
     tried = None
 
-    def placed() -> DataFrame:
-        """The postings with components, of lists that still hold several."""
-        at = lists.join(components(links), lists.rep == F.col("node"), "left").select("token", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    def placed(now: DataFrame) -> DataFrame:
+        """The entries of lists that hold several components, with their components."""
+        at = now.drop("comp").join(components(links), now.rep == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "rep"))
         open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         return cut(at.join(open_, "token"), "open")
 
@@ -256,27 +272,32 @@ def near_duplicates(docs: DataFrame, hub_rounds: int = 2, id_col: str = "doc_id"
         close = cut(alike(close, classes).distinct(), "candidates")
         links = cut(links.unionByName(confirmed(close, texts)), "links")
         tried = close if tried is None else tried.unionByName(close)
-        tidy(docs.sparkSession)
+        tidy(spark)
+
+    def hubs(now: DataFrame, also: str = "true") -> DataFrame:
+        """Compares each list (entries token, rep, n, w, comp) with its hub, the greatest w; the entries still to compare."""
+        best = F.struct((-F.col("w")).alias("w"), F.xxhash64("rep").alias("h"), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"))
+        hub = cut(now.groupBy("token").agg(F.min(best).alias("hub")).select("token", "hub.y", "hub.m", "hub.other", (-F.col("hub.w")).alias("r")), "hubs")
+        both = now.join(hub, "token")
+        settle(both.where("comp <> other").where(also).select(F.col("rep").alias("x"), "y", "n", "m"))
+        return placed(both.where("rep <> y").select(*now.columns))
 
     now = lists.withColumn("comp", F.col("rep"))
-    for i in range(hub_rounds):
-        hub = now.groupBy("token").agg(F.min(F.struct(*([F.xxhash64("rep", F.lit(i)).alias("h")] * bool(i)), F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("hub_comp"))).alias("hub")).select("token", "hub.y", "hub.m", "hub.hub_comp")
-        settle(now.join(hub, "token").where("comp <> hub_comp").select(F.col("rep").alias("x"), "y", "n", "m"))
-        now = placed()
-    # a pair of what is left shares a rare shingle, or as many frequent ones as the similarity takes
-    rows = cut(shingle_rows(texts, now.select("rep", "n", "comp").distinct()), "shared")
-    few = rows.where(f"freq <= {RARE}").select("shingle", "rep", "n", "comp")
-    again = few.select("shingle", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    rare = few.join(again, "shingle").where(f"rep < y and comp <> other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)").select(F.col("rep").alias("x"), "y", "n", "m")
-    sizes = rows.where(f"freq > {RARE}").groupBy("rep").agg(F.count("*").alias("s"))
-    # a class none of whose partners can reach the similarity that way: they all have at least PERCENT of its size
-    able = now.join(sizes, "rep").where(f"10000 * s >= {PERCENT} * (100 * n + {PERCENT} * n - 100 * s)")
-    able = cut(able, "able")
-    other = able.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("s").alias("r"))
-    enough = f"100 * least(s, r) >= {PERCENT} * (n + m - least(s, r))"
-    often = able.join(other, "token").where(f"rep < y and comp <> other and {enough}").select(F.col("rep").alias("x"), "y", "n", "m")
-    settle(rare.unionByName(often))
+    for _ in range(HUB_ROUNDS):
+        now = hubs(now)
+    now = placed(viable(cut(shingle_rows(texts, now.select("rep", "n", "comp").distinct()), "shared")))
+    # as many shingles as remain to both from a shared one on must be enough
+    enough = f"100 * least(w, r) >= {PERCENT} * (n + m - least(w, r))"
+    for _ in range(MORE_ROUNDS):
+        if now.isEmpty():
+            break
+        now = hubs(now, enough)
+    main = now.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("main")).select("token", F.col("main.comp").alias("main"))
+    now = now.join(main, "token").withColumn("lesser", F.expr("comp <> main"))
+    other = now.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("w").alias("r"), F.col("lesser").alias("also"))
+    settle(now.where("lesser").join(other, "token").where(f"comp <> other and (rep < y or not also) and {enough}").select(F.col("rep").alias("x"), "y", "n", "m"))
     found = components(links)
     reps = classes.join(found, classes.rep == found.node, "left").select("a", "b", "n", F.coalesce("comp", "rep").alias("comp"))
     own = signed.select("id", "n", "a", "b").join(reps, ["a", "b", "n"], "left")
-    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), (F.coalesce("comp", "id") == F.col("id")).alias("kept"))
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
+    return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
