@@ -12,7 +12,8 @@ only files in the manifest count, so a lost executor or a second attempt leaves
 the result.  File names, not texts, go through the driver.
 
 Defined results: null or empty texts are the end id alone; ties of ids (repeated rows) stay in one
-stretch, ordered by text; an empty table gives an empty manifest.
+stretch, ordered by text; rows with a null id come first (a file's header counts them); an empty table gives an
+empty manifest.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ COUNT = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int6
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 BLOCK = 1 << 14
 FILE_IDS = 1 << 22
-MAGIC = b"TS8B\x01\0\0\0"
+MAGIC = b"TS8B\x02\0\0\0"
+HEAD = struct.Struct("<QQQQI")
 
 
 def encode_block(ids: np.ndarray) -> np.ndarray:
@@ -108,18 +110,24 @@ def decode_block(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def file_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def file_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, nameless: int = 0) -> bytes:
+    """A file's bytes; its first `nameless` documents have no id (whatever doc_ids holds there)."""
     blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     body = b"".join([doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), offsets.tobytes(), *(b.astype("<u8").tobytes() for b in blocks)])
-    return MAGIC + struct.pack("<QQQI", len(doc_ids), len(ids), len(blocks), zlib.crc32(body)) + body
+    return MAGIC + HEAD.pack(len(doc_ids), nameless, len(ids), len(blocks), zlib.crc32(body)) + body
+
+
+def nameless_in(data: bytes) -> int:
+    """How many documents of a file, its first, have no id."""
+    return HEAD.unpack_from(data, len(MAGIC))[1]
 
 
 def read_image(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc ids, id counts, and all ids of a file."""
     assert data[:8] == MAGIC, "not a token-id file"
-    docs, total, blocks, check = struct.unpack_from("<QQQI", data, 8)
-    at = 8 + 28
+    docs, _, total, blocks, check = HEAD.unpack_from(data, len(MAGIC))
+    at = len(MAGIC) + HEAD.size
     assert zlib.crc32(memoryview(data)[at:]) == check, "a token-id file is damaged"
     doc_ids = np.frombuffer(data, "<i8", docs, at)
     counts = np.frombuffer(data, "<u4", docs, at + 8 * docs)
@@ -140,7 +148,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = picked.repartitionByRange(count, "_id").sortWithinPartitions("_id", "_text")
+    # the start of the text lets many rows of one id (or without one) be dealt to several tasks
+    ordered = picked.repartitionByRange(count, F.col("_id"), F.substring("_text", 1, 32)).sortWithinPartitions("_id", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,7 +163,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             nonlocal held, seq
             name = f"{shard:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
             with where.open_output_stream(f"{root}/{name}") as out:
-                out.write(file_image(np.array(docs_, np.int64), np.array(counts, np.int64), np.concatenate(ids)))
+                named = [x for x in docs_ if x is not None]
+                out.write(file_image(np.array([0] * (len(docs_) - len(named)) + named, np.int64), np.array(counts, np.int64), np.concatenate(ids), len(docs_) - len(named)))
             row = [[shard], [seq], [name], [len(docs_)], [held], [docs_[0]]]
             docs_.clear(), counts.clear(), ids.clear()
             held, seq = 0, seq + 1
@@ -187,10 +197,11 @@ def read_token_files(spark, folder: str, manifest: DataFrame, with_ids: bool = T
         for batch in batches:
             for name, base in zip(col(batch, "file").to_pylist(), col(batch, "base").to_pylist(), strict=True):
                 with where.open_input_stream(f"{root}/{name}") as file:
-                    doc_ids, counts, ids = read_image(file.read())
+                    data = file.read()
+                doc_ids, counts, ids = read_image(data)
                 start = np.cumsum(counts) - counts
                 crcs = [crc(ids[a : a + n]) for a, n in zip(start.tolist(), counts.tolist(), strict=True)]
-                columns = [pa.array(doc_ids), pa.array(start + base), pa.array(counts), pa.array(crcs, pa.int64())]
+                columns = [pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nameless_in(data)), pa.array(start + base), pa.array(counts), pa.array(crcs, pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[a : a + n].tobytes() for a, n in zip(start.tolist(), counts.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])

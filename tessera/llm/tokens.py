@@ -2,7 +2,9 @@
 
 The library is the definition; these only avoid its per-word cost.  Each encoder is compared with
 the library on a set of sample strings when it is first loaded in a process, and falls back to it on
-any difference, and for texts outside what its shortcut covers.
+any difference, and for texts outside what its shortcut covers.  Where the shortcut depends on properties
+of characters (letter, number, lower case), each character beyond ASCII is compared with the library in all
+contexts that matter when it is first met; words with one that differs are the library's.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ SAMPLES = (
 )
 
 
+# Ranges of Hangul letters that join with what stands beside them.
+JAMO = (("\u1100", "\u11ff"), ("\ua960", "\ua97f"), ("\ud7b0", "\ud7ff"))
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies, by character."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,8 +83,9 @@ class Encoder:
     def _by_word(self, vocab: dict[str, int], letters: dict[str, int]):
         """BPE with word ends that drops white space: ids of a text are those of its units between spaces.
 
-        A bounded cache keeps the ids of units.  A miss is split as the library splits it, and each word,
-        with a byte that UTF-8 never has for its end, goes to tiktoken, as ids are the order of merges.
+        A bounded cache keeps the ids of units.  A miss of trusted characters is split as the library splits it, and each
+        word, with a byte that UTF-8 never has for its end, goes to tiktoken, as ids are the order of merges; any other
+        miss goes to the library.
         """
         import tiktoken
 
@@ -89,20 +96,24 @@ class Encoder:
         words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         slow, most = self.slow, 250_000
 
-        def miss(unit: str) -> bytes:
-            if unit.isascii():
-                unit = unit.lower()
-                if unit.isalpha():
-                    return array("I", piece(unit.encode() + end)).tobytes()
-            elif "Σ" in unit or "İ" in unit:  # lower case that depends on the place in the word
-                return slow(unit).tobytes()
-            else:
-                unit = unicodedata.normalize("NFC", unit).lower()
+        def shortcut(unit: str) -> bytes:
+            unit = unit.lower()
+            if unit.isascii() and unit.isalpha():
+                return array("I", piece(unit.encode() + end)).tobytes()
             ids: list[int] = []
             for word in words(unit):
                 ids += piece(word.encode() + end)
             return array("I", ids).tobytes()
 
+        @functools.cache
+        def trusted(c: str) -> bool:
+            """Whether the shortcut treats a character as the library does, whatever stands beside it."""
+            joins = unicodedata.category(c)[0] in "MC" or not unicodedata.is_normalized("NFC", c) or any(lo <= c <= hi for lo, hi in JAMO)
+            return not joins and all(shortcut(x) == slow(x).tobytes() for x in (c, c + c, f"a{c}", f"{c}a", f"a{c}a", f"1{c}", f"{c}1", f":{c}", f"{c}:", f"'{c}", f"'s{c}"))
+
+        def miss(unit: str) -> bytes:
+            return shortcut(unit) if unit.isascii() or all(c < "\x80" or trusted(c) for c in set(unit)) else slow(unit).tobytes()
+
         class Units(dict):
             def __missing__(self, unit: str) -> bytes:
                 if len(self) >= most:
