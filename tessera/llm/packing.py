@@ -13,7 +13,7 @@ depend on how many documents share a source.  Packed pieces are written once; th
 by task and tier number the groups.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed as
-they come; the tables' other columns don't matter.
+they come, and so are rows with a null id; ids may be of any type; the tables' other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import col, cut, slices
 from .tokens import crc, encoder
@@ -141,7 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048,
 
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind_sql = picked.schema["_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind_sql]
+    kind = to_arrow_type(picked.schema["_id"].dataType)
     packed = picked.mapInArrow(work, f"`{id_col}` {kind_sql}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, nth long, ids binary")
     return in_groups(cut(packed, "packed"), step_tokens)
 
