@@ -20,34 +20,45 @@ from tessera.llm.suffix_dedup import suffix_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A text without words gets the sample's share of good labels as its score; repeated rows are judged alike.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels").where(~held_out()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The least document of each group of near duplicates stays.
+
+    Texts without words and rows with a null id stay; rows that share an id stay or go together.
+    """
+    key = next(x for i in range(len(docs.columns) + 1) if (x := f"gone_{i}") not in docs.columns)
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long strings that an earlier document holds go; a text that is wholly such goes with its row.
 
-    A character whose bytes are partly removed is left out.
+    A character whose bytes are partly removed is left out.  A null text becomes empty; rows with a null id stay
+    whole; n_chars counts the text anew.  Columns beyond those of documents are kept, whatever their names.
     """
-    others = tuple(x for x in docs.columns if x not in ("doc_id", "text", "n_chars"))
-    cleaned = suffix_dedup(docs, carry=others).where("n_removed < n_bytes or n_bytes = 0")
+    own = ("doc_id", "text", "n_chars")
+    others = {x: f"column_{i}" for i, x in enumerate(docs.columns) if x not in own}
+    cleaned = suffix_dedup(docs.select("doc_id", "text", *(F.col(f"`{x}`").alias(y) for x, y in others.items())), carry=tuple(others.values())).where("n_removed < n_bytes or n_bytes = 0")
     text = F.when(F.expr("is_valid_utf8(kept)"), F.col("kept").cast("string")).otherwise(F.expr("replace(make_valid_utf8(kept), '�', '')"))
-    return cleaned.withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    new = {"text": F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))}
+    new["n_chars"] = F.length(new["text"]).cast("long")
+    return cleaned.select(*((new.get(x) if x in new else F.col(others.get(x, x))).alias(x) for x in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; texts without words stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_clean=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    """Pieces of the remaining documents in sequences of at most 2048 tokens; an empty text is its end id."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
