@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, col, cut, partitions, slices
 
-#: Text of a block: 2 MB; for inputs so large that messages would get short, more, up to 64 MB.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 1 << 21, 1 << 26, 100_000
+#: Text of a block.  For inputs so large that a block's messages get short, give to_blocks more (up to 64 MB).
+BLOCK_BYTES = 1 << 21
 #: Text behind one bucket of keys.
 BUCKET_TEXT = 1 << 25
 
@@ -46,16 +46,16 @@ class Block:
         self.raw = unpack_text(text, int(self.at[-1])) if raw is None else raw
 
 
-def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = LEAST_BLOCK, name: str = "blocks") -> DataFrame:
+def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, batch: int = 0) -> DataFrame:
     """block, n_bytes, ids, offsets, text, rest (the columns of `carry`, as an Arrow stream).
 
-    Written, so that a block is the same in every later stage.
+    Written, so that a block is the same in every later stage.  Numbers hold the batch, the partition and a count.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, made = TaskContext.get().partitionId() << 32, 0
+        base, made = (batch << 44) + (TaskContext.get().partitionId() << 20), 0
         for part in slices(batches, "_text", block_bytes):
             raw, at = as_bytes(col(part, "_text"))
             ids = col(part, "_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -63,7 +63,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             made += 1
 
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *(F.col(x).alias(f"_{x}_") for x in carry))
-    return cut(picked.mapInArrow(work, "block long, n_bytes long, ids binary, offsets binary, text binary, rest binary"), name)
+    return cut(picked.mapInArrow(work, "block long, n_bytes long, ids binary, offsets binary, text binary, rest binary"), "blocks")
 
 
 def stream(part: pa.RecordBatch) -> bytes:

@@ -2,28 +2,34 @@
 
 Fingerprints.  Of the word 12-grams in every 35 consecutive words, the one with the least hash stands
 for the window (all of them where hashes tie), so equal windows have equal fingerprints and a document
-has about one fingerprint for every twelve words.
-
-Index.  Each batch of documents becomes one sorted, immutable run: for every bucket (a range of the
-hash) the batch's distinct fingerprints in order, each with a mark if the batch holds it twice.  A
-batch is looked up by merge-joining its own sorted fingerprints with the runs of its bucket.  When
-`fan_out` runs have gathered they are compacted into one.
-
-Verification.  Windows whose fingerprint the index holds at least twice are compared by two
-independent hashes (64 and 32 bits) over all of their words, in a second exchange; only windows that are found
-twice there are removed, wherever they start.
-
-Costs: the index has one entry per distinct fingerprint and batch; a fingerprint that a third of all
-documents hold is one entry a block, so no task gets a hot group.  Nothing is collected on the driver.
+has about one fingerprint for every twelve words (all window hashes would be about twelve times as many).
+
+Log.  Documents come in batches, each in blocks.  The log holds sorted, immutable runs in two families: of the
+fingerprints of all batches, and of the window hashes behind those fingerprints that were met twice.  An entry
+says which block holds it, or that several places do.  For each batch
+ 1. its sorted fingerprints are merge-joined with the runs: what history, or the batch itself, holds as well is
+    opened, in the batch's blocks and in the one earlier block that held it alone until now;
+ 2. of the opened fingerprints every window is hashed twice, by hashes that are independent from the words' bytes on
+    (64 bits each); these are merge-joined with the runs of window hashes, which verifies them: a window that is
+    there already, or twice in the batch, is a repeat, and so is the one that an earlier block held alone until now;
+ 3. fingerprints and window hashes become new runs; when `fan_out` runs of a family have gathered, they are compacted.
+So a batch costs its own size and what it hits, never the whole history; the verdicts on earlier documents are
+brought up to date, as the query asks for a symmetric answer.  A log with a folder keeps its runs, blocks and
+verdicts there, listed in numbered manifests, and later sessions go on with it.
+
+Costs: a fingerprint that a third of all documents hold is one entry a block in a message, and one entry in the
+index, so no task gets a hot group.  Nothing is collected on the driver.
 
 Defined results: null and empty texts have no words and keep the hash of nothing; fewer than 35 words
 have no window; repeated rows are windows of their own, so both lose what they share; rows with a null
-id are left out; other columns don't matter.
+id are kept whole and take no part; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, answer, bucket_count, joined, messages, send, tidy, to_blocks
-from .common import N1, N2, Words, cover, cut, member, mix, per_doc, release, winnow
+from .common import N1, N2, R2, Words, cover, cut, drop_path, member, mix, per_doc, release, slide_min, winnow
 
 WINDOW, GRAM = 35, 12
-RUN = "bucket long, keys binary, twice binary"
+#: Holder of what several places hold.
+MANY = -1
 
 
 def fingerprints(words: Words, sums: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,86 +52,109 @@ def fingerprints(words: Words, sums: np.ndarray, window: int, gram: int) -> tupl
     return at, mix(grams[at])  # minima are small numbers: mixed anew, they spread evenly over buckets
 
 
-def merge_run(keys: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and whether each is held twice."""
-    if not len(keys):
-        return keys, twice
+def grouped(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of entries by (key, check), and where each distinct one begins in it."""
     order = np.argsort(keys, kind="stable")
-    keys, twice = keys[order], twice[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    size = np.diff(np.append(first, len(keys)))
-    return keys[first], (np.maximum.reduceat(twice, first) > 0) | (size > 1)
+    k, c = keys[order], checks[order]
+    if len(k) and ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+        k, c = keys[order], checks[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    return order, np.flatnonzero(fresh)
+
+
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries in order, and whether each comes twice or more."""
+    order, first = grouped(keys, checks)
+    return keys[order[first]], checks[order[first]], (np.diff(np.append(first, len(keys))) > 1).astype(np.uint8)
+
+
+def entries(t: pa.Table, sent: bool, with_checks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, checks, holders of a bucket's messages or run rows, and offsets of the rows."""
+    keys, at = joined(t, "keys", np.uint64)
+    checks = joined(t, "more1" if sent else "checks", np.uint64)[0] if with_checks else np.zeros(len(keys), np.uint64)
+    if not sent:
+        return keys, checks, joined(t, "holders", np.int64)[0], at
+    blocks = np.repeat(t.column("block").to_numpy(), np.diff(at)) if t.num_rows else np.zeros(0, np.int64)
+    return keys, checks, np.where(joined(t, "more0", np.uint8)[0] > 0, MANY, blocks), at
 
 
 class FingerprintLog:
-    """Sorted immutable runs, by bucket, of the fingerprints of all batches so far."""
+    """Sorted immutable runs, by bucket, of the keys (and their checks) of all batches so far, with their holders.
+
+    Batches are messages of blocks: bucket, block, keys, more0 (whether the block holds a key twice) and, with checks, more1.
+    """
 
-    def __init__(self, spark: SparkSession, fan_out: int = 4):
-        self.spark, self.fan_out, self.runs = spark, fan_out, []
+    def __init__(self, spark: SparkSession, fan_out: int = 4, checks: bool = False, write=cut, drop=release):
+        self.spark, self.fan_out, self.checks, self.write, self.drop = spark, fan_out, checks, write, drop
+        self.runs: list[DataFrame] = []
+        self.run: str = "bucket long, keys binary, holders binary" + ", checks binary" * checks
 
     def append(self, sent: DataFrame) -> None:
-        """Adds a batch (messages of its blocks) as a new run, and compacts if runs have gathered."""
-        self.runs.append(cut(self._merged(sent.select("bucket", "keys", F.col("more0").alias("twice"))), "run"))
+        """Adds a batch as a new run, and compacts if runs have gathered."""
+        self.runs.append(self.write(self._merged(sent, True), "run"))
         if len(self.runs) >= self.fan_out:
             self.compact()
 
     def compact(self) -> None:
         if len(self.runs) > 1:
-            old, self.runs = self.runs, [cut(self._merged(self._all()), "run")]
+            old, self.runs = self.runs, [self.write(self._merged(self._all(), False), "run")]
             for run in old:
-                release(run)
+                self.drop(run)
 
     def _all(self) -> DataFrame:
-        out = self.runs[0]
+        out = self.runs[0] if self.runs else self.spark.createDataFrame([], self.run)
         for run in self.runs[1:]:
             out = out.unionByName(run)
         return out
 
-    def _merged(self, runs: DataFrame) -> DataFrame:
+    def _merged(self, rows: DataFrame, sent: bool) -> DataFrame:
+        with_checks = self.checks
+
         def work(t: pa.Table) -> pa.Table:
-            keys, twice = merge_run(joined(t, "keys", np.uint64)[0], joined(t, "twice", np.uint8)[0])
-            return pa.table({"bucket": t.column("bucket").slice(0, 1), "keys": pa.array([keys.tobytes()]), "twice": pa.array([twice.astype(np.uint8).tobytes()])})
+            keys, checks, holders, _ = entries(t, sent, with_checks)
+            order, first = grouped(keys, checks)
+            lone = np.diff(np.append(first, len(keys))) == 1
+            arrays = [keys[order[first]], np.where(lone, holders[order[first]], MANY), *[checks[order[first]]] * with_checks]
+            return pa.table([t.column("bucket").slice(0, 1), *(pa.array([x.tobytes()]) for x in arrays)], ["bucket", "keys", "holders", "checks"][: 1 + len(arrays)])
+
+        return rows.groupBy("bucket").applyInArrow(work, self.run)
 
-        return runs.groupBy("bucket").applyInArrow(work, RUN)
+    def hits(self, sent: DataFrame, least: int = 1, late: bool = False) -> DataFrame:
+        """Merge-joins messages with the runs; replies (block, keys and, with checks, checks).
 
-    def hits(self, sent: DataFrame, least: int = 2) -> DataFrame:
-        """Merge-joins messages with the runs; replies (block, keys) with the fingerprints the index holds
-        `least` times: 1 for a batch that isn't in the index yet, 2 for one that is."""
+        least = 1: for a batch that isn't in the log yet, what the log or the batch holds elsewhere; 2: for one that is.
+        With late also to earlier blocks, what they held alone until now.
+        """
+        with_checks = self.checks
 
         def work(left: pa.Table, right: pa.Table) -> pa.Table:
-            keys, twice = merge_run(joined(right, "keys", np.uint64)[0], joined(right, "twice", np.uint8)[0])
-            held = keys if least == 1 else keys[twice.astype(bool)]
-            blocks, out = [], []
-            for row in range(left.num_rows):
-                mine = np.frombuffer(left.column("keys")[row].as_py(), np.uint64)
-                own = np.frombuffer(left.column("more0")[row].as_py(), np.uint8) > 0
-                found = mine[member(mine, held) | (own if least == 1 else False)]
-                if len(found):
-                    blocks.append(left.column("block")[row].as_py())
-                    out.append(found.tobytes())
-            return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(out, pa.binary())})
-
-        return sent.groupBy("bucket").cogroup(self._all().groupBy("bucket")).applyInArrow(work, "block long, keys binary")
-
-
-def digests_twice(sent: DataFrame) -> DataFrame:
-    """Replies (block, keys): first hashes of the windows that are held twice, by both hashes."""
-
-    def work(t: pa.Table) -> pa.Table:
-        a, at = joined(t, "keys", np.uint64)
-        b, _ = joined(t, "more0", np.uint32)
-        own, _ = joined(t, "more1", np.uint8)
-        order = np.lexsort((b, a))
-        x, y = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-        size = np.diff(np.append(first, len(x)))
-        dup = (size > 1) | (np.maximum.reduceat(own[order], first) > 0)
-        flag = np.zeros(len(a), bool)
-        flag[order] = np.repeat(dup, size)
-        rows = [i for i in range(t.num_rows) if flag[at[i] : at[i + 1]].any()]
-        return pa.table({"block": t.column("block").take(pa.array(rows, pa.int64())), "keys": pa.array([a[at[i] : at[i + 1]][flag[at[i] : at[i + 1]]].tobytes() for i in rows], pa.binary())})
-
-    return sent.groupBy("bucket").applyInArrow(work, "block long, keys binary")
+            k0, c0, h0, _ = entries(right, False, with_checks)
+            k1, c1, h1, at = entries(left, True, with_checks)
+            keys, checks, holders = np.concatenate([k0, k1]), np.concatenate([c0, c1]), np.concatenate([h0, h1])
+            order, first = grouped(keys, checks)
+            size = np.diff(np.append(first, len(keys)))
+            old = order < len(k0)
+
+            def count(x: np.ndarray) -> np.ndarray:
+                """The sum over each distinct key, at all of its entries."""
+                return np.repeat(np.add.reduceat(x.astype(np.int64), first), size) if len(first) else x
+
+            again = np.zeros(len(keys), bool)
+            again[order] = count((old if least == 2 else 1) * np.where(holders[order] == MANY, 2, 1)) > 1
+            mine = again[len(k0) :]
+            out = [(left.column("block")[i].as_py(), k1[x][mine[x]], c1[x][mine[x]]) for i in range(left.num_rows) for x in [slice(at[i], at[i + 1])] if mine[x].any()]
+            if late and len(first):
+                lone = np.sort(order[old & (count(old) == 1) & (count(~old) > 0)])
+                lone = lone[h0[lone] != MANY]
+                lone = lone[np.argsort(h0[lone], kind="stable")]
+                blocks, starts = np.unique(h0[lone], return_index=True)
+                out += [(b, k0[x], c0[x]) for b, x in zip(blocks.tolist(), np.split(lone, starts[1:]), strict=len(blocks) > 0)]
+            arrays = [pa.array([b for b, *_ in out], pa.int64()), pa.array([k.tobytes() for _, k, _ in out], pa.binary()), *[pa.array([c.tobytes() for *_, c in out], pa.binary())] * with_checks]
+            return pa.table(arrays, ["block", "keys", "checks"][: len(arrays)])
+
+        return sent.groupBy("bucket").cogroup(self._all().groupBy("bucket")).applyInArrow(work, "block long, keys binary" + ", checks binary" * with_checks)
 
 
 def kept_words(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,66 +172,153 @@ def kept_words(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw[taken], np.concatenate([[0], np.cumsum(per_doc(taken[:-1], words.at))])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fan_out: int = 4, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces."""
-    spark = docs.sparkSession
-    blocks = to_blocks(docs, id_col, text_col)
-    buckets = bucket_count(blocks)
+class SubstringLog:
+    """Documents in blocks, batch by batch, with both families of runs and the verdicts so far."""
+
+    def __init__(self, spark: SparkSession, buckets: int, window: int = WINDOW, gram: int = GRAM, fan_out: int = 4, folder: str | None = None):
+        self.spark, self.buckets, self.window, self.gram, self.fan_out, self.folder = spark, buckets, window, gram, fan_out, folder
+        self.batches, self.blocks, self.verdicts = 0, [], []
+        self.prints = FingerprintLog(spark, fan_out, False, self._write, self._drop)
+        self.windows = FingerprintLog(spark, fan_out, True, self._write, self._drop)
 
-    def marks(block: Block) -> pa.RecordBatch | None:
-        words = Words(block.raw, block.at)
-        _, keys = fingerprints(words, N1.sums(words.hashes()), window, gram)
-        keys, twice = merge_run(keys, np.zeros(len(keys), np.uint8))
-        return messages(block.number, keys, buckets, twice.astype(np.uint8))
+    # --- tables, in the log's folder if it has one
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        if not self.folder:
+            return cut(df, name)
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self._read(path, df.schema)
+
+    def _read(self, path: str, schema) -> DataFrame:
+        out = self.spark.read.schema(schema).parquet(path)
+        out._log_path = path
+        return out
 
-    sent = cut(send(blocks, marks, 1), "fingerprints")
-    log = FingerprintLog(spark, fan_out)
+    def _drop(self, df: DataFrame) -> None:
+        # a folder's old runs stay until the next manifest no longer lists them
+        self.stale = [*getattr(self, "stale", []), df._log_path] if self.folder else release(df)
+
+    def _save(self) -> None:
+        """Writes the next manifest; only tables that the newest one lists count."""
+        tables = {"blocks": self.blocks, "verdicts": self.verdicts, "prints": self.prints.runs, "windows": self.windows.runs}
+        said = {"batches": self.batches, "buckets": self.buckets, "window": self.window, "gram": self.gram, "fan_out": self.fan_out}
+        said["tables"] = {k: [(x._log_path, x.schema.json()) for x in v] for k, v in tables.items()}
+        self.spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.batches:06d}")
+        for path in getattr(self, "stale", []):
+            drop_path(self.spark, path)
+        self.stale = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> SubstringLog:
+        """The log that a folder holds, by its newest whole manifest."""
+        from pyspark.sql.types import StructType
+
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = sorted(str(x.getPath().toString()) for x in fs.listStatus(path) if x.getPath().getName().startswith("manifest-"))
+        whole = [x for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
+        said = json.loads(spark.read.text(whole[-1]).first()[0])
+        log = cls(spark, said["buckets"], said["window"], said["gram"], said["fan_out"], folder)
+        log.batches = said["batches"]
+        tables = {k: [log._read(x, StructType.fromJson(json.loads(schema))) for x, schema in v] for k, v in said["tables"].items()}
+        log.blocks, log.verdicts, log.prints.runs, log.windows.runs = (tables[k] for k in ("blocks", "verdicts", "prints", "windows"))
+        return log
+
+    # --- batches
+    def add_documents(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """One batch: documents that the log doesn't hold yet (their repeats within it and with it count alike)."""
+        blocks = to_blocks(docs, id_col, text_col, batch=self.batches + 1)
+        self.add(self._write(blocks, "blocks") if self.folder else blocks)
+
+    def add(self, blocks: DataFrame) -> None:
+        window, gram, buckets = self.window, self.gram, self.buckets
+
+        def marks(block: Block) -> pa.RecordBatch | None:
+            words = Words(block.raw, block.at)
+            _, keys = fingerprints(words, N1.sums(words.hashes()), window, gram)
+            keys, _, twice = distinct(keys, np.zeros(len(keys), np.uint64))
+            return messages(block.number, keys, buckets, twice)
+
+        def digests(block: Block, replies: pa.Table) -> pa.Table:
+            words = Words(block.raw, block.at)
+            sums = N1.sums(words.hashes())
+            # each window belongs to one fingerprint, so a block sends it once in all batches
+            fits, least = words.fits(window), slide_min(N1.windows(sums, gram), window - gram + 1)
+            where = np.flatnonzero(fits & member(mix(least), np.unique(joined(replies, "keys", np.uint64)[0])))
+            a = N1.windows(sums, window)[where]
+            b = N2.windows(N2.sums(words.hashes(R2)), window)[where]
+            a, b, twice = distinct(a, b)
+            out = messages(block.number, a, buckets, twice, b)
+            return none if out is None else pa.Table.from_batches([out])
+
+        none = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("more0", pa.binary()), ("more1", pa.binary())]).empty_table()
+        self.batches += 1
+        self.blocks.append(blocks)
+        sent = cut(send(blocks, marks, 1), "fingerprints")
+        hits = cut(self.prints.hits(sent, late=True), "hits")
+        self.prints.append(sent)
+        release(sent)
+        tidy(self.spark)
+        met = self.all_blocks().join(hits.select("block").distinct(), "block", "left_semi")
+        second = cut(answer(met, hits, digests, "bucket long, block long, keys binary, more0 binary, more1 binary"), "windows")
+        release(hits)
+        tidy(self.spark)
+        # an earlier block's opened windows count as new ones: what it held alone comes in now, with the batch's
+        self.verdicts.append(self._write(self.windows.hits(second, late=True), "verdicts"))
+        self.windows.append(second)
+        release(second)
+        tidy(self.spark)
+        if self.folder:
+            self._save()
+
+    def all_blocks(self) -> DataFrame:
+        out = self.blocks[0]
+        for x in self.blocks[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def results(self, with_text: bool = True, id_col: str = "doc_id") -> DataFrame:
+        """One row per document of all batches: id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces."""
+        window = self.window
+
+        def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
+            words = Words(block.raw, block.at)
+            fits = words.fits(window)
+            gone = np.zeros(len(words), bool)
+            if replies.num_rows and len(fits):
+                a, b, _ = distinct(joined(replies, "keys", np.uint64)[0], joined(replies, "checks", np.uint64)[0])
+                where = np.flatnonzero(fits)
+                mine = N1.windows(N1.sums(words.hashes()), window)[where]
+                ok = member(mine, a)
+                where, mine = where[ok], mine[ok]
+                check = N2.windows(N2.sums(words.hashes(R2)), window)[where]
+                lo, hi = np.searchsorted(a, mine, "left"), np.searchsorted(a, mine, "right")
+                same = np.zeros(len(where), bool)
+                for i in range(int((hi - lo).max(initial=0))):  # more than once only where first hashes collide
+                    same |= (lo + i < hi) & (b[np.minimum(lo + i, len(b) - 1)] == check)
+                flags = np.zeros(len(fits), bool)
+                flags[where[same]] = True
+                gone = cover(flags, window, len(words))
+            kept, at = kept_words(words, ~gone)
+            sha = [hashlib.sha256(kept[at[i] : at[i + 1]]).hexdigest() for i in range(len(block.ids))]
+            columns = [pa.array(block.ids), pa.array(np.diff(words.first)), pa.array(per_doc(gone, words.first)), pa.array(sha, pa.string())]
+            if with_text:
+                columns.append(pa.array([kept[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(block.ids))], pa.string()))
+            return pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
+
+        found = self.verdicts[0]
+        for x in self.verdicts[1:]:
+            found = found.unionByName(x)
+        return answer(self.all_blocks(), found, clean, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fan_out: int = 3, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces."""
+    blocks = to_blocks(docs, id_col, text_col)
+    log = SubstringLog(docs.sparkSession, bucket_count(blocks), window, gram, fan_out)
     for i in range(batches):
-        log.append(sent.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == i))
-    log.compact()
-
-    def digests(block: Block, replies: pa.Table) -> pa.Table:
-        words = Words(block.raw, block.at)
-        hashes = words.hashes()
-        sums = N1.sums(hashes)
-        at, keys = fingerprints(words, sums, window, gram)
-        held = np.sort(joined(replies, "keys", np.uint64)[0])
-        fits = words.fits(window)
-        step = np.zeros(len(words) + 1, np.int32)
-        hit = at[member(keys, held)]
-        np.add.at(step, np.maximum(hit - (window - gram), 0), 1)
-        np.subtract.at(step, hit + 1, 1)
-        where = np.flatnonzero((np.cumsum(step[:-1]) > 0)[: len(fits)] & fits) if len(fits) else np.zeros(0, np.int64)
-        a = N1.windows(sums, window)[where]
-        b = (N2.windows(N2.sums(hashes), window)[where] >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-        own = (np.diff(np.append(first, len(a))) > 1).astype(np.uint8)
-        out = messages(block.number, a[first], buckets, b[first], own)
-        return none if out is None else pa.Table.from_batches([out])
-
-    none = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("more0", pa.binary()), ("more1", pa.binary())]).empty_table()
-    hits = cut(log.hits(sent), "hits")
-    for x in (sent, *log.runs):
-        release(x)
-    tidy(spark)
-    second = answer(blocks, hits, digests, "bucket long, block long, keys binary, more0 binary, more1 binary")
-    found = cut(digests_twice(second), "windows")
-    release(hits)
-    tidy(spark)
-
-    def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
-        words = Words(block.raw, block.at)
-        fits = words.fits(window)
-        gone = np.zeros(len(words), bool)
-        if replies.num_rows and len(fits):
-            gone = cover(fits & member(N1.windows(N1.sums(words.hashes()), window), np.sort(joined(replies, "keys", np.uint64)[0])), window, len(words))
-        kept, at = kept_words(words, ~gone)
-        sha = [hashlib.sha256(kept[at[i] : at[i + 1]]).hexdigest() for i in range(len(block.ids))]
-        columns = [pa.array(block.ids), pa.array(np.diff(words.first)), pa.array(per_doc(gone, words.first)), pa.array(sha, pa.string())]
-        if with_text:
-            columns.append(pa.array([kept[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(block.ids))], pa.string()))
-        return pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
-
-    return answer(blocks, found, clean, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        log.add(blocks.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == i))
+    words = F.expr(f"regexp_extract_all(coalesce(cast(`{text_col}` as string), ''), '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")
+    whole = F.array_join(words, " ")
+    nameless = [F.size(words).cast("long"), F.lit(0).cast("long"), F.sha2(whole.cast("binary"), 256), *[whole] * with_text]
+    return log.results(with_text, id_col).union(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), *nameless))
