@@ -84,4 +84,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; tests hold the others against brute force, round trips or held-out labels."""
+    from . import oracles
+
+    return {
+        "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op3_repetition_quality": oracles.repetition(),
+        "op6_fingerprint_log": oracles.SUBSTRINGS,
+        "op7_winnow_decontamination": oracles.DECONTAMINATION,
+        "op9_url_bloom_filter": oracles.url_rules(URL_RULES),
+        "op10_minhash_join": oracles.NEAR_DUPLICATES,
+    }
