@@ -65,23 +65,30 @@ SPECIAL_STRINGS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<tool_call>",
 TOOL_NAMES = ["run_bash", "run_python", "save_tool", "run_tool", "rag_search", "read_file", "write_file", "edit_file", "list_dir", "glob_files", "grep_files"]
 
 # Words that a query doesn't score by.
-STOP_WORDS = (
-    "the and for this that with from are was not but can will has had its all any"
-    " let mut pub use mod ref str self true false crate super where"
-    " i32 u32 i64 u64 f32 f64 usize bool fn impl struct enum type const"
-    " var val new return if else while in to of is it be as do"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "this", "that", "with", "from", "are", "was", "not", "but", "can", "will", "has", "had", "its", "all", "any", "let",
+    "mut", "pub", "use", "mod", "ref", "str", "self", "true", "false", "crate", "super", "where", "i32", "u32", "i64", "u64", "f32", "f64",
+    "usize", "bool", "fn", "impl", "struct", "enum", "type", "const", "var", "val", "new", "return", "if", "else", "while", "in", "to", "of",
+    "is", "it", "be", "as", "do",
+]
 
 # What the workspace walk admits and skips.
-WORKSPACE_EXTS = (
-    "ts tsx js jsx rs c cpp h hpp py go java html css sql sh bash toml yaml yml json md txt rb swift kt cs lua zig asm"
-    " s vue svelte astro graphql gql proto cmake mk xml ini cfg conf hbs ejs pug scss sass less styl wat"
-).split()
+WORKSPACE_EXTS = [
+    "ts", "tsx", "js", "jsx", "rs", "c", "cpp", "h", "hpp", "py", "go", "java", "html", "css", "sql", "sh", "bash", "toml", "yaml", "yml",
+    "json", "md", "txt", "rb", "swift", "kt", "cs", "lua", "zig", "asm", "s", "vue", "svelte", "astro", "graphql", "gql", "proto", "cmake",
+    "mk", "xml", "ini", "cfg", "conf", "hbs", "ejs", "pug", "scss", "sass", "less", "styl", "wat",
+]
 WORKSPACE_FILES = ["makefile", "dockerfile", "cmakelists.txt", ".gitignore", ".env"]
-WORKSPACE_SKIP = ".git target node_modules dist build out __pycache__ .venv venv data models .idea .vscode bin obj vendor .next coverage".split()
+WORKSPACE_SKIP = [
+    ".git", "target", "node_modules", "dist", "build", "out", "__pycache__", ".venv", "venv", "data", "models", ".idea", ".vscode", "bin",
+    "obj", "vendor", ".next", "coverage",
+]
 WORKSPACE_DEPTH = 16
 #: Of the walk that search tools and path indexing share (case matters).
-TOOL_SKIP = ".git node_modules target build dist out vendor __pycache__ .venv venv .mypy_cache .pytest_cache .idea .vscode .cargo .next .nuxt coverage".split()
+TOOL_SKIP = [
+    ".git", "node_modules", "target", "build", "dist", "out", "vendor", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache",
+    ".idea", ".vscode", ".cargo", ".next", ".nuxt", "coverage",
+]
 TOOL_DEPTH = 24
 
 # Reasoning efforts, weakest first.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -58,7 +59,7 @@ def chunks(spark, d) -> DataFrame:
     """Documents with vectors, as chunks of one file per source; each source's first document is its summary."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
     rows = e.join(read(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
-    rows = rows.withColumn("first", F.min("doc_id").over(Window.partitionBy("source")))
+    rows = rows.join(rows.groupBy("source").agg(F.min("doc_id").alias("first")), "source", "left")
     return chunking.with_search_columns(
         rows.select(
             F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("source"), "text", F.col("source").alias("file"),
@@ -74,13 +75,6 @@ CHUNKS = """chunks as (select d.doc_id as chunk_id, concat(d.source, '/', d.doc_
   from embeddings e join documents d on e.vec_id = d.doc_id)"""
 
 
-def asked(spark, d, n: int = 5) -> DataFrame:
-    """Queries: vectors of the first embeddings, the first eight words of benchmark items."""
-    e = read(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    b = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.words(F.col("text")), 1, 8), " ").alias("query_text"))
-    return e.join(b, "query_id")
-
-
 def every_asked(spark, d) -> DataFrame:
     """Queries: every embedding whose id is divisible by 20, with the whole text of the benchmark item of its id.
 
@@ -91,9 +85,8 @@ def every_asked(spark, d) -> DataFrame:
     return e.join(b, "query_id", "left").withColumn("query_text", F.coalesce("query_text", F.lit("")))
 
 
-ASKED = """asked as (select e.vec_id as query_id, e.embedding::DOUBLE[] as qv,
-  array_to_string(list_slice(list_filter(string_split_regex(b.text, '\\s+'), lambda w: w <> ''), 1, 8), ' ') as query_text
-  from embeddings e join benchmark b on e.vec_id = b.item_id where e.vec_id < 5)"""
+ASKED = """asked as (select e.vec_id as query_id, e.embedding::DOUBLE[] as qv, coalesce(b.text, '') as query_text
+  from embeddings e left join benchmark b on e.vec_id = b.item_id where e.vec_id % 20 = 0)"""
 TERMS = f"""terms as (select query_id, unnest(list_filter(list_transform(string_split_regex(query_text, '[\\s:.()]+'),
   lambda t: lower(regexp_replace(regexp_replace(t, '^[^\\p{{L}}\\p{{N}}_]+', ''), '[^\\p{{L}}\\p{{N}}_]+$', ''))), lambda t: t <> '' and not list_contains({quoted(T.STOP_WORDS)}, t))) as term from asked),
  stats as (select count(*) as n, greatest(avg(words), 1.0) as mean from chunks),
@@ -103,9 +96,10 @@ NEAR = """near as (select query_id, chunk_id, round(list_cosine_similarity(qv, v
  ranked as (select *, row_number() over (partition by query_id order by cos desc, chunk_id) as r from near)"""
 BM25 = """tfs as (select t.query_id, c.chunk_id, i.idf, c.words, (length(c.text_lc) - length(replace(c.text_lc, t.term, ''))) / length(t.term) as tf
    from terms t join idfs i using (term), chunks c),
- scores as (select query_id, chunk_id, sum(case when tf > 0 then idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * words / mean)) else 0 end) as raw from tfs, stats group by query_id, chunk_id)"""
+ found as (select query_id, chunk_id, sum(case when tf > 0 then idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * words / mean)) else 0 end) as raw from tfs, stats group by query_id, chunk_id),
+ scores as (select a.query_id, c.chunk_id, coalesce(f.raw, 0) as raw from asked a cross join chunks c left join found f using (query_id, chunk_id))"""
 POOL = """pool as (select query_id, chunk_id, cos from (select r.*, row_number() over (partition by query_id order by r.r) as k from ranked r join chunks c using (chunk_id) where r.r <= 60 and c.domain = 'code') where k <= 40),
- mixed as (select p.query_id, p.chunk_id, p.cos, round(0.7 * p.cos + 0.3 * (s.raw / (s.raw + 1)), 6) as score from pool p join scores s using (query_id, chunk_id))"""
+ mixed as (select p.query_id, p.chunk_id, p.cos, case when p.query_id in (select query_id from terms) then round(0.7 * p.cos + 0.3 * (s.raw / (s.raw + 1)), 6) else p.cos end as score from pool p join scores s using (query_id, chunk_id))"""
 
 
 # --- chunking and projections --------------------------------------------------------------
@@ -185,11 +179,11 @@ def content_tags(spark, d):
     return docs.unionByName(pages).select("id", X.content_tags(F.col("t")).alias("tags"))
 
 
-@query(f"""with t as (select doc_id, concat(source, '.', ({quoted(['rs', 'py', 'md', 'none'])})[doc_id % 4 + 1]) as f, left(text, 80) as t from documents)
+@query(f"""with t as (select doc_id, concat(source, '.', ({quoted(['rs', 'py', 'md', 'none'])})[doc_id % 4 + 1]) as f, text as t from documents)
  select doc_id, concat('File: ', f, ' | Language: ', ({quoted(['Rust', 'Python', 'Markdown', 'Text'])})[doc_id % 4 + 1], ' | Lines: 1-', doc_id, ' | Contains: ', {tag_sql('t')}, chr(10), t) as text from t""")
 def metadata_header(spark, d):
     name = F.concat(F.col("source"), F.lit("."), F.get(F.array(*map(F.lit, ["rs", "py", "md", "none"])), (F.col("doc_id") % 4).cast("int")))
-    return read(spark, d, "documents").select("doc_id", X.metadata_header(name, F.left("text", F.lit(80)), F.lit(1).cast("long"), F.col("doc_id")).alias("text"))
+    return read(spark, d, "documents").select("doc_id", X.metadata_header(name, F.col("text"), F.lit(1).cast("long"), F.col("doc_id")).alias("text"))
 
 
 def neutral_sql(text: str, marks) -> str:
@@ -268,7 +262,7 @@ def effort_and_size(spark, d):
 
 @query(f"with {CHUNKS}, {ASKED}, {NEAR} select query_id, chunk_id, cos, r as rank from ranked where r <= 10")
 def cosine_topk(spark, d):
-    return vector.knn(asked(spark, d), chunks(spark, d), 10)
+    return vector.knn(every_asked(spark, d), chunks(spark, d), 10)
 
 
 @query("""select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) as cos from embeddings a join embeddings b on a.vec_id < b.vec_id
@@ -279,12 +273,12 @@ def cosine_allpairs_threshold(spark, d):
 
 @query(f"""with {CHUNKS}, {ASKED}, {NEAR} select query_id, chunk_id, cos from (select r.*, row_number() over (partition by query_id order by r.r) as k from ranked r join chunks c using (chunk_id) where r.r <= 60 and c.domain = 'text') where k <= 40""")
 def knn_domain_post_filter(spark, d):
-    return retrieval.candidates(asked(spark, d), chunks(spark, d), 5, "text", RetrievalOptions())
+    return retrieval.candidates(every_asked(spark, d), chunks(spark, d), 5, "text", RetrievalOptions())
 
 
 @query(f"with {CHUNKS}, {ASKED}, {TERMS} select term, df, round(idf, 6) as idf from idfs")
 def bm25_df_idf(spark, d):
-    c, q = chunks(spark, d), asked(spark, d)
+    c, q = chunks(spark, d), every_asked(spark, d)
     terms = sorted(r[0] for r in q.select(F.explode(bm25.query_terms(F.col("query_text")))).distinct().collect())
     n, _ = bm25.corpus_stats(c)
     return bm25.document_frequency(c, terms).select("term", "df", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
@@ -293,7 +287,7 @@ def bm25_df_idf(spark, d):
 @query(f"""with {CHUNKS}, {ASKED}, {TERMS}, {BM25} select query_id, chunk_id, score, rank from (select query_id, chunk_id, round(raw, 6) as score, row_number() over (partition by query_id order by round(raw, 6) desc, chunk_id) as rank from scores) where rank <= 10""")
 def bm25_topk(spark, d):
     c = chunks(spark, d)
-    q = bm25.prepare(asked(spark, d), c)
+    q = bm25.prepare(every_asked(spark, d), c)
     _, mean = bm25.corpus_stats(c)
     # the stated queries, a handful of rows, are compared with every chunk
     rows = c.select("chunk_id", "text_lc", "words").join(F.broadcast(q.select("query_id", "weights")), F.lit(True)).select("query_id", "chunk_id", F.round(bm25.score(F.col("weights"), F.col("text_lc"), F.col("words"), mean), 6).alias("score"))
@@ -303,14 +297,14 @@ def bm25_topk(spark, d):
 
 @query(f"with {CHUNKS}, {ASKED}, {TERMS}, {BM25}, {NEAR}, {POOL} select * from (select query_id, chunk_id, cos, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from mixed) where rank <= 5")
 def hybrid_topk(spark, d):
-    c, q, o = chunks(spark, d), asked(spark, d), RetrievalOptions()
+    c, q, o = chunks(spark, d), every_asked(spark, d), RetrievalOptions()
     rows = retrieval.hybrid(retrieval.candidates(q, c, 5, "code", o), q, c, o)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long")).where("rank <= 5")
 
 
 @query(f"with {CHUNKS}, {ASKED}, {TERMS}, {BM25}, {NEAR}, {POOL} select query_id, chunk_id, cos, score from mixed where score >= 0.25")
 def hybrid_threshold(spark, d):
-    c, q, o = chunks(spark, d), asked(spark, d), RetrievalOptions()
+    c, q, o = chunks(spark, d), every_asked(spark, d), RetrievalOptions()
     return retrieval.hybrid(retrieval.candidates(q, c, 5, "code", o), q, c, o).where(F.col("score") >= o.min_similarity)
 
 
@@ -329,7 +323,7 @@ def mmr_rerank(spark, d):
    union all select query_id, pick, chunk_id, cos, n from kids where n <= 3 and cos >= 0.25)
  select query_id, row_number() over (partition by query_id order by pick, n) as rank, chunk_id, score from both_""")
 def hierarchical_expand(spark, d):
-    c, q = chunks(spark, d), asked(spark, d)
+    c, q = chunks(spark, d), every_asked(spark, d)
     picked = vector.knn(q, c, 20).select("query_id", "chunk_id", "cos", F.col("cos").alias("score"), F.col("rank").alias("pick"))
     return retrieval.expand_summaries(picked, q, c, 1000, RetrievalOptions())
 
@@ -337,7 +331,7 @@ def hierarchical_expand(spark, d):
 @query(f"""with {CHUNKS}, {ASKED}, {NEAR}, per as (select r.query_id, r.chunk_id, r.cos as score, c.domain, row_number() over (partition by r.query_id, c.domain order by r.cos desc, r.chunk_id) as k from ranked r join chunks c using (chunk_id))
  select query_id, chunk_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, domain, k) as rank from per where k <= 5) where rank <= 5""")
 def multi_domain_merge(spark, d):
-    c, q = chunks(spark, d), asked(spark, d)
+    c, q = chunks(spark, d), every_asked(spark, d)
     parts = [vector.knn(q, c.where(F.col("domain") == x), 5).withColumn("domain", F.lit(x)) for x in ("code", "text")]
     order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "domain", "rank")
     rows = parts[0].unionByName(parts[1]).withColumn("merged", F.row_number().over(order).cast("long")).where("merged <= 5")
@@ -449,7 +443,7 @@ def evict_to_fit(spark, d):
 # --- intervals -----------------------------------------------------------------------------
 
 
-SPANS = "select l_suppkey as key, l_partkey as a, l_partkey + l_linenumber as b from lineitem where l_partkey <= 2000"
+SPANS = "select l_suppkey as key, l_partkey as a, l_partkey + l_linenumber as b from lineitem"
 MERGED = f"""spans as ({SPANS}), f as (select *, case when a > max(b) over (partition by key order by a, b rows between unbounded preceding and 1 preceding) + 1 + {{0}} then 1 else 0 end as fresh from spans),
  i as (select *, sum(fresh) over (partition by key order by a, b rows between unbounded preceding and current row) as island from f), merged as (select key, min(a) as a, max(b) as b from i group by key, island)"""
 
@@ -464,7 +458,7 @@ def interval_merge(spark, d):
 
 
 @query(f"""with {MERGED.format(0)}, g as (select key, a, coalesce(lag(b) over (partition by key order by a), 0) as before from merged)
- select key, before + 1 as a, a - 1 as b from g where a > before + 1 union all select key, max(b) + 1, 2100 from merged group by key having max(b) < 2100""")
+ select key, before + 1 as a, a - 1 as b from g where a > before + 1 union all select key, max(b) + 1, most from merged, (select greatest(2100, max(b)) as most from merged) group by key, most having max(b) < most""")
 def interval_gaps(spark, d):
     """Gaps up to the greatest end of any interval, and up to 2100 at least."""
     spans = _spans(spark, d)
@@ -604,7 +598,7 @@ def _frames(spark, d):
     return e.select("stream", F.col("event_id").alias("seq"), line.alias("line")).unionByName(done)
 
 
-LIVE = "live as (select event_id % 100 as stream, event_id as seq, * from events e where event_id % 11 <> 0 and event_id % 13 <> 0 and event_id < coalesce((select min(x.event_id) from events x where x.event_id >= 9000 and x.event_id % 100 = e.event_id % 100 and x.event_id % 11 <> 0 and x.event_id % 13 <> 0), 1000000000000))"
+LIVE = "live as (select event_id % 100 as stream, event_id as seq, * from events where event_id % 11 <> 0 and event_id % 13 <> 0)"
 
 
 @query(f"with {LIVE} select stream, seq, case when seq % 3 = 0 then concat(event_type, ' ') end as content, case when seq % 50 = 49 then 'stop' end as finish_reason from live")
@@ -625,8 +619,7 @@ def round_result(spark, d):
 @query("select concat('u', user_id) as path, max_by(props, event_id) as text from events group by 1")
 def stream_upsert(spark, d):
     """Events as a stream of file contents, indexed as they come; the final table."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    base = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     rows = source.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), F.col("props").alias("text"))
@@ -634,6 +627,14 @@ def stream_upsert(spark, d):
     return events.latest(spark.read.schema("path string, hash long, seq long, text string, batch long").parquet(f"{base}/table")).select("path", "text")
 
 
+def _shared(spark) -> str:
+    """spark.checkpoint.dir; where it is unset, in a session of one machine, a temporary folder."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (where or "file://" + tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
+
+
 def _is_folder(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

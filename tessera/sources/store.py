@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.code_chunker import code_chunks
 from ..operators.chunking import cap_per_file, line_windows, not_blank, text_windows, with_search_columns
 from ..operators.vector import check_vectors
 from ..session import RetrievalOptions
 from . import files as S
 
 SCHEMA = "chunk_id long, source string, text string, kind string, file string, vector array<float>, domain string"
+COLUMNS = [f.split()[0] for f in SCHEMA.split(", ")]
 
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -63,25 +65,40 @@ class ChunkStore:
     def _write(self, rows: DataFrame) -> None:
         old = self._versions()
         number = int(old[-1][1:9]) + 1 if old else 1
-        rows.select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.partitionBy("domain").parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+        rows.select(*COLUMNS).write.partitionBy("domain").parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
         for name in old[:-1]:  # the last but one stays for readers that have begun
             self.fs.delete(self.fs_path(f"{self.path}/{name}"), True)
 
     def put(self, incoming: DataFrame) -> int:
-        """Upserts chunks with vectors; returns how many came."""
-        stored = self.read()
-        held = stored.select(F.size("vector")).limit(1).collect()
-        check_vectors(incoming, held[0][0] if held else None)
-        self._write(upsert(stored, incoming))
-        return incoming.count()
+        """Upserts chunks with vectors; returns how many came.  What comes is computed once, into a folder of its own."""
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        try:
+            incoming.select(*COLUMNS).write.parquet(staged)
+            incoming = self.spark.read.schema(SCHEMA).parquet(staged)
+            stored = self.read()
+            held = stored.select(F.size("vector")).limit(1).collect()
+            check_vectors(incoming, held[0][0] if held else None)
+            self._write(upsert(stored, incoming))
+            return incoming.count()
+        finally:
+            self.fs.delete(self.fs_path(staged), True)
 
     def index(self, files: DataFrame, embed, domain: str = "code") -> dict:
-        """Chunks files (name, content), embeds and stores them; embed(chunks) adds `vector`."""
-        domain = "text" if domain == "text" else "code"
-        made = text_windows(files) if domain == "text" else line_windows(files, self.options.chunk_size, self.options.chunk_overlap)
+        """Chunks files (name, content), embeds and stores them; embed(chunks) adds `vector`.
+
+        Code is cut by its syntax; files that this leaves without a chunk get line windows.
+        """
+        domain, cut = "text" if domain == "text" else "code", None
+        if domain == "text":
+            made = text_windows(files)
+        else:
+            cut = code_chunks(files.select("name", "content", F.lit("").alias("language"))).select("file", "seq", "source", "text", "kind").persist()
+            rest = files.join(cut.select(F.col("file").alias("name")).distinct(), "name", "left_anti")
+            made = cut.unionByName(line_windows(rest, self.options.chunk_size, self.options.chunk_overlap))
         made = cap_per_file(not_blank(made), self.options.max_chunks_per_file)
-        ready = embed(made).withColumns({"domain": F.lit(domain), "chunk_id": F.xxhash64(F.lit(domain), "file", "seq")})
-        n = self.put(ready.select(*[f.split()[0] for f in SCHEMA.split(", ")]))
+        n = self.put(embed(made).withColumns({"domain": F.lit(domain), "chunk_id": F.xxhash64(F.lit(domain), "file", "seq")}))
+        if cut is not None:
+            cut.unpersist()
         return {"chunks_indexed": n, "domain_total": self.read().where(F.col("domain") == domain).count(), "files": files.select("name").distinct().count()}
 
     def index_path(self, root: str, embed) -> dict:

@@ -150,9 +150,9 @@ def said(spans: list[tuple[int, int]]) -> str:
 
 
 def new_contents(batch: DataFrame, claimed: DataFrame) -> DataFrame:
-    """path, text of a batch whose (path, content) hasn't been indexed; the last by seq of each path."""
+    """path, text of a batch whose content isn't what the path was last indexed with; the last by seq of each path."""
     last = batch.groupBy("path").agg(F.max_by(F.struct("seq", "text"), "seq").alias("r")).select("path", "r.seq", "r.text", X.content_hash(F.col("r.text")).alias("hash"))
-    return last.join(claimed.select("path", "hash"), ["path", "hash"], "left_anti")
+    return last.join(latest(claimed).select("path", "hash"), ["path", "hash"], "left_anti")
 
 
 def stream_upsert(source: DataFrame, table: str, checkpoint: str, index: Callable[[DataFrame], None] = lambda rows: None):
