@@ -37,6 +37,24 @@ def unpack_text(data: bytes, size: int) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=size) if size else b"", np.uint8)
 
 
+def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers by byte planes, compressed; rising ones by their differences."""
+    import zstandard
+
+    if rising:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def loosen(data: bytes, kind=np.uint64, rising: bool = False) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
 class Block:
     """block id, ids of its documents, their bytes end to end, n + 1 offsets."""
 
@@ -111,13 +129,13 @@ def messages(block: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> p
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "keys", *(f"more{i}" for i in range(len(more)))])
 
 
-def send(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch | None], more: int = 0) -> DataFrame:
+def send(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch | None], more: int = 0, keys: str = "keys") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in each_block(batches):
             if (out := work(block)) is not None:
                 yield out
 
-    return blocks.select("block", "ids", "offsets", "text").mapInArrow(run, "bucket long, block long, keys binary" + "".join(f", more{i} binary" for i in range(more)))
+    return blocks.select("block", "ids", "offsets", "text").mapInArrow(run, f"bucket long, block long, {keys} binary" + "".join(f", more{i} binary" for i in range(more)))
 
 
 def joined(t: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +146,14 @@ def joined(t: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tidy(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
+    """Lets Spark delete the shuffle files of plans that are no longer referenced.
+
+    The event of the last query holds its plan until listeners have seen it.
+    """
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm.System.gc()
 
 
 def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch | pa.Table], schema: str, rest: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import functools
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,9 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, in a session of one machine, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -53,11 +56,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Without dictionaries: what is written here is mostly hashes and packed arrays.  A column `kind` gets folders."""
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").partitionBy(*["kind"] * ("kind" in df.columns)).parquet(path)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -68,10 +78,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release(df: DataFrame) -> None:
     """Deletes a table made by cut() that nothing reads any more."""
-    for spark, path in list(_written):
-        if any(f.startswith(path) or path.split(":", 1)[-1].lstrip("/") in f for f in df.inputFiles()[:1]):
-            drop_path(spark, path)
-            _written.remove((spark, path))
+    entry = df.sparkSession, getattr(df, "_written_at", None)
+    if entry in _written:
+        drop_path(*entry)
+        _written.remove(entry)
 
 
 @atexit.register
@@ -134,14 +144,28 @@ GOLD = 0x9E3779B97F4A7C15
 U64 = (1 << 64) - 1
 
 
+#: Elements that one step of a pass works on, so that its arrays stay in the processor's cache.
+STEP = 1 << 14
+TURNS = tuple(map(np.uint64, (30, 27, 31)))
+
+
+def stir(x: np.ndarray, other: np.ndarray) -> None:
+    """mix() in place; other: room for as many numbers."""
+    for turn, by in zip(TURNS, (M1, M2, None), strict=True):
+        np.right_shift(x, turn, out=other)
+        np.bitwise_xor(x, other, out=x)
+        if by is not None:
+            np.multiply(x, by, out=x)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
-    x = x ^ (x >> np.uint64(30))
-    x *= M1
-    x ^= x >> np.uint64(27)
-    x *= M2
-    x ^= x >> np.uint64(31)
-    return x
+    out = np.array(x, np.uint64)
+    flat, room = out.reshape(-1), np.empty(min(out.size, STEP), np.uint64)
+    for lo in range(0, out.size, STEP):
+        part = flat[lo : lo + STEP]
+        stir(part, room[: len(part)])
+    return out
 
 
 def seeded(seed: int, n: int) -> np.ndarray:
@@ -179,8 +203,16 @@ class Rolling:
         """Running sums with a leading 0, of symbols (uint8, or uint64 hashes)."""
         n = len(symbols)
         self._grow(n + 1)
-        out = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.byte[symbols] if symbols.dtype == np.uint8 else symbols) * self.powers[:n], out=out[1:])
+        out, room = np.zeros(n + 1, np.uint64), np.empty(min(n, STEP), np.uint64)
+        for lo in range(0, n, STEP):
+            part = symbols[lo : lo + STEP]
+            t = room[: len(part)]
+            if symbols.dtype == np.uint8:
+                np.take(self.byte, part, out=t, mode="clip")
+                part = t
+            np.multiply(part, self.powers[lo : lo + len(t)], out=t)
+            t[:1] += out[lo : lo + 1]
+            np.cumsum(t, out=out[lo + 1 : lo + 1 + len(t)])
         return out
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -193,9 +225,14 @@ class Rolling:
         if n <= 0:
             return np.zeros(0, np.uint64)
         self._grow(n)
-        out = sums[size:] - sums[:n]
-        out *= self.inverses[:n]
-        return mix(out)
+        out, room = np.empty(n, np.uint64), np.empty(min(n, STEP), np.uint64)
+        for lo in range(0, n, STEP):
+            part = out[lo : lo + STEP]
+            hi = lo + len(part)
+            np.subtract(sums[size + lo : size + hi], sums[lo:hi], out=part)
+            np.multiply(part, self.inverses[lo:hi], out=part)
+            stir(part, room[: len(part)])
+        return out
 
 
 @functools.cache
@@ -276,11 +313,18 @@ def repeated(keys: np.ndarray) -> np.ndarray:
 
 
 def member(keys: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    """Which keys are in the set.  Most keys that aren't are told by a table of the set's low bits."""
     if not len(sorted_set):
         return np.zeros(len(keys), bool)
-    at = np.searchsorted(sorted_set, keys)
+    mask = np.uint64((1 << min(24, len(sorted_set).bit_length() + 3)) - 1)
+    table = np.zeros(int(mask) + 1, bool)
+    table[sorted_set & mask] = True
+    out = table[keys & mask]
+    likely = np.flatnonzero(out)
+    at = np.searchsorted(sorted_set, keys[likely])
     at[at == len(sorted_set)] = 0
-    return sorted_set[at] == keys
+    out[likely] = sorted_set[at] == keys[likely]
+    return out
 
 
 def in_doc(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -301,16 +345,20 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def slide_min(x: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every `size` consecutive values, by doubling."""
+def slide_min(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
+    """Minimum (or what pick says) of every `size` consecutive values, by doubling."""
     n = len(x) - size + 1
     if n <= 0:
         return x[:0]
-    have, out = 1, x
-    while have * 2 <= size:
-        out = np.minimum(out[:-have], out[have:])
-        have *= 2
-    return np.minimum(out[:n], out[size - have : size - have + n]) if have < size else out
+    out = np.empty(n, x.dtype)
+    for lo in range(0, n, STEP):
+        part = out[lo : lo + STEP]
+        have, y = 1, x[lo : lo + len(part) + size - 1]
+        while have * 2 <= size:
+            y = pick(y[:-have], y[have:])
+            have *= 2
+        pick(y[: len(part)], y[size - have : size - have + len(part)], out=part)
+    return out
 
 
 def winnow(grams: np.ndarray, size: int, low: np.ndarray | None = None) -> np.ndarray:
@@ -319,10 +367,6 @@ def winnow(grams: np.ndarray, size: int, low: np.ndarray | None = None) -> np.nd
     if not len(low):
         return np.zeros(0, np.int64)
     # grams[i] is kept if it equals the largest of the window minima over windows that hold it
-    pad = np.zeros(size - 1, grams.dtype)
-    high = ~slide_min(~np.concatenate([pad, low, pad]), size)
-    return np.flatnonzero(grams == high)
-
-
-def row_key(*names: str):
-    return F.xxhash64(*names)
+    padded = np.zeros(len(low) + 2 * (size - 1), grams.dtype)
+    padded[size - 1 : size - 1 + len(low)] = low
+    return np.flatnonzero(grams == slide_min(padded, size, np.maximum))

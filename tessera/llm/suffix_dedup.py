@@ -21,12 +21,17 @@ A byte goes if it lies in a `WINDOW`-byte string that also starts in a document
    of equal prefixes is one string, and its least owner judges it.
 5. Verdicts go back to pieces, and from pieces to every document.
 
-Ranges are sorted in `ROUNDS` rounds and messages are compressed, so that a round's shuffle is small next to
-the texts; the ranges come from a bounded sample of suffixes (`SAMPLED` blocks).  Every exchange sends one message per
-block and range with distinct entries, so what a third of all documents hold is one entry a block.
+Who decides: on the generated tables about an eighth of the text reaches step 2; pieces that later documents hold as a
+whole (grouped by two 64-bit hashes of their bytes) are the most of what is removed, and windows with a smaller owner in
+their own block are settled by the block's suffix array.  Nothing is lost on the way: what a step can't settle goes on.
+Equality of prefixes is that of a 64-bit hash of their 50 bytes, compared between neighbours of the sorted order only.
+
+The ranges come from a bounded sample of suffixes (`SAMPLED` blocks), by their first 16 bytes.  Messages are compressed;
+every exchange sends one message per block and range with distinct entries, so what a third of all documents hold is
+one entry a block.
 
 Defined results: null counts as empty; texts under 50 bytes lose nothing; rows with one id don't remove
-each other's text; rows with a null id are left out; other columns don't matter.
+each other's text; rows with a null id are kept whole and take no part; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,21 +41,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, bucket_count, each_block, joined, messages, pack_text, rest_of, send, tidy, to_blocks
+from .blocks import Block, answer, bucket_count, each_block, joined, loosen, messages, pack_text, rest_of, send, squeeze, tidy, to_blocks
 from .common import R1, R2, U64, as_bytes, col, cut, member, mix, per_doc, release, runs, slices, slide_min, winnow
 
 WINDOW, GRAM = 50, 26
 #: One shared anchor in so many ends a piece; pieces are at least so many windows long.
 EVERY, LEAST_PIECE = 4, 64
-#: The ranges are sorted in so many rounds, which bounds what is on disk at a time.
-ROUNDS = 1
-#: Zero bytes after each fragment, so that ranks near its end exist.
-PAD = 104
-SAMPLED = 1000
+#: Zero bytes after each fragment, so that names near its end exist.
+PAD = 40
+#: The ranges' borders come from so many blocks, and so many suffixes of each.
+SAMPLED, OF_EACH = 1000, 200
 RANK_BITS = np.uint64(36)
 
 
@@ -73,7 +76,9 @@ def near(raw: np.ndarray, at: np.ndarray, low: np.ndarray, held: np.ndarray) ->
     fresh[1:] = low[1:] != low[:-1]
     first = np.flatnonzero(fresh)
     out[: len(low)] = np.repeat(member(mix(low[first]), held), np.diff(np.append(first, len(low))))
-    return out & (np.arange(len(raw)) + WINDOW <= np.repeat(at[1:], np.diff(at)))
+    late = (at[1:, None] - np.arange(1, WINDOW)).ravel()  # starts too near a document's end
+    out[late[late >= 0]] = False
+    return out
 
 
 def pieces_of(raw: np.ndarray, at: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -161,24 +166,26 @@ class Fragments(Block):
         self.owner = np.repeat(np.arange(len(size)), size + PAD)
         rel = np.arange(n) - self.first[self.owner]
         self.left = np.repeat(size, size + PAD) - rel  # bytes to the fragment's end
-        self.kind = (rel // 8) % 3
-        self.char = np.zeros(n, np.uint64)
-        for i in range(8):
-            self.char |= self.text[i : n + i].astype(np.uint64) << np.uint64(56 - 8 * i)
+        self.kind = (np.arange(int(size.max(initial=0)) + PAD) // 8 % 3).astype(np.uint8)[rel]
+        self.char = np.ndarray(n, ">u8", self.text, strides=(1,)).astype(np.uint64)  # eight bytes from each place on
         self.windows = np.flatnonzero(self.left >= WINDOW)
         #: sampled suffixes that get a rank, and those that get a first name
         self.ranked = np.flatnonzero((self.kind > 0) & (self.left >= WINDOW - 16))
         self.named = np.flatnonzero((self.kind > 0) & (self.left >= WINDOW - 16 - 48))
 
     def triples(self) -> np.ndarray:
-        p = self.named
-        last = len(self.char) - 1
-        return np.stack([self.char[p], self.char[np.minimum(p + 8, last)], self.char[np.minimum(p + 16, last)]])
+        return np.stack([self.char[self.named + 8 * i] for i in range(3)])
+
+    def hashes(self, p: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the `size` bytes from each of p on."""
+        if not hasattr(self, "sums"):
+            self.sums = R1.sums(self.text)
+        return R1.spans(self.sums, p, p + size)
 
     def name_triples(self, names: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(self.char) + 64, np.uint64)
+        at = np.zeros(len(self.char), np.uint64)
         at[self.named] = names
-        return np.stack([at[self.ranked], at[self.ranked + 24], at[self.ranked + 48]])
+        return np.stack([at[self.ranked + 24 * i] for i in range(3)])
 
 
 def fragments_in(block: Block, mask: np.ndarray) -> tuple[Block, tuple[np.ndarray, np.ndarray]]:
@@ -192,34 +199,31 @@ def fragments_in(block: Block, mask: np.ndarray) -> tuple[Block, tuple[np.ndarra
     return out, (which.astype(np.int64), (start - block.at[which]).astype(np.int64))
 
 
-def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns of [k, n] in order of the first row, and where each column went."""
-    n = rows.shape[1]
-    order = np.lexsort(rows[::-1])
-    s = rows[:, order]
-    fresh = np.ones(n, bool)
-    if n:
-        fresh[1:] = (s[:, 1:] != s[:, :-1]).any(0)
-    back = np.empty(n, np.int64)
-    back[order] = np.cumsum(fresh) - 1
-    return s[:, fresh], back
-
-
-def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
-    """64-bit numbers by byte planes, compressed; rising ones by their differences."""
-    import zstandard
+def dense(x: np.ndarray) -> np.ndarray:
+    """Ranks of unsigned numbers, from 0; equal ones have equal ranks."""
+    order = np.argsort(x)
+    s = x[order]
+    fresh = np.zeros(len(x), np.uint64)
+    fresh[1:] = s[1:] != s[:-1]
+    out = np.empty(len(x), np.uint64)
+    out[order] = np.cumsum(fresh)
+    return out
 
-    if rising:
-        x = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes())
 
+def packed(*columns: np.ndarray) -> np.ndarray:
+    """One number for each row, in the order of the rows (most significant first)."""
 
-def loosen(data: bytes, kind=np.uint64, rising: bool = False) -> np.ndarray:
-    import zstandard
+    def bits(x: np.ndarray) -> int:
+        return int(x.max(initial=0)).bit_length()
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8)
-    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-    return np.cumsum(x, dtype=kind) if rising else x
+    if sum(map(bits, columns)) > 64:
+        columns = tuple(dense(x) if bits(x) > 21 else x for x in columns)
+    out = columns[0]
+    for x in columns[1:]:
+        if bits(out) + bits(x) > 64:
+            out = dense(out)
+        out = (out << np.uint64(bits(x))) | x
+    return out
 
 
 def gathered(t: pa.Table, name: str, kind=np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -228,15 +232,68 @@ def gathered(t: pa.Table, name: str, kind=np.uint64) -> tuple[np.ndarray, np.nda
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
 
-def ranged(block: int, key: np.ndarray, edges: np.ndarray, turn: int, *arrays: np.ndarray) -> pa.Table:
-    """Messages of one round, by ranges of the sorted key."""
-    bounds = np.concatenate([[0], np.searchsorted(key, edges), [len(key)]])
-    full = np.flatnonzero(np.diff(bounds))
-    full = full[full % ROUNDS == turn]
-    out = {"bucket": pa.array(full.astype(np.int64)), "block": pa.array(np.full(len(full), block, np.int64))}
-    for i, x in enumerate(arrays):
-        out[f"m{i}"] = pa.array([squeeze(x[bounds[b] : bounds[b + 1]]) for b in full], pa.binary())
-    return pa.table(out)
+def range_of(c: np.ndarray, d: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The range of each pair of characters: how many of the sorted edges [2, n] it isn't below."""
+    lo, hi = np.searchsorted(edges[0], c, "left"), np.searchsorted(edges[0], c, "right")
+    out = lo.astype(np.int64)
+    tied = np.flatnonzero(hi > lo)
+    for k in np.unique(lo[tied]):
+        mine = tied[lo[tied] == k]
+        out[mine] += np.searchsorted(edges[1, k : hi[mine[0]]], d[mine], "right")
+    return out
+
+
+class Entries:
+    """Distinct items among many: by equal hashes and, if given, equal words (rows of [k, n]).
+
+    lead: one place of each; back: which entry each item went to.  Entries are in order of their ranges.
+    """
+
+    def __init__(self, hashes: np.ndarray, words: np.ndarray | None = None):
+        self.order = np.argsort(hashes)
+        fresh = self._fresh(hashes)
+        if words is not None and (self._differ(words) & ~fresh[1:]).any():
+            self.order = np.argsort(hashes, kind="stable")  # hashes collide: entries must come in the same order anywhere
+            fresh = self._fresh(hashes)
+            fresh[1:] |= self._differ(words)
+        self.first = np.flatnonzero(fresh)
+        self.lead = self.order[self.first]
+        self.went = np.cumsum(fresh) - 1
+
+    def _fresh(self, hashes: np.ndarray) -> np.ndarray:
+        s = hashes[self.order]
+        return np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])
+
+    def _differ(self, words: np.ndarray) -> np.ndarray:
+        out = np.zeros(max(0, len(self.order) - 1), bool)
+        for w in words:
+            w = w[self.order]
+            out |= w[1:] != w[:-1]
+        return out
+
+    def by_range(self, place: np.ndarray, key: np.ndarray, turn: int) -> None:
+        """place: the range of each entry; within it they come in the order of 32 bits of key, from `turn` on: like ones compress."""
+        by = np.arange(len(place))
+        for digit in (key >> np.uint64(turn), key >> np.uint64(turn + 16), place, place >> 16):
+            by = by[np.argsort(digit[by].astype(np.uint16), kind="stable")]
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.lead, self.place, self.by = self.lead[by], place[by], by
+        self.back = np.empty(len(self.order), np.int64)
+        self.back[self.order] = rank[self.went]
+
+    def least(self, values: np.ndarray) -> np.ndarray:
+        """The least value of each entry's items."""
+        return np.minimum.reduceat(values[self.order], self.first)[self.by] if len(self.first) else values[:0]
+
+    def messages(self, block: int, *arrays: np.ndarray) -> pa.Table:
+        """One row for each range that has entries, with their parts of the arrays."""
+        full, start = np.unique(self.place, return_index=True)
+        stop = np.append(start[1:], len(self.place))[: len(start)]
+        out = {"bucket": pa.array(full.astype(np.int64)), "block": pa.array(np.full(len(full), block, np.int64))}
+        for i, x in enumerate(arrays):
+            out[f"m{i}"] = pa.array([squeeze(x[a:b]) for a, b in zip(start, stop, strict=True)], pa.binary())
+        return pa.table(out)
 
 
 def named(sent: DataFrame, kind: int) -> DataFrame:
@@ -245,9 +302,9 @@ def named(sent: DataFrame, kind: int) -> DataFrame:
     def work(t: pa.Table) -> pa.Table:
         parts = [gathered(t, f"m{i}") for i in range(3)]
         at = parts[0][1]
-        _, rank = distinct_rows(np.stack([p[0] for p in parts]))
-        names = (np.uint64(t.column("bucket")[0].as_py() + 1) << RANK_BITS) | rank.astype(np.uint64)
-        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, kind, np.int64)), "bucket": t.column("bucket"), "names": pa.array([squeeze(names[at[i] : at[i + 1]], True) for i in range(t.num_rows)], pa.binary())})
+        rank = dense(packed(*(p[0] for p in parts)))
+        names = (np.uint64(t.column("bucket")[0].as_py() + 1) << RANK_BITS) | rank
+        return pa.table({"block": t.column("block"), "kind": pa.array(np.full(t.num_rows, kind, np.int64)), "bucket": t.column("bucket"), "names": pa.array([squeeze(names[at[i] : at[i + 1]]) for i in range(t.num_rows)], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(work, "block long, kind long, bucket long, names binary")
 
@@ -256,7 +313,7 @@ def names_in(replies: pa.Table, kind: int) -> np.ndarray:
     """The answers to a block's distinct entries, in their order; of kind 3 they are flags."""
     rows = sorted((b.as_py(), n.as_py()) for k, b, n in zip(replies.column("kind"), replies.column("bucket"), replies.column("names"), strict=True) if k.as_py() == kind)
     form = np.uint8 if kind == 3 else np.uint64
-    return np.concatenate([np.zeros(0, form), *(loosen(n, form, kind < 3) for _, n in rows)])
+    return np.concatenate([np.zeros(0, form), *(loosen(n, form) for _, n in rows)])
 
 
 def judge(c, d, r, r8, r16, h, kind, owner) -> np.ndarray:
@@ -265,19 +322,17 @@ def judge(c, d, r, r8, r16, h, kind, owner) -> np.ndarray:
     n = len(c)
     s0, s1, s2 = (np.flatnonzero(kind == k) for k in range(3))
     sampled = np.concatenate([s1, s2])
-    sampled = sampled[np.argsort(r[sampled], kind="stable")]
-    s0 = s0[np.lexsort((r8[s0], c[s0]))]
-
-    def less(others: np.ndarray, *key: np.ndarray) -> np.ndarray:
-        """How many of others are less than each of s0, by key (most significant first)."""
-        both = np.concatenate([s0, others])
-        mine = np.concatenate([np.zeros(len(s0), np.uint8), np.ones(len(others), np.uint8)])
-        order = np.lexsort((mine, *(k[both] for k in reversed(key))))
-        out = np.empty(len(both), np.int64)
-        out[order] = np.cumsum(mine[order])
-        return out[: len(s0)]
-
-    place = np.arange(len(s0)) + np.maximum.accumulate(less(s1, c, r8)) + np.maximum.accumulate(less(s2, c, d, r16)) if len(s0) else np.zeros(0, np.int64)
+    sampled = sampled[np.argsort(r[sampled])]
+    if c.max(initial=0) >= np.uint64(1 << 32):  # characters, not their ranks
+        c, d = np.split(dense(np.concatenate([c, d])), 2)
+    one, two = packed(c, r8), packed(c, d, r16)
+    s0 = s0[np.argsort(one[s0])]
+
+    def less(others: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """How many of others are less than each of s0, whose keys rise."""
+        return np.searchsorted(np.sort(key[others]), np.maximum.accumulate(key[s0]))
+
+    place = np.arange(len(s0)) + less(s1, one) + less(s2, two)
     order = np.empty(n, np.int64)
     free = np.ones(n, bool)
     free[place] = False
@@ -302,104 +357,92 @@ def least_owner(sent: DataFrame) -> DataFrame:
 
 
 def keys_of(f: Fragments, p: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What suffixes at p are merged by: two characters, their own rank, those 8 and 16 bytes on; window hash; class; owner."""
-    at = np.zeros(len(f.char) + 32, np.uint64)
+    """What suffixes at p are merged by: two characters (or their ranks), their own rank, those 8 and 16 bytes on; window hash; class; owner."""
+    at = np.zeros(len(f.char), np.uint64)
     at[f.ranked] = ranks
-    kind, nothing, last = f.kind[p], np.uint64(0), len(f.char) - 1
-    second = np.where(kind == 1, nothing, f.char[np.minimum(p + 8, last)])
+    kind, nothing = f.kind[p], np.uint64(0)
+    second = np.where(kind == 1, nothing, f.char[p + 8])
     own, r8, r16 = np.where(kind == 0, nothing, at[p]), np.where(kind == 2, nothing, at[p + 8]), np.where(kind == 1, nothing, at[p + 16])
-    return f.char[p], second, own, r8, r16, R1.spans(R1.sums(f.text), p, p + WINDOW), kind.astype(np.uint8), f.ids[f.owner[p]]
+    return f.char[p], second, own, r8, r16, f.hashes(p, WINDOW), kind.astype(np.uint8), f.ids[f.owner[p]]
 
 
 def judged_here(f: Fragments) -> np.ndarray:
     """The least owner in the block of each of its windows, by a suffix array of the block."""
-    _, names = distinct_rows(f.triples())
-    _, ranks = distinct_rows(f.name_triples(names.astype(np.uint64) + np.uint64(1)))
-    return judge(*keys_of(f, f.windows, ranks.astype(np.uint64) + np.uint64(1)))
-
-
-def window_rows(f: Fragments, ranks: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Distinct windows of a block in order of their first character, and where each window went."""
-    rows = keys_of(f, f.windows, ranks)
-    h, owner = rows[5], rows[7]
-    keys, back = np.unique(h, return_inverse=True)
-    order = np.lexsort((owner, back))
-    first = order[np.searchsorted(back[order], np.arange(len(keys)))]  # least owner of each
-    by_char = np.argsort(rows[0][first], kind="stable")
-    went = np.empty(len(keys), np.int64)
-    went[by_char] = np.arange(len(keys))
-    return tuple(x[first[by_char]] for x in rows), went[back]
+    used = np.flatnonzero(f.left > 0)
+    f.char[used] = dense(f.char[used]) + np.uint64(1)  # 0 stays behind the end
+    names = dense(packed(*f.triples())) + np.uint64(1)
+    ranks = dense(packed(*f.name_triples(names))) + np.uint64(1)
+    return judge(*keys_of(f, f.windows, ranks))
 
 
 def flagged(fragments: DataFrame, buckets: int) -> DataFrame:
     """block, index (fragment), spans: runs of window starts whose string a smaller owner holds too."""
-    spark = fragments.sparkSession
-
-    def sample(block: Block) -> np.ndarray:
-        f = Fragments(block)
-        return f.char[f.named[:: max(1, len(f.named) // 200)]]
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in each_block(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([sample(block).tobytes()], pa.binary())], ["c"])
-
-    few = fragments.select("block", "ids", "offsets", "text").orderBy(F.xxhash64("block")).limit(SAMPLED) if fragments.count() > SAMPLED else fragments.select("block", "ids", "offsets", "text")
-    got = np.sort(np.frombuffer(b"".join(bytes(r[0]) for r in few.mapInArrow(drawn, "c binary").toLocalIterator()), np.uint64))
-    edges = np.unique(got[np.linspace(0, len(got) - 1, buckets + 1).astype(np.int64)[1:-1]]) if len(got) else np.zeros(0, np.uint64)
-    name_edges = np.arange(2, len(edges) + 2, dtype=np.uint64) << RANK_BITS
+            f = Fragments(block)
+            p = f.named[:: max(1, len(f.named) // OF_EACH)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([f.char[p], f.char[p + 8]], 1).tobytes()], pa.binary())], ["c"])
+
+    few = fragments.select("block", "ids", "offsets", "text")
+    few = few.join(F.broadcast(fragments.select("block").orderBy(F.xxhash64("block")).limit(SAMPLED)), "block", "left_semi")
+    got = np.frombuffer(b"".join(bytes(r[0]) for r in few.mapInArrow(drawn, "c binary").toLocalIterator()), np.uint64).reshape(-1, 2)
+    got = got[np.lexsort(got.T[::-1])]
+    edges = np.unique(got[np.linspace(0, len(got) - 1, buckets + 1).astype(np.int64)[1:-1]] if len(got) else got, axis=0).T
     message = "bucket long, block long, "
     triple = message + ", ".join(f"m{i} binary" for i in range(3))
 
-    def rounds(work, name: str) -> DataFrame:
-        """work(turn), written round by round."""
-        out = None
-        for turn in range(ROUNDS):
-            part = cut(work(turn), name)
-            out = part if out is None else out.unionByName(part)
-            tidy(spark)
-        return out
-
-    def first(turn: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in each_block(batches):
-                rows, _ = distinct_rows(Fragments(block).triples())
-                yield from ranged(block.number, rows[0], edges, turn, *rows).to_batches()
-
-        return named(fragments.select("block", "ids", "offsets", "text").mapInArrow(run, triple), 1)
-
-    names = rounds(first, "names")
-
-    def ranks_of(f: Fragments, replies: pa.Table) -> np.ndarray:
-        _, back = distinct_rows(f.triples())
-        return f.name_triples(names_in(replies, 1)[back])
-
-    def second(turn: int) -> DataFrame:
-        def run(block: Block, replies: pa.Table) -> pa.Table:
-            rows, _ = distinct_rows(ranks_of(Fragments(block), replies))
-            return ranged(block.number, rows[0], name_edges, turn, *rows)
-
-        return named(answer(fragments, names, run, triple), 2)
+    def first_entries(f: Fragments) -> tuple[Entries, np.ndarray]:
+        words = f.triples()
+        entries = Entries(f.hashes(f.named, 24), words)
+        words = words[:, entries.lead]
+        entries.by_range(range_of(words[0], words[1], edges), words[0], 32)
+        return entries, words[:, entries.by]
+
+    def second_entries(f: Fragments, replies: pa.Table) -> tuple[Entries, np.ndarray]:
+        words = f.name_triples(names_in(replies, 1)[first_entries(f)[0].back])
+        entries = Entries(f.hashes(f.ranked, 72), words)
+        words = words[:, entries.lead]
+        entries.by_range((words[0] >> RANK_BITS).astype(np.int64) - 1, words[0], 0)
+        return entries, words[:, entries.by]
+
+    def window_entries(f: Fragments) -> Entries:
+        entries = Entries(f.hashes(f.windows, WINDOW))
+        p = f.windows[entries.lead]
+        entries.by_range(range_of(f.char[p], f.char[p + 8], edges), f.char[p], 32)
+        return entries
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in each_block(batches):
+            entries, words = first_entries(Fragments(block))
+            yield from entries.messages(block.number, *words).to_batches()
 
-    known = names.unionByName(rounds(second, "names"))
+    names = cut(named(fragments.select("block", "ids", "offsets", "text").mapInArrow(first, triple), 1), "names")
 
-    def windows(f: Fragments, replies: pa.Table) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-        _, back = distinct_rows(ranks_of(f, replies))
-        return window_rows(f, names_in(replies, 2)[back])
+    def second(block: Block, replies: pa.Table) -> pa.Table:
+        entries, words = second_entries(Fragments(block), replies)
+        return entries.messages(block.number, *words)
 
-    def third(turn: int) -> DataFrame:
-        def run(block: Block, replies: pa.Table) -> pa.Table:
-            rows, _ = windows(Fragments(block), replies)
-            return ranged(block.number, rows[0], edges, turn, *rows)
+    ranks = cut(named(answer(fragments, names, second, triple), 2), "ranks")
+    known = names.unionByName(ranks)
 
-        return least_owner(answer(fragments, known, run, message + ", ".join(f"m{i} binary" for i in range(8))))
+    def third(block: Block, replies: pa.Table) -> pa.Table:
+        f = Fragments(block)
+        mine = names_in(replies, 2)[second_entries(f, replies)[0].back]
+        entries = window_entries(f)
+        rows = keys_of(f, f.windows[entries.lead], mine)
+        return entries.messages(block.number, *rows[:7], entries.least(f.ids[f.owner[f.windows]]))
 
-    judged = rounds(third, "owners")
+    judged = cut(least_owner(answer(fragments, known, third, message + ", ".join(f"m{i} binary" for i in range(8)))), "owners")
+    release(names)
+    release(ranks)
+    tidy(fragments.sparkSession)
 
     def last(block: Block, replies: pa.Table) -> pa.Table:
         f = Fragments(block)
-        rows, went = windows(f, replies)
+        entries, own = window_entries(f), f.ids[f.owner[f.windows]]
         mask = np.zeros(len(f.char), bool)
-        mask[f.windows] = (names_in(replies, 3)[went] > 0) | (rows[7][went] < f.ids[f.owner[f.windows]])
+        mask[f.windows] = (names_in(replies, 3)[entries.back] > 0) | (entries.least(own)[entries.back] < own)
         start, end = runs(mask)
         which = f.owner[start]
         start, end = start - f.first[which], end - f.first[which]
@@ -407,7 +450,7 @@ def flagged(fragments: DataFrame, buckets: int) -> DataFrame:
         stops = np.append(cuts[1:], len(which)) if len(which) else which
         return pa.table({"block": pa.array(np.full(len(cuts), block.number, np.int64)), "index": pa.array(which[cuts].astype(np.int64)), "spans": pa.array([np.stack([start[i:j], end[i:j]]).tobytes() for i, j in zip(cuts, stops, strict=True)], pa.binary())})
 
-    return cut(answer(fragments, known.unionByName(judged), last, "block long, index long, spans binary"), "flagged")
+    return cut(answer(fragments, judged, last, "block long, index long, spans binary"), "flagged")
 
 
 def swap(table: DataFrame, *columns: str) -> DataFrame:
@@ -437,19 +480,24 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
     tidy(spark)
 
     def cut_up(block: Block, replies: pa.Table) -> pa.Table:
+        """A row for each distinct piece of the block, the first also with the places of all pieces."""
         s, e, a, b, least = pieces_of(block.raw, block.at, np.sort(joined(replies, "keys", np.uint64)[0]))
         ids = block.ids[doc_of(block.at, s)]
         order = np.lexsort((ids, b, a))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        one = order[fresh]
+        one, which = order[fresh], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(fresh) - 1
         data = [block.raw[i : j + WINDOW - 1].tobytes() for i, j in zip(s[one].tolist(), e[one].tolist(), strict=True)]
-        return pa.table({"a": pa.array(a[one].view(np.int64)), "b": pa.array(b[one].view(np.int64)), "doc": pa.array(ids[one]), "block": pa.array(np.full(len(one), block.number, np.int64)), "least": pa.array(least[one].view(np.int64)), "data": pa.array(data, pa.binary())})
+        places = [*([squeeze(s, True), squeeze(e, True), squeeze(which)] if len(s) else [])]
+        columns = {"a": pa.array(a[one].view(np.int64)), "b": pa.array(b[one].view(np.int64)), "doc": pa.array(ids[one]), "block": pa.array(np.full(len(one), block.number, np.int64)), "nth": pa.array(np.arange(len(one))), "least": pa.array(least[one].view(np.int64)), "data": pa.array(data, pa.binary())}
+        return pa.table(columns | {"places": pa.array(([places] + [None] * len(one))[: len(one)], pa.list_(pa.binary()))})
 
-    pieces = cut(answer(blocks, held, cut_up, "a long, b long, doc long, block long, least long, data binary"), "pieces")
+    pieces = cut(answer(blocks, held, cut_up, "a long, b long, doc long, block long, nth long, least long, data binary, places array<binary>"), "pieces")
+    release(held)
     tidy(spark)
     distinct = cut(pieces.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.first("least").alias("least"), F.first("data").alias("data")), "distinct")
-    held_by = swap(pieces, "a", "b", "block")
+    held_by = swap(pieces, "a", "b", "block", "nth", "places")
 
     # the owners' pieces in blocks of their own, with the hashes that name them
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,33 +561,28 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
     nothing = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("spans", pa.binary())]).empty_table()
     origin = fragments.select("block", "origin", "local").join(names, "block")
     verdicts = cut(origin.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(to_pieces, "a long, b long, spans binary"), "verdicts")
-    told = held_by.join(owner, ["a", "b"]).join(verdicts, ["a", "b"], "left")
-    told = told.select("block", F.lit(None).cast("binary").alias("keys"), "a", "b", "owner", "spans")
-    told = cut(told.unionByName(held, allowMissingColumns=True), "told")
-    for x in (held, held_by, owner, names, fragments, found, verdicts):
+    told = cut(held_by.join(owner, ["a", "b"]).join(verdicts, ["a", "b"], "left").select("block", "nth", "owner", "spans", "places"), "told")
+    for x in (held_by, owner, names, fragments, found, verdicts):
         release(x)
     tidy(spark)
 
     def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
-        keyed = pc.is_valid(replies.column("keys"))
-        mine, known = replies.filter(keyed), replies.filter(pc.invert(keyed))
-        s, e, a, b, _ = pieces_of(block.raw, block.at, np.sort(joined(mine, "keys", np.uint64)[0]))
         gone = np.zeros(len(block.raw) + 1, np.int32)
-        if len(s):
-            ka, kb = (known.column(x).to_numpy() for x in ("a", "b"))
-            owner, spans = known.column("owner").to_numpy(), known.column("spans")
-            order = np.lexsort((kb, ka))
-            place = {(x, y): i for x, y, i in zip(ka[order].tolist(), kb[order].tolist(), order.tolist(), strict=True)}
-            row = np.array([place[x] for x in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)])
-            ids = block.ids[doc_of(block.at, s)]
-            later = owner[row] < ids
+        if replies.num_rows:
+            nth = replies.column("nth").to_numpy()
+            row = np.empty(len(nth), np.int64)
+            row[nth] = np.arange(len(nth))
+            places = replies.column("places")[int(row[0])].as_py()
+            s, e, row = loosen(places[0], np.int64, True), loosen(places[1], np.int64, True), row[loosen(places[2], np.int64)]
+            later = replies.column("owner").to_numpy()[row] < block.ids[doc_of(block.at, s)]
             np.add.at(gone, s[later], 1)
             np.subtract.at(gone, e[later] + WINDOW - 1, 1)
-            for i in np.flatnonzero(~later):
-                if (data := spans[int(row[i])].as_py()) is not None:
-                    lo, hi = np.frombuffer(data, np.int64).reshape(2, -1)
-                    np.add.at(gone, s[i] + lo, 1)
-                    np.subtract.at(gone, s[i] + hi + WINDOW - 1, 1)
+            spans = replies.column("spans").combine_chunks()
+            judged = spans.is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(~later & judged[row]):
+                lo, hi = np.frombuffer(spans[int(row[i])].as_py(), np.int64).reshape(2, -1)
+                np.add.at(gone, s[i] + lo, 1)
+                np.subtract.at(gone, s[i] + hi + WINDOW - 1, 1)
         gone = np.cumsum(gone[:-1]) > 0
         start = gone.copy()
         start[1:] &= ~gone[:-1]
@@ -556,4 +599,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = True, carry: tuple[str, ...]
         return pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text, *carry])
 
     kinds = "".join(f", `{x}` {docs.schema[x].dataType.simpleString()}" for x in carry)
-    return answer(blocks, told, clean, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + kinds, bool(carry))
+    found = answer(blocks, told, clean, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + kinds, bool(carry))
+    whole = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    nothing_gone = [F.octet_length(whole).cast("long"), *[F.lit(0).cast("long")] * 2, F.sha2(whole, 256), *[whole] * with_text, *(F.col(f"`{x}`") for x in carry)]
+    return found.union(docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), *nothing_gone))
