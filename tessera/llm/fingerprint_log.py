@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, answer, bucket_count, joined, messages, send, tidy, to_blocks
-from .common import N1, N2, R2, Words, cover, cut, drop_path, member, mix, per_doc, release, slide_min, winnow
+from .blocks import Block, answer, bucket_count, joined, loosen, messages, send, squeeze, tidy, to_blocks
+from .common import N1, N2, R2, Words, cover, cut, drop_path, member, mix, per_doc, slide_min, winnow, write
 
 WINDOW, GRAM = 35, 12
+#: Replies (block, keys) and run rows (bucket, keys, holders, checks) of a batch, in one table.
+TAKEN = "bucket long, block long, keys binary, holders binary, checks binary"
 #: Holder of what several places hold.
 MANY = -1
 
@@ -64,6 +66,11 @@ def grouped(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.flatnonzero(fresh)
 
 
+def union(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """One number for each pair of hashes, both of which bind it."""
+    return mix(keys + mix(checks))
+
+
 def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct entries in order, and whether each comes twice or more."""
     order, first = grouped(keys, checks)
@@ -71,24 +78,51 @@ def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def entries(t: pa.Table, sent: bool, with_checks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, checks, holders of a bucket's messages or run rows, and offsets of the rows."""
-    keys, at = joined(t, "keys", np.uint64)
+    """Keys, checks, holders of a bucket's messages or run rows, and offsets of the rows.
+
+    Runs, and messages with `packed`, have their sorted keys as compressed differences.
+    """
+    tight = not sent or "packed" in t.column_names
+    parts = [loosen(x.as_py(), rising=True) if tight else np.frombuffer(x.as_py(), np.uint64) for x in t.column("packed" if sent and tight else "keys")]
+    at = np.cumsum([0, *map(len, parts)])
+    keys = np.concatenate([np.zeros(0, np.uint64), *parts])
     checks = joined(t, "more1" if sent else "checks", np.uint64)[0] if with_checks else np.zeros(len(keys), np.uint64)
     if not sent:
-        return keys, checks, joined(t, "holders", np.int64)[0], at
+        return keys, checks, np.concatenate([np.zeros(0, np.int64), *(loosen(x.as_py(), np.int64) for x in t.column("holders"))]), at
     blocks = np.repeat(t.column("block").to_numpy(), np.diff(at)) if t.num_rows else np.zeros(0, np.int64)
     return keys, checks, np.where(joined(t, "more0", np.uint8)[0] > 0, MANY, blocks), at
 
 
+def tightened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Messages whose sorted keys are compressed differences."""
+    packed = pa.array([squeeze(np.frombuffer(x.as_py(), np.uint64), True) for x in batch.column("keys")], pa.binary())
+    return pa.RecordBatch.from_arrays([packed if n == "keys" else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], ["packed" if n == "keys" else n for n in batch.schema.names])
+
+
+def keys_in(replies: pa.Table) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(loosen(x.as_py(), rising=True) for x in replies.column("keys"))])
+
+
+def told(tables: list[DataFrame]) -> DataFrame:
+    """The replies (block, keys) in some batches' tables."""
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out.where("kind = 'reply'").select("block", "keys")
+
+
 class FingerprintLog:
     """Sorted immutable runs, by bucket, of the keys (and their checks) of all batches so far, with their holders.
 
     Batches are messages of blocks: bucket, block, keys, more0 (whether the block holds a key twice) and, with checks, more1.
     """
 
-    def __init__(self, spark: SparkSession, fan_out: int = 4, checks: bool = False, write=cut, drop=release):
-        self.spark, self.fan_out, self.checks, self.write, self.drop = spark, fan_out, checks, write, drop
+    def __init__(self, spark: SparkSession, fan_out: int = 4, checks: bool = False, write=cut):
+        self.spark, self.fan_out, self.checks, self.write = spark, fan_out, checks, write
         self.runs: list[DataFrame] = []
+        #: the tables whose replies count, and paths of runs that were compacted
+        self.replies: list[DataFrame] = []
+        self.stale: list[str] = []
         self.run: str = "bucket long, keys binary, holders binary" + ", checks binary" * checks
 
     def append(self, sent: DataFrame) -> None:
@@ -100,13 +134,16 @@ class FingerprintLog:
     def compact(self) -> None:
         if len(self.runs) > 1:
             old, self.runs = self.runs, [self.write(self._merged(self._all(), False), "run")]
-            for run in old:
-                self.drop(run)
+            # replies that came with a run stay
+            self.stale += [run._written_at + "/kind=run" * ("kind" in run.columns) for run in old]
+            tidy(self.spark)
 
     def _all(self) -> DataFrame:
-        out = self.runs[0] if self.runs else self.spark.createDataFrame([], self.run)
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
+        columns = [x.split()[0] for x in self.run.split(", ")]
+        out = self.spark.createDataFrame([], self.run)
+        for i, run in enumerate(self.runs):
+            part = (run.where("kind = 'run'") if "kind" in run.columns else run).select(columns)
+            out = out.unionByName(part) if i else part
         return out
 
     def _merged(self, rows: DataFrame, sent: bool) -> DataFrame:
@@ -116,17 +153,29 @@ class FingerprintLog:
             keys, checks, holders, _ = entries(t, sent, with_checks)
             order, first = grouped(keys, checks)
             lone = np.diff(np.append(first, len(keys))) == 1
-            arrays = [keys[order[first]], np.where(lone, holders[order[first]], MANY), *[checks[order[first]]] * with_checks]
-            return pa.table([t.column("bucket").slice(0, 1), *(pa.array([x.tobytes()]) for x in arrays)], ["bucket", "keys", "holders", "checks"][: 1 + len(arrays)])
+            arrays = [squeeze(keys[order[first]], True), squeeze(np.where(lone, holders[order[first]], MANY)), *[checks[order[first]].tobytes()] * with_checks]
+            return pa.table([t.column("bucket").slice(0, 1), *(pa.array([x], pa.binary()) for x in arrays)], ["bucket", "keys", "holders", "checks"][: 1 + len(arrays)])
 
         return rows.groupBy("bucket").applyInArrow(work, self.run)
 
     def hits(self, sent: DataFrame, least: int = 1, late: bool = False) -> DataFrame:
-        """Merge-joins messages with the runs; replies (block, keys and, with checks, checks).
+        """Merge-joins messages with the runs; replies (block, keys), of keys with checks their union.
 
         least = 1: for a batch that isn't in the log yet, what the log or the batch holds elsewhere; 2: for one that is.
         With late also to earlier blocks, what they held alone until now.
         """
+        return self._met(sent, least, late, False).select("block", "keys")
+
+    def take(self, sent: DataFrame) -> DataFrame:
+        """Looks a batch up and adds it as a new run, in one exchange; replies (block, keys), late ones too."""
+        both = self.write(self._met(sent, 1, True, True).withColumn("kind", F.expr("if(bucket is null, 'reply', 'run')")), "run")
+        self.runs.append(both)
+        self.replies.append(both)
+        if len(self.runs) >= self.fan_out:
+            self.compact()
+        return told([both])
+
+    def _met(self, sent: DataFrame, least: int, late: bool, with_run: bool) -> DataFrame:
         with_checks = self.checks
 
         def work(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -143,18 +192,26 @@ class FingerprintLog:
 
             again = np.zeros(len(keys), bool)
             again[order] = count((old if least == 2 else 1) * np.where(holders[order] == MANY, 2, 1)) > 1
-            mine = again[len(k0) :]
-            out = [(left.column("block")[i].as_py(), k1[x][mine[x]], c1[x][mine[x]]) for i in range(left.num_rows) for x in [slice(at[i], at[i + 1])] if mine[x].any()]
+            mine, said = again[len(k0) :], union(k1, c1) if with_checks else k1
+            out = [(left.column("block")[i].as_py(), said[x][mine[x]]) for i in range(left.num_rows) for x in [slice(at[i], at[i + 1])] if mine[x].any()]
             if late and len(first):
                 lone = np.sort(order[old & (count(old) == 1) & (count(~old) > 0)])
                 lone = lone[h0[lone] != MANY]
                 lone = lone[np.argsort(h0[lone], kind="stable")]
                 blocks, starts = np.unique(h0[lone], return_index=True)
-                out += [(b, k0[x], c0[x]) for b, x in zip(blocks.tolist(), np.split(lone, starts[1:]), strict=len(blocks) > 0)]
-            arrays = [pa.array([b for b, *_ in out], pa.int64()), pa.array([k.tobytes() for _, k, _ in out], pa.binary()), *[pa.array([c.tobytes() for *_, c in out], pa.binary())] * with_checks]
-            return pa.table(arrays, ["block", "keys", "checks"][: len(arrays)])
+                said = union(k0, c0) if with_checks else k0
+                out += [(b, said[x]) for b, x in zip(blocks.tolist(), np.split(lone, starts[1:]), strict=len(blocks) > 0)]
+            nothing = [None] * len(out)
+            columns = {"bucket": nothing, "block": [b for b, _ in out], "keys": [squeeze(np.sort(k), True) if with_run else k.tobytes() for _, k in out], "holders": nothing, "checks": nothing}
+            if with_run and left.num_rows:
+                order, first = grouped(k1, c1)
+                lone = np.diff(np.append(first, len(k1))) == 1
+                run = [left.column("bucket")[0].as_py(), None, squeeze(k1[order[first]], True), squeeze(np.where(lone, h1[order[first]], MANY)), c1[order[first]].tobytes() if with_checks else None]
+                columns = {x: [*v, y] for (x, v), y in zip(columns.items(), run, strict=True)}
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.table({x: pa.array(v, kind) for (x, v), kind in zip(columns.items(), kinds, strict=True)})
 
-        return sent.groupBy("bucket").cogroup(self._all().groupBy("bucket")).applyInArrow(work, "block long, keys binary" + ", checks binary" * with_checks)
+        return sent.groupBy("bucket").cogroup(self._all().groupBy("bucket")).applyInArrow(work, TAKEN)
 
 
 def kept_words(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,36 +234,29 @@ class SubstringLog:
 
     def __init__(self, spark: SparkSession, buckets: int, window: int = WINDOW, gram: int = GRAM, fan_out: int = 4, folder: str | None = None):
         self.spark, self.buckets, self.window, self.gram, self.fan_out, self.folder = spark, buckets, window, gram, fan_out, folder
-        self.batches, self.blocks, self.verdicts = 0, [], []
-        self.prints = FingerprintLog(spark, fan_out, False, self._write, self._drop)
-        self.windows = FingerprintLog(spark, fan_out, True, self._write, self._drop)
+        self.batches, self.blocks = 0, []
+        self.prints = FingerprintLog(spark, fan_out, False, self._write)
+        self.windows = FingerprintLog(spark, fan_out, True, self._write)
 
     # --- tables, in the log's folder if it has one
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         if not self.folder:
             return cut(df, name)
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        write(df, path)
         return self._read(path, df.schema)
 
     def _read(self, path: str, schema) -> DataFrame:
         out = self.spark.read.schema(schema).parquet(path)
-        out._log_path = path
+        out._written_at = path
         return out
 
-    def _drop(self, df: DataFrame) -> None:
-        # a folder's old runs stay until the next manifest no longer lists them
-        self.stale = [*getattr(self, "stale", []), df._log_path] if self.folder else release(df)
-
     def _save(self) -> None:
         """Writes the next manifest; only tables that the newest one lists count."""
-        tables = {"blocks": self.blocks, "verdicts": self.verdicts, "prints": self.prints.runs, "windows": self.windows.runs}
+        tables = {"blocks": self.blocks, "prints": self.prints.runs, "windows": self.windows.runs, "verdicts": self.windows.replies}
         said = {"batches": self.batches, "buckets": self.buckets, "window": self.window, "gram": self.gram, "fan_out": self.fan_out}
-        said["tables"] = {k: [(x._log_path, x.schema.json()) for x in v] for k, v in tables.items()}
+        said["tables"] = {k: [(x._written_at, x.schema.json()) for x in v] for k, v in tables.items()}
         self.spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.text(f"{self.folder}/manifest-{self.batches:06d}")
-        for path in getattr(self, "stale", []):
-            drop_path(self.spark, path)
-        self.stale = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> SubstringLog:
@@ -221,7 +271,7 @@ class SubstringLog:
         log = cls(spark, said["buckets"], said["window"], said["gram"], said["fan_out"], folder)
         log.batches = said["batches"]
         tables = {k: [log._read(x, StructType.fromJson(json.loads(schema))) for x, schema in v] for k, v in said["tables"].items()}
-        log.blocks, log.verdicts, log.prints.runs, log.windows.runs = (tables[k] for k in ("blocks", "verdicts", "prints", "windows"))
+        log.blocks, log.prints.runs, log.windows.runs, log.windows.replies = (tables[k] for k in ("blocks", "prints", "windows", "verdicts"))
         return log
 
     # --- batches
@@ -237,39 +287,38 @@ class SubstringLog:
             words = Words(block.raw, block.at)
             _, keys = fingerprints(words, N1.sums(words.hashes()), window, gram)
             keys, _, twice = distinct(keys, np.zeros(len(keys), np.uint64))
-            return messages(block.number, keys, buckets, twice)
+            out = messages(block.number, keys, buckets, twice)
+            return None if out is None else tightened(out)
 
         def digests(block: Block, replies: pa.Table) -> pa.Table:
             words = Words(block.raw, block.at)
             sums = N1.sums(words.hashes())
             # each window belongs to one fingerprint, so a block sends it once in all batches
             fits, least = words.fits(window), slide_min(N1.windows(sums, gram), window - gram + 1)
-            where = np.flatnonzero(fits & member(mix(least), np.unique(joined(replies, "keys", np.uint64)[0])))
+            where = np.flatnonzero(fits & member(mix(least), np.unique(keys_in(replies))))
             a = N1.windows(sums, window)[where]
             b = N2.windows(N2.sums(words.hashes(R2)), window)[where]
             a, b, twice = distinct(a, b)
             out = messages(block.number, a, buckets, twice, b)
-            return none if out is None else pa.Table.from_batches([out])
+            return none if out is None else pa.Table.from_batches([tightened(out)])
 
-        none = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("more0", pa.binary()), ("more1", pa.binary())]).empty_table()
+        none = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("packed", pa.binary()), ("more0", pa.binary()), ("more1", pa.binary())]).empty_table()
+        tidy(self.spark)
         self.batches += 1
         self.blocks.append(blocks)
-        sent = cut(send(blocks, marks, 1), "fingerprints")
-        hits = cut(self.prints.hits(sent, late=True), "hits")
-        self.prints.append(sent)
-        release(sent)
+        hits = self.prints.take(send(blocks, marks, 1, "packed"))
         tidy(self.spark)
         met = self.all_blocks().join(hits.select("block").distinct(), "block", "left_semi")
-        second = cut(answer(met, hits, digests, "bucket long, block long, keys binary, more0 binary, more1 binary"), "windows")
-        release(hits)
-        tidy(self.spark)
         # an earlier block's opened windows count as new ones: what it held alone comes in now, with the batch's
-        self.verdicts.append(self._write(self.windows.hits(second, late=True), "verdicts"))
-        self.windows.append(second)
-        release(second)
+        self.windows.take(answer(met, hits, digests, "bucket long, block long, packed binary, more0 binary, more1 binary"))
+        del hits, met  # they hold the step's shuffles
         tidy(self.spark)
         if self.folder:
             self._save()
+        for family in (self.prints, self.windows):  # no manifest from the newest one on lists them
+            for path in family.stale:
+                drop_path(self.spark, path)
+            family.stale = []
 
     def all_blocks(self) -> DataFrame:
         out = self.blocks[0]
@@ -280,24 +329,15 @@ class SubstringLog:
     def results(self, with_text: bool = True, id_col: str = "doc_id") -> DataFrame:
         """One row per document of all batches: id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces."""
         window = self.window
+        tidy(self.spark)
 
         def clean(block: Block, replies: pa.Table) -> pa.RecordBatch:
             words = Words(block.raw, block.at)
             fits = words.fits(window)
             gone = np.zeros(len(words), bool)
             if replies.num_rows and len(fits):
-                a, b, _ = distinct(joined(replies, "keys", np.uint64)[0], joined(replies, "checks", np.uint64)[0])
-                where = np.flatnonzero(fits)
-                mine = N1.windows(N1.sums(words.hashes()), window)[where]
-                ok = member(mine, a)
-                where, mine = where[ok], mine[ok]
-                check = N2.windows(N2.sums(words.hashes(R2)), window)[where]
-                lo, hi = np.searchsorted(a, mine, "left"), np.searchsorted(a, mine, "right")
-                same = np.zeros(len(where), bool)
-                for i in range(int((hi - lo).max(initial=0))):  # more than once only where first hashes collide
-                    same |= (lo + i < hi) & (b[np.minimum(lo + i, len(b) - 1)] == check)
-                flags = np.zeros(len(fits), bool)
-                flags[where[same]] = True
+                both = union(N1.windows(N1.sums(words.hashes()), window), N2.windows(N2.sums(words.hashes(R2)), window))
+                flags = fits & member(both, np.unique(keys_in(replies)))
                 gone = cover(flags, window, len(words))
             kept, at = kept_words(words, ~gone)
             sha = [hashlib.sha256(kept[at[i] : at[i + 1]]).hexdigest() for i in range(len(block.ids))]
@@ -306,13 +346,10 @@ class SubstringLog:
                 columns.append(pa.array([kept[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(block.ids))], pa.string()))
             return pa.RecordBatch.from_arrays(columns, [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: len(columns)])
 
-        found = self.verdicts[0]
-        for x in self.verdicts[1:]:
-            found = found.unionByName(x)
-        return answer(self.all_blocks(), found, clean, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        return answer(self.all_blocks(), told(self.windows.replies), clean, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fan_out: int = 3, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, fan_out: int = 4, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_sha256 and, with_text, the kept words joined by spaces."""
     blocks = to_blocks(docs, id_col, text_col)
     log = SubstringLog(docs.sparkSession, bucket_count(blocks), window, gram, fan_out)
