@@ -48,7 +48,7 @@ MARKS = frozenset(
     " header masthead footer comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
     " signup login share sharing social related recommended recommendations pagination pager widget toolbar complementary contentinfo search skip".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？«»\"“”]")
 SPACE = re.compile(r"\s+")
