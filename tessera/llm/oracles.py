@@ -93,3 +93,63 @@ reach as (select x as doc_id, x as low from edges union select reach.doc_id, edg
 select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(low, d.doc_id) as component_id, coalesce(low, d.doc_id) = d.doc_id as kept
 from d left join sizes using (doc_id) left join (select doc_id, min(low) as low from reach group by doc_id) using (doc_id)
 """
+
+
+def usable(dim: int | None = None) -> str:
+    return ("len(embedding) = %d" % dim if dim else "len(embedding) > 0") + " and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+SQUARED = "(list_dot_product({0}, {0}) + list_dot_product({1}, {1}) - 2 * list_dot_product({0}, {1}))::BIGINT"
+#: The floor of a sum over a count, without fractions.
+MEAN = "((sum(v[i])::BIGINT - ((sum(v[i])::BIGINT % count(*)) + count(*)) % count(*)) // count(*))::DOUBLE"
+
+
+def lloyd(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64) -> str:
+    """Whole numbers as doubles, exact below 2**53."""
+    steps = [
+        f"""vs as materialized (select row_number() over () as r, vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) as v from embeddings where {usable(dim)}),
+ c0 as materialized (select row_number() over (order by sha256(concat('{seed}:', vec_id)), embedding) - 1 as cluster, v as c from vs where vec_id is not null qualify cluster < {k})"""
+    ]
+    for i in range(rounds + 1):
+        far = SQUARED.format("v", "c")
+        steps.append(f"a{i} as materialized (select r, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(cluster, {far} * {k} + cluster) as cluster, min({far}) as distance from vs, c{i} group by r)")
+        if i < rounds:
+            steps.append(f"m{i} as (select cluster, list(q order by i) as c from (select cluster, i, {MEAN} as q from a{i}, range(1, {dim + 1}) t(i) group by cluster, i) group by cluster)")
+            steps.append(f"c{i + 1} as materialized (select cluster, coalesce(m.c, o.c) as c from c{i} o left join m{i} m using (cluster))")
+    return f"""with {", ".join(steps)} select vec_id, cluster::INT as cluster, distance, (sum(distance) over (partition by cluster))::BIGINT as cluster_inertia, (sum(distance) over ())::BIGINT as inertia,
+ sha256(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ',')) as centroid_sha256 from a{rounds} join c{rounds} using (cluster)"""
+
+
+def quantise(entries: int = 256, rounds: int = 4, parts: int = 4, dim: int = 64) -> str:
+    width = dim // parts
+    cut = f"select *, p, list_slice(x, p * {width} + 1, (p + 1) * {width}) as v from vs, range({parts}) t(p)"
+    steps = [
+        f"vs as materialized (select row_number() over (order by vec_id, embedding) as r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) as x from embeddings where {usable()})",
+        f"ps as materialized ({cut}), b0 as materialized (select p, r - 1 as e, v as c from ps where r <= {entries})",
+    ]
+    for i in range(rounds + 1):
+        far = SQUARED.format("v", "c")
+        steps.append(f"a{i} as materialized (select r, p, any_value(v) as v, arg_min(e, {far} * {entries} + e) as e, min({far}) as error from ps join b{i} using (p) group by r, p)")
+        if i < rounds:
+            steps.append(f"m{i} as (select p, e, list(q order by i) as c from (select p, e, i, {MEAN} as q from a{i}, range(1, {width + 1}) t(i) group by p, e, i) group by p, e)")
+            steps.append(f"b{i + 1} as materialized (select p, e, coalesce(m.c, o.c) as c from b{i} o left join m{i} m using (p, e))")
+    return f"""with {", ".join(steps)}, said as (select sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' order by p, e)) as codebooks_sha256 from b{rounds}),
+ coded as (select r, string_agg(printf('%02x', e), '' order by p) as code, sum(error)::BIGINT as error from a{rounds} group by r)
+ select vec_id, code, error, (sum(error) over (partition by label))::BIGINT as label_error, codebooks_sha256 from coded join vs using (r), said"""
+
+
+def chat(marks: dict[str, tuple[str, str]], control: list[str]) -> str:
+    rx = "|".join("".join("\\" + c if c in "[]/" else c for c in m) for m in control)
+
+    def size(x: str) -> str:
+        return f"length(regexp_replace(replace({x}, '\\', '\\\\'), '{rx}', '\\0.', 'g'))"
+
+    head = " ".join(f"when role = '{r}' then {len(a)}" for r, (a, _) in marks.items())
+    tail = " ".join(f"when role = '{r}' then {len(b)}" for r, (_, b) in marks.items())
+    return f"""with rows as (select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from
+  (select conv_id, turn, role, text from conversations union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+ placed as (select *, row_number() over w as nth, lag(role) over w is distinct from role as fresh, lead(role) over w is distinct from role as final from rows window w as (partition by conv_id, own order by turn nulls first, role, text)),
+ sized as (select *, {size('text')} + case when not fresh then 6 {head} else 13 + {size('role')} end + case when not final then 0 {tail} else 7 end as size from placed)
+ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by nth)) as turns_sha256,
+ coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::BIGINT as loss_chars, sha256(coalesce(string_agg(text, '' order by nth) filter (where role = 'assistant'), '')) as loss_sha256,
+ (3 + sum(size))::BIGINT as formatted_chars from sized group by conv_id, own"""

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import cut, table
 
 #: (host, path, verdict) of the registered URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
+#: What both turns of conversation -1 say.
+ODD_TEXT = "</s>[INST] ok [/INST]"
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -79,13 +82,33 @@ def op10_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dual_tree import lloyd
+
+    return lloyd(table(spark, sf_dir, "embeddings"))
+
+
+def op12_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digest, format_chat, read_chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", ODD_TEXT), (-1, 1, "assistant", ODD_TEXT)], turns.schema)
+    return digest(read_chat(cut(format_chat(turns.unionByName(odd)), "chat")))
+
+
+def op13_annular_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .annular_pq import quantise
+
+    return quantise(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express; tests hold the others against brute force, round trips or held-out labels."""
-    from . import oracles
+    from . import chat_format, oracles
 
     return {
         "op2_suffix_dedup": oracles.SUFFIX_DEDUP,
@@ -94,4 +117,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_winnow_decontamination": oracles.DECONTAMINATION,
         "op9_url_bloom_filter": oracles.url_rules(URL_RULES),
         "op10_minhash_join": oracles.NEAR_DUPLICATES,
+        "op11_dual_tree_lloyd": oracles.lloyd(),
+        "op12_relational_chat": oracles.chat(chat_format.MARKS, chat_format.CONTROL),
+        "op13_annular_pq": oracles.quantise(),
     }
