@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import bm25, budget, chunking, code_chunker, intervals, planner, search_tools, vector
+from ..operators.neighbour_graph import NeighbourGraph
 from ..session import RetrievalOptions
 from ..sources import files as S
-from ..sources import store
+from ..sources import shared, store
 from ..streaming import events
 from . import retrieval
 
@@ -348,6 +349,38 @@ def rag_search_text(spark, d):
     return retrieval.search_results(retrieval.search(every_asked(spark, d), chunks(spark, d), retrieval.clamp_limit(3), "text"))
 
 
+# --- the approximate index -----------------------------------------------------------------
+
+
+def _graph(spark, d) -> NeighbourGraph:
+    return NeighbourGraph.build(read(spark, d, "embeddings"), shared.new_path(spark, "graph"))
+
+
+@query()
+def graph_knn(spark, d):
+    """The ten nearest others of every twentieth embedding, from the lists of the neighbour graph."""
+    asked = read(spark, d, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"))
+    return _graph(spark, d).neighbours_of(asked, 10)
+
+
+@query()
+def graph_beam_search(spark, d):
+    """The ten nearest of every twentieth embedding by beam search; visited: how many vectors were compared for it."""
+    asked = read(spark, d, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _graph(spark, d).search(asked, 10)
+
+
+LAYERS = """with v as (select distinct vec_id, floor(-ln((('0x' || substr(sha256(vec_id::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370496.0) / ln(16))::INT as level from embeddings),
+ l as (select layer::INT as layer, count(*) filter (where level >= layer) as nodes from v, range(0, 16) t(layer) group by layer), e as (select *, nodes > case when layer = 0 then 33 else 256 end as linked from l)"""
+
+
+@query(f"""{LAYERS} select layer, nodes, case when linked then nodes * least(32, nodes - 1) else 0 end::BIGINT as edges, case when linked then least(32, nodes - 1) else 0 end::BIGINT as least_degree,
+ case when linked then least(32, nodes - 1) else 0 end::BIGINT as most_degree from e where layer = 0 or exists (select 1 from e as o where o.layer = e.layer - 1 and o.linked)""")
+def graph_stats(spark, d):
+    """Layers, nodes and edges of the graph as it was saved and loaded again."""
+    return _graph(spark, d).statistics()
+
+
 # --- store ---------------------------------------------------------------------------------
 
 
