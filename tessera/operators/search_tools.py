@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .text_index import GrepIndex, required
 
 MOST_WIDENINGS, GLOB_LIMIT, GREP_LIMIT, MOST_CONTEXT, PAGE_LINES, PAGE_BYTES = 3, 200, 250, 10, 2000, 8192
 GLOB_PART = re.compile(r"\*\*/|\*\*|\*|\?|\{|\}|,|[^*?{},]+")
@@ -80,13 +81,23 @@ def grep_rungs(pattern: str, glob: str | None, scope: str | None, ignore_case: b
     return rungs[: MOST_WIDENINGS + 1]
 
 
-def grep(files: DataFrame, pattern: str, glob: str | None = None, scope: str | None = None, ignore_case: bool = False, mode: str = "content", context: int = 0, limit: int = GREP_LIMIT) -> DataFrame:
+def narrowed(files: DataFrame, pattern: str, index: GrepIndex | None) -> DataFrame:
+    """The files (path, text) that may hold a match; case makes no difference here."""
+    need = True if index is None else required(pattern)
+    return files if need is True else files.join(index.candidates(need), "path", "left_semi")
+
+
+def grep(files: DataFrame, pattern: str, glob: str | None = None, scope: str | None = None, ignore_case: bool = False, mode: str = "content", context: int = 0, limit: int = GREP_LIMIT, index: GrepIndex | None = None, scanned: Observation | None = None) -> DataFrame:
     """Search of files (path, text), by the narrowest rung with a match.
 
     mode content: path, line_no, mark (":" for a match, "-" for context, "--" between regions), line;
-    files_with_matches: path; count: path, n.  All have rung and relaxed.
+    files_with_matches: path; count: path, n.  All have rung and relaxed.  With an index of the files, only those are
+    read that hold the trigrams which the pattern requires; a pattern that requires none reads all.  `scanned` gets
+    scanned_files, how many were read.
     """
     reject_unsupported(pattern)
+    files = narrowed(files, pattern, index)
+    every = files.observe(scanned, F.count(F.lit(1)).alias("scanned_files")) if scanned else files
     rungs = grep_rungs(pattern, glob, scope, ignore_case)
 
     def on_file(g: str | None, s: str | None) -> Column:
@@ -98,7 +109,7 @@ def grep(files: DataFrame, pattern: str, glob: str | None = None, scope: str | N
         return ok
 
     # one pass: how many lines each rung finds
-    counts = grep_lines(files, F.array(*[F.lit(0)])).select(
+    counts = grep_lines(every, F.array(*[F.lit(0)])).select(
         *[F.count_if(F.col("line").rlike(rx) & on_file(g, s)).alias(f"r{i}") for i, (_, rx, g, s) in enumerate(rungs)]
     ).first()
     rung = next((i for i, n in enumerate(counts) if n), None)

@@ -15,6 +15,7 @@ from ..functions import tables as T
 from ..functions import text as X
 from ..operators import bm25, budget, chunking, code_chunker, intervals, planner, search_tools, vector
 from ..operators.neighbour_graph import NeighbourGraph
+from ..operators.text_index import GrepIndex
 from ..session import RetrievalOptions
 from ..sources import files as S
 from ..sources import shared, store
@@ -280,20 +281,14 @@ def knn_domain_post_filter(spark, d):
 @query(f"with {CHUNKS}, {ASKED}, {TERMS} select term, df, round(idf, 6) as idf from idfs")
 def bm25_df_idf(spark, d):
     c, q = chunks(spark, d), every_asked(spark, d)
-    terms = sorted(r[0] for r in q.select(F.explode(bm25.query_terms(F.col("query_text")))).distinct().collect())
+    terms = q.select(F.explode(bm25.query_terms(F.col("query_text"))).alias("term")).distinct()
     n, _ = bm25.corpus_stats(c)
-    return bm25.document_frequency(c, terms).select("term", "df", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+    return bm25.document_frequency(bm25.index_of(c), terms).select("term", "df", F.round(bm25.idf(F.col("df"), n), 6).alias("idf"))
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {TERMS}, {BM25} select query_id, chunk_id, score, rank from (select query_id, chunk_id, round(raw, 6) as score, row_number() over (partition by query_id order by round(raw, 6) desc, chunk_id) as rank from scores) where rank <= 10""")
 def bm25_topk(spark, d):
-    c = chunks(spark, d)
-    q = bm25.prepare(every_asked(spark, d), c)
-    _, mean = bm25.corpus_stats(c)
-    # the stated queries, a handful of rows, are compared with every chunk
-    rows = c.select("chunk_id", "text_lc", "words").join(F.broadcast(q.select("query_id", "weights")), F.lit(True)).select("query_id", "chunk_id", F.round(bm25.score(F.col("weights"), F.col("text_lc"), F.col("words"), mean), 6).alias("score"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("long"))
-    return ranked.where("rank <= 10")
+    return bm25.top(every_asked(spark, d), chunks(spark, d), 10)
 
 
 @query(f"with {CHUNKS}, {ASKED}, {TERMS}, {BM25}, {NEAR}, {POOL} select * from (select query_id, chunk_id, cos, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from mixed) where rank <= 5")
@@ -530,6 +525,20 @@ def grep_content(spark, d):
     return search_tools.grep(_tree(spark, d), "(the|der|les) ", glob="src1/*")
 
 
+HELD = " and ".join(f"contains(t, '{g}')" for g in ("lic", "ice", "cen")) + " and (contains(t, 'ens') and contains(t, 'nse') or contains(t, 'enc') and contains(t, 'nce'))"
+
+
+@query(f"""with {GREP_LINES}, n as (select path, count(*) as n from lines where regexp_matches(line, '(?i)licen[cs]ed?') group by path)
+ select f.name as path, coalesce(n, 0) as n, coalesce({HELD}, false) as scanned from (select name, lower(content) as t from {FILES}) f left join n on n.path = f.name""")
+def grep_index(spark, d):
+    """Every file's lines that match, sought through the trigram index; scanned: whether the index had the file read."""
+    tree, pattern = _tree(spark, d), "(?i)licen[cs]ed?"
+    index = GrepIndex.build(tree, shared.new_path(spark, "trigrams"))
+    lines = search_tools.grep_lines(search_tools.narrowed(tree, pattern, index), F.col("line").rlike(pattern))
+    hits = lines.groupBy("path").agg(F.count_if("hit").alias("n"))
+    return tree.select("path").join(hits.withColumn("scanned", F.lit(True)), "path", "left").select("path", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("scanned", F.lit(False)).alias("scanned"))
+
+
 @query(f"with {GREP_LINES} select path, count(*) as n, 3 as rung, 'ignoring case' as relaxed from lines where regexp_matches(line, '(?i)APACHE LICENSE') group by path order by path limit 250")
 def grep_count(spark, d):
     return search_tools.grep(_tree(spark, d), "APACHE LICENSE", glob="*.py", scope="src3", mode="count")

@@ -14,29 +14,39 @@ from pyspark.sql import functions as F
 from ..operators import bm25, vector
 from ..operators.chunking import with_search_columns
 from ..session import RetrievalOptions
+from ..sources.shared import cut
 
 DIGITS = 6
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, limit: int, domain: str, options: RetrievalOptions) -> DataFrame:
-    """query_id, chunk_id, cos: the nearest of all domains, then those of `domain`.
+def nearest(queries: DataFrame, chunks: DataFrame, limit: int, options: RetrievalOptions) -> DataFrame:
+    """query_id, chunk_id, cos, near_rank: the nearest of all domains."""
+    return vector.knn(queries, chunks, options.candidate_factor * limit).select("query_id", "chunk_id", "cos", F.col("rank").alias("near_rank"))
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, limit: int, domain: str, options: RetrievalOptions, near: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, cos: the nearest of all domains (given, or sought), then those of `domain`.
 
     The filter comes after the cut, so a domain can be starved by the other; that is the contract.
     """
-    near = vector.knn(queries, chunks, options.candidate_factor * limit).select("query_id", "chunk_id", "cos", F.col("rank").alias("near_rank"))
+    near = nearest(queries, chunks, limit, options) if near is None else near
     own = chunks.select("chunk_id", "domain").where(F.col("domain") == domain)
     order = Window.partitionBy("query_id").orderBy("near_rank")
     found = near.join(own, "chunk_id").withColumn("_n", F.row_number().over(order))
     return found.where(F.col("_n") <= options.pool_factor * limit).select("query_id", "chunk_id", "cos")
 
 
-def hybrid(found: DataFrame, queries: DataFrame, chunks: DataFrame, options: RetrievalOptions) -> DataFrame:
-    """Adds score: weighted cosine and saturated BM25; the cosine alone for queries without terms."""
+def weights_of(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, float]:
+    """query_id, weights of the queries' terms, written once; and the chunks' mean length."""
+    return cut(bm25.prepare(queries, chunks).select("query_id", "weights"), "weights"), bm25.corpus_stats(chunks)[1]
+
+
+def hybrid(found: DataFrame, queries: DataFrame, chunks: DataFrame, options: RetrievalOptions, known: tuple[DataFrame, float] | None = None) -> DataFrame:
+    """Adds score: weighted cosine and saturated BM25; the cosine alone for queries without terms.  known: what weights_of() gives."""
     if options.hybrid_weight_bm25 <= 0:
         return found.withColumn("score", F.col("cos"))
     chunks = chunks if "text_lc" in chunks.columns else with_search_columns(chunks)
-    asked = bm25.prepare(queries, chunks).select("query_id", "weights")
-    _, mean = bm25.corpus_stats(chunks)
+    asked, mean = known or weights_of(queries, chunks)
     rows = found.join(asked, "query_id").join(chunks.select("chunk_id", "text_lc", "words"), "chunk_id")
     raw = bm25.score(F.col("weights"), F.col("text_lc"), F.col("words"), mean)
     mixed = options.hybrid_weight_vector * F.col("cos") + options.hybrid_weight_bm25 * (F.col("raw") / (F.col("raw") + 1))
@@ -98,19 +108,26 @@ def expand_summaries(selected: DataFrame, queries: DataFrame, chunks: DataFrame,
     return both.groupBy("query_id").applyInPandas(emit, f"query_id {kinds['query_id']}, rank long, chunk_id {kinds['chunk_id']}, score double")
 
 
-def search(queries: DataFrame, chunks: DataFrame, limit: int = 5, domain: str = "code", options: RetrievalOptions = RetrievalOptions()) -> DataFrame:
-    """query_id, rank, chunk_id, source, text, score: search in one domain."""
-    found = candidates(queries, chunks, limit, domain, options)
-    pool = hybrid(found, queries, chunks, options).where(F.col("score") >= options.min_similarity)
+def search(
+    queries: DataFrame, chunks: DataFrame, limit: int = 5, domain: str = "code", options: RetrievalOptions = RetrievalOptions(), near: DataFrame | None = None, known: tuple[DataFrame, float] | None = None
+) -> DataFrame:
+    """query_id, rank, chunk_id, source, text, score: search in one domain.  near, known: what nearest() and weights_of() give."""
+    found = candidates(queries, chunks, limit, domain, options, near)
+    pool = hybrid(found, queries, chunks, options, known).where(F.col("score") >= options.min_similarity)
     final = expand_summaries(mmr(pool, chunks, limit, options.mmr_lambda), queries, chunks, limit, options)
     return final.join(chunks.select("chunk_id", "source", "text"), "chunk_id").select("query_id", "rank", "chunk_id", "source", "text", "score")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 5, options: RetrievalOptions = RetrievalOptions()) -> DataFrame:
-    """Search in both domains, merged by score (code first on ties), the best `limit`; an error if retrieval is off."""
+    """Search in both domains, merged by score (code first on ties), the best `limit`; an error if retrieval is off.
+
+    Neighbours and terms don't depend on the domain: they are sought once, and written for both.
+    """
     if not options.enabled:
         raise ValueError("retrieval is disabled")
-    code, prose = (search(queries, chunks, limit, d, options).withColumn("part", F.lit(i)) for i, d in enumerate(("code", "text")))
+    chunks = chunks if "text_lc" in chunks.columns else with_search_columns(chunks)
+    near, known = cut(nearest(queries, chunks, limit, options), "near"), weights_of(queries, chunks) if options.hybrid_weight_bm25 > 0 else None
+    code, prose = (search(queries, chunks, limit, d, options, near, known).withColumn("part", F.lit(i)) for i, d in enumerate(("code", "text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "part", "rank")
     both = code.unionByName(prose).withColumn("merged", F.row_number().over(order).cast("long")).where(F.col("merged") <= limit)
     return both.select("query_id", F.col("merged").alias("rank"), "chunk_id", "source", "text", "score")
