@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut, delete, release
 from .vector import similarity
 
-CELL, CENTRES, TOP = 1500, 4096, 256
+CELL, CENTRES, TOP = 1500, 4096, 2048
 #: Cells that a vector is in, and times that cells are made anew.
 NEAR, PASSES = 4, 3
 #: Partners that a member of a neighbourhood is told of in a round.
@@ -221,7 +221,7 @@ class NeighbourGraph:
         self.nodes, self.edges, self.stats, self.dim, self.k = nodes, edges, stats, dim, k
 
     @classmethod
-    def build(cls, vectors: DataFrame, path: str, k: int = 32, m: int = 16, key: str = "vec_id", vector: str = "embedding") -> NeighbourGraph:
+    def build(cls, vectors: DataFrame, path: str, k: int = 32, m: int = 32, key: str = "vec_id", vector: str = "embedding") -> NeighbourGraph:
         """Builds the graph of all vectors of the commonest length into the folder `path`, which must be new.
 
         Null vectors, vectors of another length, zero or non-finite ones and null ids are in no search's result; of rows that
@@ -282,7 +282,7 @@ class NeighbourGraph:
             found = self.edges.where("layer = 0").join(mine.select(F.col("query_id").alias("node")), "node", "left_semi").select(F.col("node").alias("query_id"), F.explode("neighbours").alias("id"))
         return self.exact(found, mine, k)
 
-    def search(self, queries: DataFrame, k: int, beam: int = 48, width: int = 16, rounds: int = 24) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, beam: int = 48, width: int = 24, rounds: int = 24) -> DataFrame:
         """queries (query_id, vector) -> query_id, chunk_id, cos, rank, visited (vectors compared for that query).
 
         A beam holds the `beam` best nodes met so far, or `width` above the lowest layer.  In a round the first `width` of a

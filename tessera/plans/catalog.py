@@ -365,8 +365,8 @@ def graph_beam_search(spark, d):
     return _graph(spark, d).search(asked, 10)
 
 
-LAYERS = """with v as (select distinct vec_id, floor(-ln((('0x' || substr(sha256(vec_id::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370496.0) / ln(16))::INT as level from embeddings),
- l as (select layer::INT as layer, count(*) filter (where level >= layer) as nodes from v, range(0, 16) t(layer) group by layer), e as (select *, nodes > case when layer = 0 then 33 else 256 end as linked from l)"""
+LAYERS = """with v as (select distinct vec_id, floor(-ln((('0x' || substr(sha256(vec_id::VARCHAR), 1, 13))::BIGINT + 1) / 4503599627370496.0) / ln(32))::INT as level from embeddings),
+ l as (select layer::INT as layer, count(*) filter (where level >= layer) as nodes from v, range(0, 16) t(layer) group by layer), e as (select *, nodes > case when layer = 0 then 33 else 2048 end as linked from l)"""
 
 
 @query(f"""{LAYERS} select layer, nodes, case when linked then nodes * least(32, nodes - 1) else 0 end::BIGINT as edges, case when linked then least(32, nodes - 1) else 0 end::BIGINT as least_degree,
