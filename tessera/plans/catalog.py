@@ -18,7 +18,7 @@ from ..operators.neighbour_graph import NeighbourGraph
 from ..operators.text_index import GrepIndex
 from ..session import RetrievalOptions
 from ..sources import files as S
-from ..sources import shared, store
+from ..sources import index_file, shared, store
 from ..streaming import events
 from . import retrieval
 
@@ -399,6 +399,17 @@ def store_clear_domain(spark, d):
     return store.clear(_store(spark, d)[0], "text")
 
 
+@query(f"with {CHUNKS} select source, md5(text) as text, kind, file, domain, len(vector)::BIGINT as dim, round(list_sum(vector), 4) as total from chunks")
+def index_file_roundtrip(spark, d):
+    """All chunks, written in the binary index format and read back."""
+    index_file.register(spark)
+    path = shared.new_path(spark, "index")
+    chunks(spark, d).write.format("chunk_index").mode("append").save(path)
+    back = spark.read.format("chunk_index").load(path)
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return back.select("source", F.md5(F.col("text").cast("binary")).alias("text"), "kind", "file", "domain", F.size("vector").cast("long").alias("dim"), total.alias("total"))
+
+
 @query(f"with {CHUNKS} select domain, count(*) as chunks, count(distinct file) as files, max(len(vector))::BIGINT as vector_dim from chunks group by domain")
 def index_status(spark, d):
     return chunks(spark, d).groupBy("domain").agg(F.count("*").alias("chunks"), F.countDistinct("file").alias("files"), F.max(F.size("vector")).cast("long").alias("vector_dim"))
