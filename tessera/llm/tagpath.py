@@ -6,13 +6,15 @@ text per block (text-to-path ratio) and punctuation per block are smoothed over
 blocks, fused with the share of text that is not in links, and gathered for the containers above.
 The container with the best fused score that still holds most of the page's score is the article;
 its paths are content; lists that are mostly bare links go where no article or main element names it.
-What is boilerplate by its element (nav, header, footer, aside, form, script, style, ...) or hidden never
-enters a path.  A class, id or role that is a word for boilerplate (ad, menu, sidebar, comments, ...) as a
-whole marks the element: its text counts less, and stays only if it is much richer than the rest of the
-article.  The mark is void on what holds an article or main element, or, where there is none elsewhere,
-most of the page's score.
+What is boilerplate by its element (nav, header, footer, aside, script, style, ...) or hidden never
+enters a path.  A class, id or role that is a word for boilerplate (ad, menu, sidebar, ...) as a whole
+marks the element: its text counts less, and stays only if it is much richer than the rest of the
+article.  Forms, and reader comments by any part of a class or id, are marked too, and their text counts
+nothing.  A mark is void on what holds an article or main element, or, where there is none elsewhere,
+most of the page's score (for comments, all of its punctuation).
 
-One pass over the pages, a page at a time, no shuffle; memory is bounded by the longest page.
+One pass over the pages, a page at a time, no shuffle; memory is bounded by the longest page, and so is time:
+paths are nodes of a tree, whose sums are taken from the leaves up, so nesting costs no more than length.
 
 Defined results: null or empty html, and pages without text, give an empty text; unclosed and
 truncated markup is read as far as it goes; repeated rows are all kept.
@@ -22,7 +24,8 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,7 @@ from .common import col
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
-DROP = frozenset("head script style title noscript template iframe noframes svg math canvas object audio video nav header footer aside form button select option textarea dialog menu fieldset".split())
+DROP = frozenset("head script style title noscript template iframe noframes svg math canvas object audio video nav header footer aside button select option textarea dialog menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 CONTAINERS = frozenset("html body main article section div center".split())
 #: Block elements that the next of their kind closes.
@@ -42,10 +45,13 @@ SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: What text in a marked element counts.
 MARKED = 0.25
+# Marks that count nothing at all: forms, and reader comments, whose word may be a part of a class or id.
+FORMS = frozenset("form fieldset".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 # Words in class, id and role that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs"
-    " header masthead footer comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
+    " header masthead footer reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe"
     " signup login share sharing social related recommended recommendations pagination pager widget toolbar complementary contentinfo search skip".split()
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
@@ -62,14 +68,46 @@ def mark(attributes: str) -> str:
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return "hidden"
         if name in ("class", "id", "role"):
+            if any(part in COMMENTS for x in value.split() for part in (x, *re.split(r"[-_]", x))):
+                return "comments"
             found = found or next((x for x in value.split() if x in MARKS), "")
     return found
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+class Paths:
+    """Tag paths as nodes of a tree: each knows its parent and its last tag, and comes after its parent."""
+
+    def __init__(self) -> None:
+        self.parent, self.label, self.at = [0], [""], {}
+
+    def child(self, parent: int, label: str) -> int:
+        node = self.at.setdefault((parent, label), len(self.parent))
+        if node == len(self.parent):
+            self.parent.append(parent)
+            self.label.append(label)
+        return node
+
+    def above(self, values: list) -> list:
+        """Sums over each node and all below it."""
+        out = list(values)
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] += out[node]
+        return out
+
+    def below(self, flags: list) -> list:
+        """Whether a node or one above it is flagged."""
+        out = list(flags)
+        for node in range(1, len(out)):
+            out[node] = out[node] or out[self.parent[node]]
+        return out
+
+
+def blocks_of(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
     """(path, text, characters in links) of each block of text outside boilerplate, in page order."""
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []  # (tag, label); label "" is boilerplate, tag!word a marked element
+    found: list[tuple[int, str, int]] = []
+    paths = Paths()
+    stack: list[tuple[str, int, bool]] = []  # tag, path, whether it is boilerplate
+    open_: Counter[str] = Counter()
     bad = 0  # boilerplate elements open
     links = 0
     text: list[str] = []
@@ -81,13 +119,15 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if text:
             joined = SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
             if joined:
-                found.append((tuple(x for _, x in stack), joined, linked))
+                found.append((stack[-1][1] if stack else 0, joined, linked))
             text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal bad
-        bad -= stack.pop()[1] == ""
+        tag, _, boiler = stack.pop()
+        open_[tag] -= 1
+        bad -= boiler
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -108,9 +148,8 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and mark(m[3]) and not m[3].rstrip().endswith("/") and tag == "span":
-                end = re.compile(r"</span\s*>", re.I).search(page, at)
-                at = end.end() if end and "<span" not in page[at : end.start()].lower() else at
+            if tag == "span" and not closing and mark(m[3]) and not m[3].rstrip().endswith("/"):
+                at = after_span(page, at)
             continue
         if tag == "br" or tag in VOID:
             if tag in ("br", "hr"):
@@ -122,7 +161,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         flush()
         links = 0
         if closing:
-            if any(x == tag for x, _ in stack):
+            if open_[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -134,7 +173,7 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         closes = SELF_CLOSING.get(tag, frozenset())
         if tag in ENDS_P:
             closes = {*closes, "p"}
-        for i in range(len(stack) - 1, -1, -1):
+        for i in range(len(stack) - 1, -1, -1) if any(open_[x] for x in closes) else ():
             if stack[i][0] in closes:
                 while len(stack) > i:
                     pop()
@@ -145,91 +184,109 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             while bad and stack:
                 pop()
         if tag not in ("html",) or not stack:
-            word = "" if tag in ("body", "html", "main", "article") else mark(m[3])
+            word = "" if tag in ("body", "html", "main", "article") else "form" if tag in FORMS else mark(m[3])
             boiler = tag in DROP or word == "hidden"
-            stack.append((tag, "" if boiler else f"{tag}!{word}" if word else tag))
+            stack.append((tag, paths.child(stack[-1][1] if stack else 0, f"{tag}!{word}" if word else tag), boiler))
+            open_[tag] += 1
             bad += boiler
     flush()
-    return found
+    return paths, found
+
 
+def after_span(page: str, at: int) -> int:
+    """Where the span that was opened before `at` ends; `at` where it doesn't."""
+    depth = 1
+    for m in re.compile(r"<(/?)span(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return at
 
-def unmarked(blocks: list[tuple[tuple[str, ...], str, int]], threshold: float) -> list[tuple[tuple[str, ...], str, int]]:
-    """The blocks, without the marks of elements that hold the article."""
-    if not any("!" in x for path, _, _ in blocks for x in path):
-        return blocks
-    held: dict[tuple[str, ...], list[float]] = {}  # by marked element: score, punctuation, blocks in article or main
-    total, named = 0.0, 0
-    for path, text, linked in blocks:
-        points, inside = len(PUNCTUATION.findall(text)), [i for i, x in enumerate(path) if x in ("article", "main")]
-        score = len(text) * (1 + points) * (1 - min(linked, len(text)) / len(text)) ** 2
-        total, named = total + score, named + bool(inside)
-        for i, x in enumerate(path):
-            if "!" in x:
-                h = held.setdefault(path[: i + 1], [0.0, 0, 0])
-                h[0], h[1], h[2] = h[0] + score, h[1] + points, h[2] + any(j > i for j in inside)
-    void = {p for p, (score, points, inside) in held.items() if inside or not named and points and score >= threshold * total}
-    return [(tuple(x.split("!")[0] if path[: i + 1] in void else x for i, x in enumerate(path)), text, linked) for path, text, linked in blocks]
+
+def per_path(paths: Paths, values: Iterable[tuple[int, float]]) -> list[float]:
+    out = [0.0] * len(paths.parent)
+    for path, x in values:
+        out[path] += x
+    return out
+
+
+def own_score(size: float, points: float, linked: float) -> float:
+    """Text and punctuation, less what is in links."""
+    return size * (1 + points) * (1 - linked / max(1, size)) ** 2
+
+
+def unmarked(paths: Paths, blocks: list[tuple[int, str, int]], threshold: float) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """Paths and blocks without the marks of elements that hold the article."""
+    if not any("!" in x for x in paths.label):
+        return paths, blocks
+    points = [len(PUNCTUATION.findall(text)) for _, text, _ in blocks]
+    scores = [own_score(len(text), p, min(linked, len(text))) for (_, text, linked), p in zip(blocks, points, strict=True)]
+    held, pointed = (paths.above(per_path(paths, ((path, x) for (path, _, _), x in zip(blocks, xs, strict=True)))) for xs in (scores, points))
+    full = paths.above(per_path(paths, ((path, 1) for path, _, _ in blocks)))
+    name = [x in ("article", "main") for x in paths.label]
+    holds = paths.above([int(x and f > 0) for x, f in zip(name, full, strict=True)])  # article and main elements below
+    named = any(paths.below(name)[path] for path, _, _ in blocks)
+    new, to = Paths(), [0] * len(paths.label)
+    for node, label in enumerate(paths.label[1:], 1):
+        tag, _, word = label.partition("!")
+        # a mark of comments is taken for the page's own only where no sentence stands elsewhere
+        most = pointed[node] == pointed[0] if word == "comments" else held[node] >= threshold * held[0]
+        void = holds[node] or not named and pointed[node] and most
+        to[node] = new.child(to[paths.parent[node]], tag if void else label)
+    return new, [(to[path], text, linked) for path, text, linked in blocks]
 
 
 def main_text(page: str | None, window: int = 2, threshold: float = 0.5) -> str:
     """The article's blocks, joined by one space."""
     if not page:
         return ""
-    blocks = unmarked(blocks_of(page), threshold)
+    paths, blocks = unmarked(*blocks_of(page), threshold)
     if not blocks:
         return ""
+    every = range(len(paths.label))
     # sums over each root-to-leaf path
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in blocks:
-        s = sums.setdefault(path, [0, 0, 0, 0])
-        s[0] += 1
-        s[1] += len(text)
-        s[2] += len(PUNCTUATION.findall(text))
-        s[3] += min(linked, len(text))
+    count, size, points, linked = (per_path(paths, ((path, f(text, in_links)) for path, text, in_links in blocks)) for f in (lambda t, _: 1, lambda t, _: len(t), lambda t, _: len(PUNCTUATION.findall(t)), lambda t, x: min(x, len(t))))
     # text and punctuation per block of a path, smoothed over the order of blocks
-    low = {p for p in sums if any("!" in x for x in p)}
-    length = [sums[p][1] / sums[p][0] * (MARKED if p in low else 1) for p, _, _ in blocks]
-    points = [sums[p][2] / sums[p][0] for p, _, _ in blocks]
+    low = paths.below(["!" in x for x in paths.label])
+    lost = paths.below([x.partition("!")[2] in ("form", "comments") for x in paths.label])
 
     def smooth(x: list[float]) -> list[float]:
         return [sum(part) / len(part) for i in range(len(x)) for part in [x[max(0, i - window) : i + window + 1]]]
 
-    fused: dict[tuple[str, ...], float] = {}
-    for (path, _, _), a, b in zip(blocks, smooth(length), smooth(points), strict=True):
-        free = 1 - sums[path][3] / max(1, sums[path][1])
-        fused[path] = fused.get(path, 0.0) + a * (1 + b) * free * free
-    # scores of containers: the deepest one that holds most of the page's score is the article
-    containers: dict[tuple[str, ...], float] = {}
-    for path, score in fused.items():
-        for depth in range(len(path) + 1):
-            if not depth or path[depth - 1] in CONTAINERS:
-                containers[path[:depth]] = containers.get(path[:depth], 0.0) + score
-    most = threshold * containers[()]
-    def own(path: tuple[str, ...]) -> float:
-        n, size, points, linked = sums[path]
-        return size * (1 + points / n) * (1 - linked / max(1, size)) ** 2
-
+    length = smooth([0 if lost[p] else size[p] / count[p] * (MARKED if low[p] else 1) for p, _, _ in blocks])
+    pointed = smooth([points[p] / count[p] for p, _, _ in blocks])
+    fused = per_path(paths, ((p, 0 if lost[p] else a * (1 + b) * (1 - linked[p] / max(1, size[p])) ** 2) for (p, _, _), a, b in zip(blocks, length, pointed, strict=True)))
+    # the deepest container that holds most of the page's score is the article
+    containers = paths.above(fused)
+    most = threshold * containers[0]
+    own = [own_score(size[p], points[p] / count[p], linked[p]) if count[p] else 0.0 for p in every]
     # an article or main element needs most of the score, or most of what no mark speaks against before smoothing
-    clear = {p: own(p) for p in sums if p not in low}
-    named = [p for p in containers if p and p[-1] in ("article", "main") and (containers[p] >= most or sum(x for q, x in clear.items() if q[: len(p)] == p) >= threshold * sum(clear.values()) > 0)]
-    best = max(named or [p for p in containers if containers[p] >= most], key=len, default=())
-    inside = [p for p in fused if p[: len(best)] == best]
-    mean = sum(fused[p] for p in inside) / max(1, sum(sums[p][0] for p in inside))
+    clear = paths.above([0.0 if low[p] else own[p] for p in every])
+    depth = [0] * len(paths.label)
+    for p in every[1:]:
+        depth[p] = depth[paths.parent[p]] + 1
+    full = paths.above(count)
+    named = [p for p in every if full[p] and paths.label[p] in ("article", "main") and (containers[p] >= most or clear[p] >= threshold * clear[0] > 0)]
+    held = [p for p in every if not p or full[p] and paths.label[p] in CONTAINERS and containers[p] >= most]
+    best = max(named or held, key=depth.__getitem__)
+    inside = paths.below([p == best for p in every])
+    blocks_inside = sum(count[p] for p in every if inside[p])
+    mean = sum(fused[p] for p in every if inside[p]) / max(1, blocks_inside)
+    plain = [p for p in every if inside[p] and count[p] and not low[p]]
+    rich = sum(own[p] for p in plain) / sum(count[p] for p in plain) if plain else None
 
-    plain = [p for p in inside if p not in low]
-    rich = sum(map(own, plain)) / sum(sums[p][0] for p in plain) if plain else None
-
-    def content(path: tuple[str, ...]) -> bool:
-        if path in low and (rich is None or MARKED * own(path) / sums[path][0] < threshold * rich):
+    def content(p: int) -> bool:
+        if lost[p] or low[p] and (rich is None or MARKED * own[p] / count[p] < threshold * rich):
             return False
-        linked = sums[path][3] >= 0.5 * sums[path][1]
-        if path[: len(best)] == best:  # without a named article, lists and cells that are mostly bare links are left out
-            bare = linked and sums[path][2] < sums[path][0]
-            return bool(named) or not (bare and path[-1:] in (("li",), ("td",), ("dd",)))
-        return not named and not linked and fused[path] / sums[path][0] >= threshold * mean
-
-    keep = {p for p in fused if content(p)}
-    return " ".join(text for path, text, _ in blocks if path in keep)
+        in_links = linked[p] >= 0.5 * size[p]
+        if inside[p]:  # without a named article, lists and cells that are mostly bare links are left out
+            bare = in_links and points[p] < count[p]
+            return bool(named) or not (bare and paths.label[p] in ("li", "td", "dd"))
+        # elsewhere a path needs the article's score with its neighbours, and a fair share of it by itself
+        return not named and not in_links and fused[p] / count[p] >= threshold * mean and own[p] / count[p] >= MARKED * (rich or 0)
+
+    keep = [count[p] > 0 and content(p) for p in every]
+    return " ".join(text for path, text, _ in blocks if keep[path])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
