@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 #: Query vectors that one pass takes to the workers (at 1,024 dimensions: 32 MB); more queries make more passes.
 QUERIES_PER_PASS = 4096
 SMALL = 1e-10
@@ -91,8 +93,10 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id
                 cos = np.round(cos, digits) + 0.0
                 keys = np.asarray(batch.column(0))
                 rows, queries_ = [], []
+                at_least = -np.partition(-cos, k - 1, axis=0)[k - 1] if len(cos) > k else np.full(len(q), -2.0)
                 for j in range(len(q)):
-                    order = np.lexsort((keys, -cos[:, j]))[:k]
+                    likely = np.flatnonzero(cos[:, j] >= at_least[j])  # the k best, and what ties with the last
+                    order = likely[np.lexsort((keys[likely], -cos[likely, j]))[:k]]
                     rows.append(order), queries_.append(np.full(len(order), j))
                 rows, queries_ = np.concatenate(rows), np.concatenate(queries_)
                 yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in queries_]), batch.column(0).take(pa.array(rows)), pa.array(cos[rows, queries_])], ["q", "c", "cos"])
@@ -105,28 +109,90 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id
     return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "cos", "rank")
 
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """a, b (a < b), cos: pairs with cosine above `least`; blocks of vectors against all rows."""
-    sc, out = vectors.sparkSession.sparkContext, None
+#: Components of a block of similar_pairs(), and sampled centres that blocks are made around.
+BLOCK, CENTRES = 1 << 19, 4096
+
+
+def blocks_of(vectors: DataFrame, key: str, vector: str, dim: int) -> tuple[DataFrame, int]:
+    """(block, keys, x, centre, radius) for blocks of vectors near to each other, numbered from 0, and how many.
+
+    radius is the greatest angle between the block's centre and one of its vectors.  A cell around a sampled centre that
+    is too large for a block, or a vector that many rows share, is cut up by a hash of the key.
+    """
+    rows = vectors.where(F.size(vector) == dim).select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"))
+    n, most = rows.count(), max(1, BLOCK // dim)
+    sample = rows.orderBy(F.xxhash64("_k"), "_k").limit(min(CENTRES, -(-n // most))).select("_v").collect()
+    centres = np.array([r[0] for r in sample], np.float64).reshape(-1, dim)
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), SMALL)
+
+    def place(batches: Iterator[pa.RecordBatch], first: np.ndarray | None = None, parts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = (batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) @ centres.T).argmax(1)
+            if first is not None:
+                cell = first[cell] + (np.asarray(batch.column(2)).view(np.uint64) >> np.uint64(11)).astype(np.int64) % parts[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), *batch.columns[:2]], ["block", "_k", "_v"])
+
     kind = vectors.schema[key].dataType.simpleString()
-    picked = vectors.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
-    for ids, q in passes(vectors, key, vector):
-        shared = sc.broadcast((np.array(ids), q))
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit(1), "_k"))
+    schema = f"block bigint, _k {kind}, _v array<double>"
+    parts = np.zeros(len(centres), np.int64)
+    for r in hashed.mapInArrow(place, schema).groupBy("block").count().collect():  # one row a centre
+        parts[r["block"]] = -(-r["count"] // most)
+    first = np.cumsum(parts) - parts
+
+    def pack(block: pa.Table) -> pa.Table:
+        x = block.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        unit = x / np.maximum(norm, SMALL)
+        centre = unit.sum(0)
+        centre /= max(np.linalg.norm(centre), SMALL)
+        radius = np.arccos(np.clip(unit @ centre, -1, 1)).max() if (norm >= SMALL).all() else np.pi  # a zero vector has no direction
+        keys = block.column("_k").combine_chunks()
+        lists_ = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        return pa.Table.from_arrays([block.column("block").slice(0, 1).combine_chunks(), lists_, pa.array([x.tobytes()]), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([float(radius)])], ["block", "keys", "x", "centre", "radius"])
+
+    dealt = hashed.mapInArrow(lambda batches: place(batches, first, np.maximum(parts, 1)), schema)
+    return cut(dealt.groupBy("block").applyInArrow(pack, f"block bigint, keys array<{kind}>, x binary, centre array<double>, radius double"), "blocks"), int(parts.sum())
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, ok = matrix(batch.column(1), q.shape[1])
-                keys = np.asarray(batch.column(0))[ok]
-                cos = np.round(cosines(x, q), digits)
-                i, j = np.nonzero((cos > least) & (keys[:, None] < names[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i]), pa.array(names[j]), pa.array(cos[i, j])], ["a", "b", "cos"])
 
-        part = picked.mapInArrow(work, f"a {kind}, b {kind}, cos double")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
+def similar_pairs(vectors: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """a, b (a < b), cos: pairs with cosine above `least`, compared exactly, block against block, each pair of blocks once.
+
+    A pair of blocks is left out where the angle between their centres, less both radii, is above the angle of `least`.
+    Null vectors, null keys and vectors of another than the commonest length are in no pair; a zero vector's cosine is 0.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    good = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0))
+    sizes = good.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cos double")
+    dim = sizes["d"]
+    blocks, count = blocks_of(good, key, vector, dim)
+    about = blocks.select("block", "centre", "radius")
+    other = about.select(F.col("block").alias("with"), F.col("centre").alias("centre_"), F.col("radius").alias("radius_"))
+    pairs = about.select("block", "centre", "radius", F.explode(F.sequence("block", F.lit(count - 1).cast("long"))).alias("with")).join(other, "with")
+    between = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("centre"), F.col("centre_")))))
+    near = pairs.where(between - F.col("radius") - F.col("radius_") <= float(np.arccos(np.clip(least, -1, 1))) + 1e-6) if least > 0 else pairs
+    left = blocks.select("block", F.col("keys").alias("ka"), F.col("x").alias("xa"))
+    right = blocks.select(F.col("block").alias("with"), F.col("keys").alias("kb"), F.col("x").alias("xb"))
+    both = near.select("block", "with").join(left, "block").join(right, "with")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block, with_ = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                ka, kb = (np.asarray(batch.column(i)[row].values) for i in (2, 4))
+                xa, xb = (np.frombuffer(batch.column(i)[row].as_py(), np.float64).reshape(-1, dim) for i in (3, 5))
+                for lo in range(0, len(xa), 512):
+                    cos = np.round(cosines(xa[lo : lo + 512], xb), digits)
+                    i, j = np.nonzero(cos > least)
+                    a, b, c = ka[lo + i], kb[j], cos[i, j]
+                    up = a < b
+                    down = (a > b) & (block != with_)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a[up], b[down]])), pa.array(np.concatenate([b[up], a[down]])), pa.array(np.concatenate([c[up], c[down]]))], ["a", "b", "cos"])
+
+    # a few rows of some MB each: a task for each pair of blocks, up to Spark's own number of them
+    return both.select("block", "with", "ka", "xa", "kb", "xb").mapInArrow(work, f"a {kind}, b {kind}, cos double")
 
 
 # --- the approximate index -----------------------------------------------------------------

@@ -270,7 +270,7 @@ def cosine_topk(spark, d):
 @query("""select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) as cos from embeddings a join embeddings b on a.vec_id < b.vec_id
  where round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) > 0.5""")
 def cosine_allpairs_threshold(spark, d):
-    return vector.similar_pairs(read(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism), 0.5)
+    return vector.similar_pairs(read(spark, d, "embeddings"), 0.5)
 
 
 @query(f"""with {CHUNKS}, {ASKED}, {NEAR} select query_id, chunk_id, cos from (select r.*, row_number() over (partition by query_id order by r.r) as k from ranked r join chunks c using (chunk_id) where r.r <= 60 and c.domain = 'text') where k <= 40""")

@@ -257,3 +257,24 @@ def test_planner(spark):
     assert got[3]["ngl"] == -1 and got[4]["ctx"] >= 2048 and 0 < got[4]["ngl"] < 32 and got[5]["ngl"] == 0 and got[6]["ctx"] == 4096 and got[6]["cache_type"] == ""
     f = lambda *x: spark.range(1).select(planner.measured_factor(*map(F.lit, x))).first()[0]
     assert round(f(6016, 32, 6512, 32), 3) == 0.924 and f(400, 32, 6512, 32) is None and f(13000, 32, 6512, 32) is None and round(f(3008, 16, 6512, 32), 3) == 0.924
+
+
+def test_similar_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 40 * 8)
+    r = np.random.default_rng(9)
+    middles = r.normal(size=(6, 8))
+    x = (middles[r.integers(0, 6, 400)] + 0.15 * r.normal(size=(400, 8))).astype(np.float32)
+    x[100:180] = x[7]  # more equal vectors than a block holds
+    x[50] = 0
+    odd = [(None, x[1].tolist()), (900, None), (901, []), (902, [1.0])]
+    rows = [(int(i), v.tolist()) for i, v in zip(r.permutation(400), x, strict=True)] + odd
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, block int")
+    keys, m = np.array([i for i, _ in rows[:400]]), np.array([v for _, v in rows[:400]], np.float64)
+    for least in (0.6, 0.0, -0.5):
+        cos = np.round(vector.cosines(m, m), 6)
+        want = sorted((int(keys[i]), int(keys[j]), float(cos[i, j])) for i, j in zip(*np.nonzero(cos > least), strict=True) if keys[i] < keys[j])
+        assert sorted((a, b, c) for a, b, c in vector.similar_pairs(df, least).collect()) == want
+    blocks, count = vector.blocks_of(df.where("vec_id is not null"), "vec_id", "embedding", 8)
+    sizes = [len(b["keys"]) for b in blocks.collect()]
+    assert sum(sizes) == 400 and len(sizes) <= count and max(sizes) < 80 and sorted(b["block"] for b in blocks.collect())[-1] < count
+    assert vector.similar_pairs(df.limit(0), 0.5).collect() == []
