@@ -108,10 +108,16 @@ def expand_summaries(selected: DataFrame, queries: DataFrame, chunks: DataFrame,
     return both.groupBy("query_id").applyInPandas(emit, f"query_id {kinds['query_id']}, rank long, chunk_id {kinds['chunk_id']}, score double")
 
 
+def once(chunks: DataFrame) -> DataFrame:
+    """The chunks with what searches derive from them, written, as a dozen steps read them."""
+    return cut(chunks if "text_lc" in chunks.columns else with_search_columns(chunks), "chunks")
+
+
 def search(
     queries: DataFrame, chunks: DataFrame, limit: int = 5, domain: str = "code", options: RetrievalOptions = RetrievalOptions(), near: DataFrame | None = None, known: tuple[DataFrame, float] | None = None
 ) -> DataFrame:
     """query_id, rank, chunk_id, source, text, score: search in one domain.  near, known: what nearest() and weights_of() give."""
+    chunks = once(chunks) if near is None else chunks
     found = candidates(queries, chunks, limit, domain, options, near)
     pool = hybrid(found, queries, chunks, options, known).where(F.col("score") >= options.min_similarity)
     final = expand_summaries(mmr(pool, chunks, limit, options.mmr_lambda), queries, chunks, limit, options)
@@ -125,7 +131,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 5, options: Ret
     """
     if not options.enabled:
         raise ValueError("retrieval is disabled")
-    chunks = chunks if "text_lc" in chunks.columns else with_search_columns(chunks)
+    chunks = once(chunks)
     near, known = cut(nearest(queries, chunks, limit, options), "near"), weights_of(queries, chunks) if options.hybrid_weight_bm25 > 0 else None
     code, prose = (search(queries, chunks, limit, d, options, near, known).withColumn("part", F.lit(i)) for i, d in enumerate(("code", "text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "part", "rank")
