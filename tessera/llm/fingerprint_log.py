@@ -13,8 +13,9 @@ says which block holds it, or that several places do.  For each batch
     (64 bits each); these are merge-joined with the runs of window hashes, which verifies them: a window that is
     there already, or twice in the batch, is a repeat, and so is the one that an earlier block held alone until now;
  3. fingerprints and window hashes become new runs; when `fan_out` runs of a family have gathered, they are compacted.
-So a batch costs its own size and what it hits, never the whole history; the verdicts on earlier documents are
-brought up to date, as the query asks for a symmetric answer.  A log with a folder keeps its runs, blocks and
+So texts of earlier batches are read only where they are hit, but a look-up reads and joins the runs of the whole log
+with the batch, so its cost grows with the log's runs (about a twelfth of a hash a word); the verdicts on earlier
+documents are brought up to date, as the query asks for a symmetric answer.  A log with a folder keeps its runs, blocks and
 verdicts there, listed in numbered manifests, and later sessions go on with it.
 
 Costs: a fingerprint that a third of all documents hold is one entry a block in a message, and one entry in the

@@ -36,7 +36,7 @@ CLASS[0x41:0x5B], CLASS[0x61:0x7B], CLASS[0x80:], CLASS[0x30:0x3A] = 0x41, 0x61,
 
 
 def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """float32 [documents, FEATURES] of 1 + log(count), not weighted yet."""
+    """float32 [documents, FEATURES]: square roots of each shape's share of its document, not weighted yet."""
     n = len(at) - 1
     words = Words(raw, at)
     out = np.zeros((n, FEATURES), np.float32)
