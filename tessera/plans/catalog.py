@@ -586,6 +586,12 @@ def glob_ladder(spark, d):
     return search_tools.glob_files(hosts, "EXAMPLE.Com")
 
 
+@query(f"select path, mtime, 1 as rung, 'ignoring case' as relaxed from {PATHS} where regexp_matches(path, '(?i)^(?:.*/)?en/[^/]*$') or regexp_matches(split_part(path, '/', -1), '(?i)^(?:.*/)?en/[^/]*$') order by mtime desc, path limit 200")
+def glob_ladder_hits(spark, d):
+    """A pattern that only matches once case is ignored."""
+    return search_tools.glob_files(_paths(spark, d), "**/EN/*")
+
+
 @query(f"""with {GREP_LINES}, t as (select *, max(line_no) over (partition by path) as total from lines), e as (select *, concat(line_no, chr(9), line, chr(10)) as entry from t where line_no between 2 and 6),
  c as (select *, sum(strlen(entry)) over (partition by path order by line_no) as size from e), p as (select * from c where size <= 8192 or line_no = 2),
  g as (select path, min(line_no) as first, max(line_no) as last, total, string_agg(entry, '' order by line_no) as body from p group by path, total)
