@@ -69,21 +69,34 @@ def passes(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[lis
         yield ids, np.array(rows, np.float64)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "vector", digits: int = 6) -> DataFrame:
+#: Chunks that one task compares, where it is left to knn() to choose.
+TASK = 1 << 14
+
+
+def k_best(query: np.ndarray, key: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the k best of their query, ties by key."""
+    order = np.lexsort((key, -cos, query))
+    place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[place < k]
+
+
+def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "vector", digits: int = 6, rows: int | None = None) -> DataFrame:
     """query_id, chunk_id, cos (rounded), rank: the k nearest chunks of every query, ties by chunk id.
 
-    A batch of chunks is multiplied with all queries of a pass and keeps its own k best, so at most
-    k rows a batch and query are shuffled to the final ranking.  A vector of another length, or a null one,
-    has cosine 0.
+    A task multiplies its chunks, a batch at a time, with all queries of a pass and keeps its own k best, so at most
+    k rows a task and query are shuffled to the final ranking.  `rows`, how many chunks there are if that is known,
+    keeps tasks from being smaller than TASK chunks.  A vector of another length, or a null one, has cosine 0.
     """
     sc, out = queries.sparkSession.sparkContext, None
     kinds = [queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()]
     picked = chunks.select(F.col(chunk_id).alias("_c"), F.col(vector).alias("_v"))
+    picked = picked if rows is None else picked.coalesce(max(1, -(-rows // TASK)))
     for ids, q in passes(queries, query_id, vector):
         shared = sc.broadcast((ids, q))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
+            held: list[tuple[np.ndarray, ...]] = []  # query, key, cosine
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -92,14 +105,14 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id
                 cos[ok] = cosines(x, q)
                 cos = np.round(cos, digits) + 0.0
                 keys = np.asarray(batch.column(0))
-                rows, queries_ = [], []
                 at_least = -np.partition(-cos, k - 1, axis=0)[k - 1] if len(cos) > k else np.full(len(q), -2.0)
-                for j in range(len(q)):
-                    likely = np.flatnonzero(cos[:, j] >= at_least[j])  # the k best, and what ties with the last
-                    order = likely[np.lexsort((keys[likely], -cos[likely, j]))[:k]]
-                    rows.append(order), queries_.append(np.full(len(order), j))
-                rows, queries_ = np.concatenate(rows), np.concatenate(queries_)
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in queries_]), batch.column(0).take(pa.array(rows)), pa.array(cos[rows, queries_])], ["q", "c", "cos"])
+                row, query = np.nonzero(cos >= at_least)  # the k best of each query, and what ties with the last
+                held.append((query, keys[row], cos[row, query]))
+                parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+                best = k_best(*parts, k)
+                held = [tuple(x[best] for x in parts)]
+            for query, keys, cos in held:
+                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query]), pa.array(keys, batch.schema.field(0).type), pa.array(cos)], ["q", "c", "cos"])
 
         part = picked.mapInArrow(work, f"q {kinds[0]}, c {kinds[1]}, cos double")
         out = part if out is None else out.unionByName(part)

@@ -19,9 +19,9 @@ from ..sources.shared import cut
 DIGITS = 6
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, limit: int, options: RetrievalOptions) -> DataFrame:
+def nearest(queries: DataFrame, chunks: DataFrame, limit: int, options: RetrievalOptions, rows: int | None = None) -> DataFrame:
     """query_id, chunk_id, cos, near_rank: the nearest of all domains."""
-    return vector.knn(queries, chunks, options.candidate_factor * limit).select("query_id", "chunk_id", "cos", F.col("rank").alias("near_rank"))
+    return vector.knn(queries, chunks, options.candidate_factor * limit, rows=rows).select("query_id", "chunk_id", "cos", F.col("rank").alias("near_rank"))
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, limit: int, domain: str, options: RetrievalOptions, near: DataFrame | None = None) -> DataFrame:
@@ -132,7 +132,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, limit: int = 5, options: Ret
     if not options.enabled:
         raise ValueError("retrieval is disabled")
     chunks = once(chunks)
-    near, known = cut(nearest(queries, chunks, limit, options), "near"), weights_of(queries, chunks) if options.hybrid_weight_bm25 > 0 else None
+    near, known = cut(nearest(queries, chunks, limit, options, chunks.count()), "near"), weights_of(queries, chunks) if options.hybrid_weight_bm25 > 0 else None
     code, prose = (search(queries, chunks, limit, d, options, near, known).withColumn("part", F.lit(i)) for i, d in enumerate(("code", "text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "part", "rank")
     both = code.unionByName(prose).withColumn("merged", F.row_number().over(order).cast("long")).where(F.col("merged") <= limit)
