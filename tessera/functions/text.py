@@ -207,8 +207,12 @@ def label_span(source: Column) -> Column:
 
 
 def fmt_ranges(ranges: Column) -> Column:
-    """An array of struct<a, b> as "1-3, 7"."""
-    return F.array_join(F.transform(ranges, lambda r: F.when(r.a == r.b, r.a.cast("string")).otherwise(F.concat_ws("-", r.a.cast("string"), r.b.cast("string")))), ", ")
+    """An array of struct<a, b> as "1-3, 7"; a null bound is empty, as in "4-"."""
+
+    def bound(x: Column) -> Column:
+        return F.coalesce(x.cast("string"), F.lit(""))
+
+    return F.array_join(F.transform(ranges, lambda r: F.when(r.a == r.b, r.a.cast("string")).otherwise(F.concat(bound(r.a), F.lit("-"), bound(r.b)))), ", ")
 
 
 def parse_effort(tag: Column) -> Column:
