@@ -150,11 +150,16 @@ def content_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def human_size(n: Column) -> Column:
-    def unit(power: int, letter: str) -> Column:
-        return F.format_string("%.1f" + letter, F.bround(n.cast("double") / F.lit(float(1024**power)), 1))
+def human_size(n: Column, units: str = "KMG") -> Column:
+    """Bytes with the largest of the units that they reach; the last one takes all that is larger."""
 
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1024**2, unit(1, "K")).when(n < 1024**3, unit(2, "M")).otherwise(unit(3, "G"))
+    def unit(power: int) -> Column:
+        return F.format_string("%.1f" + units[power - 1], F.bround(n.cast("double") / F.lit(float(1024**power)), 1))
+
+    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit("B")))
+    for power in range(1, len(units)):
+        out = out.when(n < 1024 ** (power + 1), unit(power))
+    return out.otherwise(unit(len(units)))
 
 
 def pretty_name(name: Column) -> Column:

@@ -29,3 +29,9 @@ def test_intervals_with_nulls_equal_sql(spark, tmp_path, name):
     spark.createDataFrame(list(spans.values()), "l_suppkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(some(4000, 0.1),) for _ in range(500)], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     assert same(spark, tmp_path, name, "lineitem", "orders")
+
+
+def test_sizes_stay_in_megabytes(spark, tmp_path):
+    keys = [0, 1, 256, 257, 1051, 1052, 262144, 786432, 1076973, 1076974, 1310720, 8000000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert same(spark, tmp_path, "effort_and_size", "part")
