@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import DEFAULT_KV_MIB, KV_MIB
@@ -37,7 +37,7 @@ def plan_launch(models: DataFrame, cache_type: str = "q8_0", hard_max: int = 524
     requested_ngl (-1: all), max_ctx (0: undeclared), and, where given, embed_mib, kv_factor, weight_factor.
 
     Every layer count from the ceiling down is a row; the largest whose window reaches FLASH_FROM wins, else the
-    ceiling itself.
+    ceiling itself.  The winner is found by a hash aggregation, so that a task holds and sends one row a model.
     """
     for name, value in (("embed_mib", 0), ("kv_factor", 1.0), ("weight_factor", 1.0)):
         if name not in models.columns:
@@ -70,8 +70,9 @@ def plan_launch(models: DataFrame, cache_type: str = "q8_0", hard_max: int = 524
     ctx = F.when(F.col("free_mib").isNull(), idle).when(F.col("left") <= 0, LEAST_CONTEXT).when(light >= FLASH_FROM, light).otherwise(heavy).cast("long")
     flash = F.when(F.col("free_mib").isNull(), idle >= FLASH_FROM).otherwise((F.col("left") > 0) & (light >= FLASH_FROM))
     rows = rows.withColumns({"ctx": ctx, "flash_attn": flash})
-    good = F.col("ctx") >= F.least(F.lit(FLASH_FROM), "top")
-    order = Window.partitionBy("model_id").orderBy(F.desc(good.cast("int")), F.desc("off"))
-    best = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    good = (F.col("ctx") >= F.least(F.lit(FLASH_FROM), "top")).cast("long")
+    place = F.coalesce(good, F.lit(-1)) * F.lit(1 << 33) + F.coalesce("off", F.lit(-(1 << 31)))  # good ones first, then by layers
     ngl = F.when(known & (F.col("requested_ngl") < 0) & (F.col("off") == F.col("layers")) & F.col("free_mib").isNotNull(), -1).otherwise(F.col("off"))
-    return best.select("model_id", ngl.cast("int").alias("ngl"), "ctx", "flash_attn", F.when(F.col("flash_attn"), F.lit(cache_type)).otherwise("").alias("cache_type"))
+    rows = rows.select("model_id", ngl.cast("int").alias("ngl"), "ctx", "flash_attn", place.alias("_place"))
+    best = rows.groupBy("model_id").agg(*(F.max_by(c, "_place").alias(c) for c in ("ngl", "ctx", "flash_attn")))
+    return best.select("model_id", "ngl", "ctx", "flash_attn", F.when(F.col("flash_attn"), F.lit(cache_type)).otherwise("").alias("cache_type"))

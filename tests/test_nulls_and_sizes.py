@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from test_entry import table
+from tessera.operators import intervals, planner, vector
 from tessera.plans import catalog
 
 
@@ -35,3 +37,36 @@ def test_sizes_stay_in_megabytes(spark, tmp_path):
     keys = [0, 1, 256, 257, 1051, 1052, 262144, 786432, 1076973, 1076974, 1310720, 8000000]
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert same(spark, tmp_path, "effort_and_size", "part")
+
+
+def test_launch_plans_are_not_sorted(spark):
+    models = spark.range(100).selectExpr("id as model_id", "6512 as file_mib", "32 as layers", "id * 100 as free_mib", "-1 as requested_ngl", "0 as max_ctx")
+    plan = planner.plan_launch(models.unionByName(models))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Window" not in plan and "Sort" not in plan
+    assert planner.plan_launch(models.unionByName(models)).count() == 100
+
+
+def test_covers_join_nothing(spark):
+    rows = [("k", 1, 4), ("k", 9, 20), (None, 1, 9), ("m", 3, 3)]
+    asked = [("k", 1, 4), ("k", 2, 5), ("k", 9, 20), ("k", 9, 20), (None, 1, 2), ("m", 3, 3), ("m", None, 3), ("n", 1, 1)]
+    have, wanted = (spark.createDataFrame(x, "key string, a long, b long") for x in (rows, asked))
+    out = intervals.covers(have, wanted)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(*x, x in {("k", 1, 4), ("k", 9, 20), ("m", 3, 3)}) for x in asked} and out.count() == len(set(asked))
+
+
+def test_nearest_in_bounded_tiles(spark, monkeypatch):
+    x = np.random.default_rng(2).integers(-2, 3, (3000, 4)).astype(float)  # many ties
+    plain, most = vector.cosines, getattr(vector, "ROWS", 1024) * getattr(vector, "ASKED", 512)
+
+    def bounded(a, b):
+        assert len(a) * len(b) <= most
+        return plain(a, b)
+
+    monkeypatch.setattr(vector, "cosines", bounded)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>").repartition(1)
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["cos"]) for r in vector.knn(chunks.where("chunk_id < 700").withColumnRenamed("chunk_id", "query_id"), chunks, 15).collect()}
+    cos = np.round(plain(x[:700], x), 6) + 0.0
+    for q in range(700):
+        order = np.lexsort((np.arange(3000), -cos[q]))[:15]
+        assert [got[q, n + 1] for n in range(15)] == [(i, cos[q, i]) for i in order]
