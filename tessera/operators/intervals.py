@@ -30,10 +30,14 @@ def gaps(merged: DataFrame, totals: DataFrame, key: str = "key") -> DataFrame:
 
 
 def covers(merged: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
-    """wanted (key, a, b) with covered: its whole interval lies in one merged interval of the key."""
-    have = merged.select(F.col(key), F.col("a").alias("ha"), F.col("b").alias("hb"))
-    hit = wanted.join(have, key, "left").groupBy(*wanted.columns)
-    return hit.agg(F.coalesce(F.bool_or((F.col("ha") <= F.col("a")) & (F.col("hb") >= F.col("b"))), F.lit(False)).alias("covered"))
+    """Distinct wanted (key, a, b) with covered: its whole interval lies in one merged interval of the key.
+
+    In order of the beginnings, one pass a key: the greatest end of those that begin no later is far enough.
+    """
+    have = merged.select(F.col(key), "a", F.col("b").alias("_end"), F.lit(0).alias("_asked")).where(F.col(key).isNotNull() & F.col("a").isNotNull())
+    both = wanted.distinct().withColumn("_asked", F.lit(1)).unionByName(have, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("a", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("covered", F.coalesce(F.max("_end").over(before) >= F.col("b"), F.lit(False))).where("_asked = 1").select(*wanted.columns, "covered")
 
 
 def coverage(merged: DataFrame, key: str = "key", **more: Column) -> DataFrame:
