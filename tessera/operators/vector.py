@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
-#: Query vectors that one pass takes to the workers (at 1,024 dimensions: 32 MB); more queries make more passes.
-QUERIES_PER_PASS = 4096
+#: Components of the query vectors that one pass takes to the workers (32 MB); more queries make more passes.
+PASS = 1 << 22
 SMALL = 1e-10
 
 
@@ -61,16 +61,16 @@ def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def passes(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
     ids, rows = [], []
     for row in queries.select(query_id, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        ids.append(row[0]), rows.append(row[1])
-        if len(ids) == QUERIES_PER_PASS:
-            yield ids, np.array(rows, np.float64)
+        ids.append(row[0]), rows.append(np.array(row[1], np.float64))
+        if len(ids) * max(1, len(rows[0])) >= PASS:
+            yield ids, np.array(rows)
             ids, rows = [], []
     if ids:
-        yield ids, np.array(rows, np.float64)
+        yield ids, np.array(rows)
 
 
-#: Chunks that one task compares, where it is left to knn() to choose.
-TASK = 1 << 14
+#: Chunks that one task compares at least, and the rows and queries of a tile, whose cosines it holds at once (4 MB).
+TASK, ROWS, ASKED = 1 << 14, 1024, 512
 
 
 def k_best(query: np.ndarray, key: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
@@ -83,36 +83,55 @@ def k_best(query: np.ndarray, key: np.ndarray, cos: np.ndarray, k: int) -> np.nd
 def knn(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "vector", digits: int = 6, rows: int | None = None) -> DataFrame:
     """query_id, chunk_id, cos (rounded), rank: the k nearest chunks of every query, ties by chunk id.
 
-    A task multiplies its chunks, a batch at a time, with all queries of a pass and keeps its own k best, so at most
-    k rows a task and query are shuffled to the final ranking.  `rows`, how many chunks there are if that is known,
-    keeps tasks from being smaller than TASK chunks.  A vector of another length, or a null one, has cosine 0.
+    A task multiplies its chunks with all queries of a pass, a tile at a time, and keeps its own k best, so at most
+    k rows a task and query are shuffled to the final ranking, and a task holds a tile and those rows, however many
+    chunks there are.  `rows`, how many chunks there are, is for chunks that are written already; others are written
+    here, once for all passes.  Tasks have at least TASK chunks.  A vector of another length, or a null one, has
+    cosine 0.
     """
     sc, out = queries.sparkSession.sparkContext, None
     kinds = [queries.schema[query_id].dataType.simpleString(), chunks.schema[chunk_id].dataType.simpleString()]
     picked = chunks.select(F.col(chunk_id).alias("_c"), F.col(vector).alias("_v"))
-    picked = picked if rows is None else picked.coalesce(max(1, -(-rows // TASK)))
+    if rows is None:
+        picked = cut(picked, "vectors")
+        rows = picked.count()
+    picked = picked.coalesce(max(1, -(-rows // TASK)))
     for ids, q in passes(queries, query_id, vector):
         shared = sc.broadcast((ids, q))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            held: list[tuple[np.ndarray, ...]] = []  # query, key, cosine
+            held = [(np.zeros(0, int), None, np.zeros(0)) for _ in range(0, len(q), ASKED)]  # query, key, cosine: the best of each tile's queries
+            least = np.full(len(q), -2.0)  # the last of the k best, where there are k
+            kind = None
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, ok = matrix(batch.column(1), q.shape[1])
-                cos = np.zeros((batch.num_rows, len(q)))
-                cos[ok] = cosines(x, q)
-                cos = np.round(cos, digits) + 0.0
-                keys = np.asarray(batch.column(0))
-                at_least = -np.partition(-cos, k - 1, axis=0)[k - 1] if len(cos) > k else np.full(len(q), -2.0)
-                row, query = np.nonzero(cos >= at_least)  # the k best of each query, and what ties with the last
-                held.append((query, keys[row], cos[row, query]))
-                parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-                best = k_best(*parts, k)
-                held = [tuple(x[best] for x in parts)]
-            for query, keys, cos in held:
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query]), pa.array(keys, batch.schema.field(0).type), pa.array(cos)], ["q", "c", "cos"])
+                kind = batch.schema.field(0).type
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    x, ok = matrix(part.column(1), q.shape[1])
+                    keys = np.asarray(part.column(0))
+                    whole = np.zeros((len(ok), q.shape[1]))
+                    whole[ok] = x
+                    for at in range(0, len(q), ASKED):
+                        near = least[at : at + ASKED]
+                        cos = cosines(whole, q[at : at + ASKED])
+                        np.round(cos, digits, out=cos)
+                        cos += 0.0
+                        if len(cos) > k:  # no more than the k best of each query, and what ties with the last
+                            np.maximum(near, np.partition(cos, len(cos) - k, axis=0)[len(cos) - k], out=near)
+                        row, query = np.nonzero(cos >= near)
+                        if not len(row):
+                            continue
+                        old = held[at // ASKED]
+                        new = np.concatenate([old[0], query]), keys[row] if old[1] is None else np.concatenate([old[1], keys[row]]), np.concatenate([old[2], cos[row, query]])
+                        best = k_best(*new, k)
+                        new = held[at // ASKED] = tuple(v[best] for v in new)
+                        last = np.arange(len(best))[np.append(new[0][1:] != new[0][:-1], True)]  # in order of queries, the best first
+                        full = last[np.bincount(new[0], minlength=len(near))[new[0][last]] == k]
+                        near[new[0][full]] = new[2][full]
+            for at, (query, keys, cos) in enumerate(held):
+                if keys is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([names[at * ASKED + j] for j in query]), pa.array(keys, kind), pa.array(cos)], ["q", "c", "cos"])
 
         part = picked.mapInArrow(work, f"q {kinds[0]}, c {kinds[1]}, cos double")
         out = part if out is None else out.unionByName(part)
