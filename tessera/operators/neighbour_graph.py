@@ -11,7 +11,8 @@ one group holds is bounded (k neighbours, as many reverse ones, a cell of at mos
 its split), so a hub or a vector that a third of all rows share makes no large task; only the joins with nodes meet
 a hub's rows, and Spark splits those.  A search sends all queries through each step together.
 
-The centres (at most CENTRES codes) and the top layer (at most about TOP codes) are all that is broadcast.
+The centres (at most CENTRES codes) and the top layer (at most about TOP codes) are all that is broadcast: joins are merged
+by hint, as a broadcast takes one side through the driver, in every round anew.
 """
 
 from __future__ import annotations
@@ -109,13 +110,30 @@ def merge(parts: DataFrame, k: int) -> DataFrame:
     return whole.where("code is not null").mapInArrow(work, LISTS)
 
 
+def first_by_hash(nodes: DataFrame, n: int, turn: int, count: int) -> list[bytes]:
+    """The codes of the `count` nodes that come first by a hash of the id.
+
+    Tasks send only nodes below a bound that about twice as many nodes keep to; not each of them `count` nodes.
+    """
+    chance, some = F.xxhash64("id", F.lit(turn)), nodes
+    if n > 2 * count + 64:
+        bound = -(1 << 63) + (1 << 64) * (2 * count + 64) // n
+        some = nodes.where(chance < F.lit(bound))
+
+    def first(rows: DataFrame) -> list[bytes]:
+        return [r[0] for r in rows.orderBy(chance, "id").limit(count).select("code").collect()]
+
+    found = first(some)
+    return found if len(found) == min(count, n) else first(nodes)
+
+
 def in_cells(nodes: DataFrame, n: int, turn: int, k: int) -> DataFrame:
     """Rows of (id, null, ids, sims, fresh): the nearest of each node in its cells, exact as far as codes go."""
     count = min(CENTRES, max(1, -(-n * NEAR // CELL)))
     near = min(NEAR, count)
     if n <= CELL:
         count = near = 1
-    centres = decode(pa.array([r[0] for r in nodes.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(count).select("code").collect()], pa.binary()))
+    centres = decode(pa.array(first_by_hash(nodes, n, turn, count), pa.binary()))
 
     def cells(batches: Iterator[pa.RecordBatch], splits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +177,7 @@ def meet(table: DataFrame, k: int, turn: int) -> DataFrame:
     order = Window.partitionBy("pivot").orderBy(F.desc("fresh"), F.xxhash64("member", F.lit(turn)), "member")
     back = edges.select(F.col("to").alias("pivot"), F.col("id").alias("member"), "code", "worst", "fresh").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
     known = table.select(F.col("id").alias("member"), "code", worst.alias("worst"))
-    out = edges.select(F.col("id").alias("pivot"), F.col("to").alias("member"), "fresh").join(known, "member").select("pivot", "member", "code", "worst", "fresh")
+    out = edges.select(F.col("id").alias("pivot"), F.col("to").alias("member"), "fresh").join(known.hint("merge"), "member").select("pivot", "member", "code", "worst", "fresh")
     whole = out.unionByName(back).groupBy("pivot").agg(F.collect_list(F.struct("member", "code", "worst", "fresh")).alias("met"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +286,7 @@ class NeighbourGraph:
 
     def exact(self, found: DataFrame, queries: DataFrame, k: int, *more: str) -> DataFrame:
         """query_id, id (and more columns) -> query_id, chunk_id, cos, rank by the vectors themselves, ties by id."""
-        rows = found.join(self.nodes.select("id", "vector"), "id").join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
+        rows = found.join(self.nodes.select("id", "vector").hint("merge"), "id").join(queries.select("query_id", F.col("vector").alias("asked")).hint("merge"), "query_id")
         scored = rows.select("query_id", F.col("id").alias("chunk_id"), F.round(similarity(F.col("asked"), F.col("vector")), 6).alias("cos"), *more)
         order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "chunk_id")
         return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
@@ -340,11 +358,11 @@ class NeighbourGraph:
                 at = state.withColumn("_turn", shut).withColumn("now", F.transform("ids", lambda _, i: F.array_contains("_turn", i))).drop("_turn")
                 open_ = at.where(F.exists("now", lambda x: x))
                 front = open_.select("query_id", F.explode(F.transform(F.filter(F.arrays_zip("ids", "now"), lambda z: z["now"]), lambda z: z["ids"])).alias("node"))
-                led = front.join(adjacent, "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("led"))
-                new = led.join(state.select("query_id", "seen"), "query_id").select("query_id", F.explode(F.array_except("led", "seen")).alias("id"))
-                found = new.join(self.nodes.select("id", "code"), "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("found"))
+                led = front.join(adjacent.hint("merge"), "node").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("led"))
+                new = led.join(state.select("query_id", "seen").hint("merge"), "query_id").select("query_id", F.explode(F.array_except("led", "seen")).alias("id"))
+                found = new.join(self.nodes.select("id", "code").hint("merge"), "id").groupBy("query_id").agg(F.collect_list(F.struct("id", "code")).alias("found"))
                 empty = F.array().cast("array<struct<id:bigint,code:binary>>")
-                joined = at.join(found, "query_id", "left").withColumn("found", F.coalesce("found", empty))
+                joined = at.join(found.hint("merge"), "query_id", "left").withColumn("found", F.coalesce("found", empty))
                 state, old = cut(joined.mapInArrow(lambda batches, held=held: step(batches, held), schema), "beams"), state
                 release(old)
                 if not state.where(F.exists("opened", lambda o: ~o)).limit(1).count():

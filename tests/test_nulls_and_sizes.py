@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from test_entry import table
-from tessera.operators import intervals, planner, vector
+from tessera.operators import intervals, neighbour_graph, planner, vector
 from tessera.plans import catalog
 
 
@@ -70,3 +70,12 @@ def test_nearest_in_bounded_tiles(spark, monkeypatch):
     for q in range(700):
         order = np.lexsort((np.arange(3000), -cos[q]))[:15]
         assert [got[q, n + 1] for n in range(15)] == [(i, cos[q, i]) for i in order]
+
+
+def test_graph_rounds_broadcast_no_table(spark):
+    table = spark.createDataFrame([(i, b"ab", [i + 1], [0.5], [True]) for i in range(50)], "id bigint, code binary, ids array<bigint>, sims array<float>, fresh array<boolean>")
+    assert "BroadcastExchange" not in neighbour_graph.meet(table, 4, 0)._jdf.queryExecution().executedPlan().toString()
+    nodes = spark.range(5000).selectExpr("id", "cast(cast(id as string) as binary) as code")
+    by_hash = [bytes(r["code"]) for r in nodes.selectExpr("*", "xxhash64(id, 3) as h").orderBy("h", "id").collect()]
+    for n in (5000, 100000):  # more nodes announced than there are: too few keep to the bound
+        assert [bytes(c) for c in neighbour_graph.first_by_hash(nodes, n, 3, 40)] == by_hash[:40]
