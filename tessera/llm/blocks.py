@@ -100,6 +100,12 @@ def bucket_count(blocks: DataFrame) -> int:
     return max(2 * partitions(blocks.sparkSession), -(-total // BUCKET_TEXT))
 
 
+def task_count(blocks: DataFrame) -> int:
+    """Tasks that exchanged messages are dealt to: about 8 MB of text each, two a core at least, no more than shuffle partitions or buckets."""
+    total = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    return min(max(partitions(blocks.sparkSession), -(-total // BUCKET_TEXT)), max(2 * blocks.sparkSession.sparkContext.defaultParallelism, -(-total // (1 << 23))))
+
+
 def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
         for row in range(batch.num_rows):
@@ -156,8 +162,11 @@ def tidy(spark) -> None:
     jvm.System.gc()
 
 
-def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch | pa.Table], schema: str, rest: bool = False) -> DataFrame:
-    """Each block with the replies to it (a block without any gets an empty table)."""
+def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Table], pa.RecordBatch | pa.Table], schema: str, rest: bool = False, tasks: int = 0) -> DataFrame:
+    """Each block with the replies to it (a block without any gets an empty table).
+
+    tasks: so many tasks.  Messages are small for the work that they cause, so Spark's own choice, by their bytes, would be one or two a core.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -169,4 +178,9 @@ def answer(blocks: DataFrame, replies: DataFrame, work: Callable[[Block, pa.Tabl
     from pyspark.sql.types import _parse_datatype_string
 
     empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-    return blocks.select("block", "ids", "offsets", "text", *["rest"] * rest).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    left, right = (dealt(x, "block", tasks) for x in (blocks.select("block", "ids", "offsets", "text", *["rest"] * rest), replies))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+
+
+def dealt(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    return df.repartition(tasks, key) if tasks else df
