@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from cases import frame
 
+import tessera.llm.suffix_dedup as suffix_dedup_module
 from tessera.llm.blocks import answer, task_count, to_blocks
 from tessera.llm.common import R1
 from tessera.llm.suffix_dedup import GRAM, LONG_GRAM, anchors, near, suffix_dedup
@@ -43,3 +44,17 @@ def test_strings_around_the_window_in_many_texts(spark):
     docs = [(i, x[: 10 * i] + hot[: 45 + i] + x[10 * i :] + hot[i % 7 : 50 + i % 9] + "z" * (3 * i)) for i, x in enumerate(t)]
     got = sorted(map(tuple, suffix_dedup(frame(spark, docs)).select(COLUMNS).collect()))
     assert got == sorted(tuple(x[:5]) for x in brute.op2(docs))
+
+
+def test_holders_of_a_piece_reach_over_parts_and_blocks_of_pieces(spark, monkeypatch):
+    """Copies in many blocks of texts, whose pieces and holders come in parts of five rows and go to blocks of 200 bytes or four holders."""
+    monkeypatch.setattr(suffix_dedup_module, "OWNED_BYTES", 200)
+    monkeypatch.setattr(suffix_dedup_module, "OWNED_HOLDERS", 4)
+    one, two, *more = texts(12, 700, 6)
+    docs = [(i, x) for i, x in enumerate([*more, *[one, two[:350] + one[350:], one[90:] + two] * 4])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = sorted(map(tuple, suffix_dedup(frame(spark, docs).repartition(9)).select(COLUMNS).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(tuple(x[:5]) for x in brute.op2(docs))
