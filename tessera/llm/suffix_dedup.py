@@ -10,7 +10,7 @@ A byte goes if it lies in a `WINDOW`-byte string that also starts in a document
    that pieces of different owners share.  What is left is the text of the suffix array.  Pieces are
    brought together by their least anchor, so that variants of one piece meet in one block.  A block
    judges its own windows by a suffix array of the block; what it finds no smaller owner for, near
-   anchors that other blocks hold, goes to the distributed one.
+   anchors that other blocks hold, goes to the distributed one.  Anchors of pieces are 38 bytes long.
 2. Difference cover modulo 3, over super-characters of 8 bytes at each of the 8 alignments: suffixes in
    classes 1 and 2 are sampled.  Their triples (24 bytes) are sorted over all tasks by ranges and
    named in order; the recursion sorts triples of names (72 bytes), which is deeper than a
