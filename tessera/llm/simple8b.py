@@ -35,8 +35,12 @@ from .tokens import crc, encoder
 #: Fixed values of the coding: ids in a word and bits of each, by selector (2 to 15); 0 is the escape.
 COUNT = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+SPAN = np.maximum(COUNT, 1).astype(np.uint8)
+LIMITS = np.uint64(1) << WIDTH[2:].astype(np.uint64)
 BLOCK = 1 << 14
 FILE_IDS = 1 << 22
+#: Bytes of text whose distinct words are encoded at once.
+ENCODE_BYTES = 1 << 23
 MAGIC = b"TS8B\x02\0\0\0"
 HEAD = struct.Struct("<QQQQI")
 
@@ -45,29 +49,26 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     """The words of one block."""
     n = len(ids)
     ids = np.asarray(ids, np.uint64)
-    bits = np.zeros(n, np.int64)
-    for w in WIDTH[2:]:
-        bits += ids >= np.uint64(1 << int(w))
-    # bits: index from 2 of the narrowest selector that holds each id
-    need = bits + 2
-    best = np.zeros(n, np.int64)  # selector chosen if a word began at each id
+    # the narrowest selector that holds each id, then the widest need of as many ids as a word holds
+    need = (np.searchsorted(LIMITS, ids, "right") + 2).astype(np.uint8)
+    fitting = np.zeros(n, np.uint8)  # how many selectors fit if a word began at each id: where one does, so do all less dense
+    held = 1
     for s in range(15, 1, -1):
         size = int(COUNT[s])
         if size > n:
-            continue
-        over = np.zeros(n + 1, np.int64)
-        np.cumsum(need > s, out=over[1:])
-        ok = over[size:] == over[: n - size + 1]
-        best[: n - size + 1][ok] = s  # later (denser) selectors overwrite
-    starts, chosen, at = [], [], 0
-    steps = best.tolist()
-    sizes = COUNT.tolist()
+            break
+        need, held = np.maximum(need[: n - size + 1], need[size - held :]), size
+        fits = need <= s
+        if not fits.any():
+            break
+        fitting[: len(fits)] += fits
+    best = np.where(fitting == 0, 0, 16 - fitting)  # the densest
+    span, begins, at = SPAN[best].tobytes(), bytearray(n), 0
     while at < n:
-        s = steps[at]
-        starts.append(at)
-        chosen.append(s)
-        at += sizes[s] if s else 1
-    starts, chosen = np.array(starts, np.int64), np.array(chosen, np.int64)
+        begins[at] = 1
+        at += span[at]
+    starts = np.flatnonzero(np.frombuffer(begins, np.uint8))
+    chosen = best[starts]
     room = 1 + (chosen == 0)
     place = np.cumsum(room) - room
     out = np.zeros(int(room.sum()), np.uint64)
@@ -76,10 +77,10 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
         if s == 0:
             out[place[mine] + 1] = ids[starts[mine]]
             continue
-        grid = ids[starts[mine][:, None] + np.arange(COUNT[s])].astype(np.uint64)
-        word = np.full(len(grid), np.uint64(s) << np.uint64(60))
+        first = starts[mine]
+        word = np.full(len(first), np.uint64(s) << np.uint64(60))
         for j in range(int(COUNT[s])):
-            word |= grid[:, j] << np.uint64(j * int(WIDTH[s]))
+            word |= ids[first + j] << np.uint64(j * int(WIDTH[s]))
         out[place[mine]] = word
     return out
 
@@ -143,7 +144,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Writes token-id files in ascending id order; returns the manifest: shard, seq, file, n_docs, n_ids, first_doc."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -164,18 +165,23 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             name = f"{shard:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
             with where.open_output_stream(f"{root}/{name}") as out:
                 named = [x for x in docs_ if x is not None]
-                out.write(file_image(np.array([0] * (len(docs_) - len(named)) + named, np.int64), np.array(counts, np.int64), np.concatenate(ids), len(docs_) - len(named)))
+                out.write(file_image(np.array([0] * (len(docs_) - len(named)) + named, np.int64), np.concatenate(counts), np.concatenate(ids), len(docs_) - len(named)))
             row = [[shard], [seq], [name], [len(docs_)], [held], [docs_[0]]]
             docs_.clear(), counts.clear(), ids.clear()
             held, seq = 0, seq + 1
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["shard", "seq", "file", "n_docs", "n_ids", "first_doc"])
 
-        for part in slices(batches, "_text"):
-            for doc, text in zip(col(part, "_id").to_pylist(), col(part, "_text").to_pylist(), strict=True):
-                got = np.append(encode.ids(text), np.uint32(end_id))
-                docs_.append(doc), counts.append(len(got)), ids.append(got)
-                held += len(got)
-                if held >= FILE_IDS:
+        for part in slices(batches, "_text", ENCODE_BYTES):
+            doc, (got, size) = col(part, "_id").to_pylist(), encode.many(col(part, "_text").to_pylist())
+            got, size = np.insert(got, np.cumsum(size), np.uint32(end_id)), size + 1
+            ends, lo = np.cumsum(size), 0
+            while lo < len(doc):  # a file ends with the document that fills it
+                before = int(ends[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(ends, before + file_ids - held)) + 1, len(doc))
+                docs_ += doc[lo:hi]
+                counts.append(size[lo:hi]), ids.append(got[before : ends[hi - 1]])
+                held, lo = held + int(ends[hi - 1]) - before, hi
+                if held >= file_ids:
                     yield close()
         if docs_:
             yield close()

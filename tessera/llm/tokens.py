@@ -15,8 +15,11 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Sequence
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 SAMPLES = (
@@ -25,6 +28,12 @@ SAMPLES = (
 )
 
 
+#: Characters that one numpy pass works on.
+PASS = 1 << 21
+SPACE, LETTER, NUMBER, OTHER, AWAY, UNKNOWN = range(6)
+# The endings that the tokenizer's pattern cuts off behind an apostrophe.
+ONE, TWO = [ord(c) for c in "stmd"], [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+
 # Ranges of Hangul letters that join with what stands beside them.
 JAMO = (("\u1100", "\u11ff"), ("\ua960", "\ua97f"), ("\ud7b0", "\ud7ff"))
 
@@ -43,9 +52,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.joined = None  # a method for many texts in one pass, where there is one
         self.fast = self._fast(path)
         if self.fast and any(not np.array_equal(self.fast(x), self.slow(x)) for x in SAMPLES):
-            self.fast = None
+            self.fast = self.joined = None
+        if self.joined and not np.array_equal(self.many(SAMPLES)[0], np.concatenate([self.slow(x) for x in SAMPLES])):
+            self.joined = None
 
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -55,6 +67,24 @@ class Encoder:
             return np.zeros(0, np.uint32)
         return self.fast(text) if self.fast and not self.special.search(text) else self.slow(text)
 
+    def many(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        if not self.joined:
+            ids = [self.ids(x) for x in texts]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+        texts = [x or "" for x in texts]
+        one_by_one = {i for i, x in enumerate(texts) if self.special.search(x)} if self.special.search("\n".join(texts)) else set()
+        one_by_one |= self.uncovered(texts)
+        ids, counts = self.joined(["" if i in one_by_one else x for i, x in enumerate(texts)] if one_by_one else texts)
+        if not one_by_one:
+            return ids, counts
+        parts, done, ends = [], 0, np.cumsum(counts)
+        for i in sorted(one_by_one):
+            own = self.ids(texts[i])
+            parts += [ids[done : ends[i]], own]
+            done, counts[i] = ends[i], len(own)
+        return np.concatenate([*parts, ids[done:]]), counts
+
     def _fast(self, path: str):
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
@@ -84,14 +114,17 @@ class Encoder:
         """BPE with word ends that drops white space: ids of a text are those of its units between spaces.
 
         A bounded cache keeps the ids of units.  A miss of trusted characters is split as the library splits it, and each
-        word, with a byte that UTF-8 never has for its end, goes to tiktoken, as ids are the order of merges; any other
-        miss goes to the library.
+        word, with a space for its end (no word holds one), goes to tiktoken, as ids are the order of merges; any other
+        miss goes to the library.  Many texts are cut into words in one pass instead, without a cache.
         """
         import tiktoken
 
-        end = b"\xff"
+        end = b" "
         ranks = {bytes(letters[c] for c in k.removesuffix("</w>")) + end * k.endswith("</w>"): v for k, v in vocab.items()}
-        piece = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        encoding = tiktoken.Encoding("own", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        piece = encoding._core_bpe.encode_single_piece
+        closes = np.zeros(max(ranks.values()) + 1, bool)
+        closes[[v for k, v in vocab.items() if k.endswith("</w>")]] = True
         # Fixed value: the splitting pattern of the tokenizer.
         words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         slow, most = self.slow, 250_000
@@ -131,6 +164,86 @@ class Encoder:
                 return slow(text)
             return np.frombuffer(b"".join(map(units.__getitem__, text.split())), np.uint32)
 
+        # Of each character: SPACE to OTHER where the pass over many texts covers it, else AWAY, or UNKNOWN until it is met.
+        kinds, lowered = np.full(0x110000, UNKNOWN, np.uint8), np.arange(0x110000, dtype=np.uint32)
+        kind_of = regex.compile(r"(\s)|(\p{L})|(\p{N})|(.)", regex.DOTALL).match
+
+        def meet(points: np.ndarray) -> None:
+            for point in points.tolist():
+                c = chr(point)
+                small = c.lower()
+                covered = len(small) == 1 and not odd.match(c) and (c < "\x80" or trusted(c))
+                kinds[point], lowered[point] = (kind_of(small).lastindex - 1, ord(small)) if covered else (AWAY, point)
+
+        meet(np.arange(128))
+
+        def points_of(texts: list[str]) -> np.ndarray:
+            """The characters of all texts, each with a line's end behind it."""
+            return np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+
+        def uncovered(texts: list[str]) -> set[int]:
+            """Which texts have characters that the pass over many texts doesn't cover."""
+            points = points_of(texts)
+            if len(new := points[kinds[points] == UNKNOWN]):
+                meet(np.unique(new))
+            away = np.flatnonzero(kinds[points] == AWAY)
+            ends = np.cumsum([len(x) + 1 for x in texts])
+            return set(np.searchsorted(ends, away, "right").tolist())
+
+        def cut_up(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+            """The words of all texts end to end, cut by their characters' kinds all at once, and how many each text has."""
+            points = points_of(texts)
+            kind, points = kinds[points], lowered[points]
+            first = np.ones(len(points) + 1, bool)  # where a word or a run of white space begins
+            np.not_equal(kind[1:], kind[:-1], out=first[1:-1])
+            first[:-1] |= kind == NUMBER
+            # 's and its like: an apostrophe that is a run of its own takes one or two letters from the word behind it
+            quote = np.flatnonzero(points[:-1] == ord("'"))
+            quote = quote[first[quote] & (kind[quote + 1] == LETTER)]
+            one, two = points[quote + 1], points[quote + 2]
+            taken = np.isin(one, ONE).astype(np.int64)
+            for x, y in TWO:
+                taken[(one == x) & (two == y)] = 2
+            quote, taken = quote[taken > 0], taken[taken > 0]
+            first[quote + 1] = False
+            first[quote + 1 + taken] = True
+            at = np.flatnonzero(first)
+            is_word = kind[at[:-1]] != SPACE
+            offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(at)[is_word])])
+            raw = np.frombuffer(points[kind != SPACE].tobytes().decode("utf-32-le").encode(), np.uint8)
+            if len(raw) > offsets[-1]:  # from characters to bytes
+                offsets = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[offsets]
+            words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            ends = np.cumsum([len(x) + 1 for x in texts])
+            return words.dictionary_encode(), np.diff(np.searchsorted(at[:-1][is_word], ends), prepend=0)
+
+        def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Each distinct word is encoded once."""
+            ends = np.cumsum([len(x) + 1 for x in texts])
+            at = np.unique(np.concatenate([np.zeros(1, np.int64), np.searchsorted(ends, np.arange(PASS, int(ends[-1]), PASS)), [len(texts)]])) if texts else []
+            parts = [cut_up(texts[lo:hi]) for lo, hi in pairwise(at)]
+            if not sum(len(words) for words, _ in parts):
+                return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+            coded = pa.chunked_array([words for words, _ in parts]).unify_dictionaries()
+            distinct = coded.chunk(0).dictionary
+            _, off, data = distinct.buffers()
+            word_ends = np.frombuffer(off, np.int64)[1 : len(distinct) + 1]
+            spaced = np.insert(np.frombuffer(data, np.uint8)[: word_ends[-1]], word_ends, end[0])
+            found = encoding.encode_to_numpy(spaced.tobytes().decode(), disallowed_special=())
+            length = np.diff(np.flatnonzero(closes[found]), prepend=-1)
+            begin = np.cumsum(length) - length
+            ids, counts = [], []
+            for words, (_, n_words) in zip(coded.chunks, parts, strict=True):
+                of_word = words.indices.to_numpy()
+                size = length[of_word]
+                total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+                ids.append(found[np.repeat(begin[of_word] - total[:-1], size) + np.arange(total[-1])])
+                counts.append(np.diff(total[np.cumsum(n_words)], prepend=0))
+            return np.concatenate(ids), np.concatenate(counts)
+
+        # the end is merged with its byte before any other merge, so that each word has one id that closes it
+        if all(len(x.removesuffix(end)) < 2 for x in sorted(ranks, key=ranks.get)[:512]) and sum(end in x[:-1] for x in ranks) == 1:
+            self.joined, self.uncovered = joined, uncovered
         return encode
 
 
