@@ -3,8 +3,8 @@
 Features of a text are counts of its words' shapes (case, digits, punctuation; runs shortened), pairs of
 neighbouring shapes, words equal to the one before, and words that close a repeated 5-gram, hashed to
 `FEATURES` columns.  On a bounded sample of labelled documents they are weighted by tf-idf and reduced by
-a truncated singular value decomposition; the sample's latent unit vectors and labels, a few MB by the
-parameters `most_labelled` and `rank`, are broadcast.  Every document is then placed in the same space,
+a truncated singular value decomposition, in one task; the sample's latent unit vectors and labels, a MB by the
+parameters `most_labelled` and `rank`, are all that the driver gets, and are broadcast.  Every document is then placed in the same space,
 its exact cosines with all labelled vectors are computed block by block, and its `neighbours` nearest
 vote with weights that grow with their similarity.
 
@@ -18,6 +18,7 @@ documents that don't exist, or null, are ignored.  Repeated rows get equal score
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import N1, R1, Words, as_bytes, col, in_doc, mix, repeated, slices
+from .common import N1, R1, Words, as_bytes, col, in_doc, longs, mix, repeated, slices
 
 FEATURES = 2048
 BLOCK_ROWS = 512
@@ -123,9 +124,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, rank: int
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(asked), "_id").select("_id", "_text", F.col("_y").cast("int").alias("_y"))
     kind = picked.schema["_id"].dataType.simpleString()
     # a document's rows may repeat, so the sample is bounded once more, by its fixed order
-    rows = picked.mapInArrow(work, f"_id {kind}, _y int, x binary").orderBy(F.xxhash64("_id"), "_id", "x").limit(most_labelled).toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
-    return Space(x, rows.column("_y").to_numpy() >= 1, rank, neighbours, power)
+    sample = picked.mapInArrow(work, f"_id {kind}, _y int, x binary").orderBy(F.xxhash64("_id"), "_id", "x").limit(most_labelled).select("_y", "x")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            x = np.frombuffer(b"".join(v for b in held for v in col(b, "x").to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
+            space = Space(x, np.concatenate([longs(b, "_y") for b in held]) >= 1, rank, neighbours, power)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(space)])], ["space"])
+
+    # the features and what the decomposition needs beside them, some 200 MB, stay in the task
+    found = sample.mapInArrow(learn, "space binary").first()
+    return pickle.loads(found.space) if found else Space(np.zeros((0, FEATURES), np.float32), np.zeros(0, bool), rank, neighbours, power)
 
 
 def knn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
